@@ -1,0 +1 @@
+"""Empty on purpose: the inputs are dated batch extracts, so nothing here streams."""
