@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortmill.catalogue import Tables, query
+from cohortmill.catalogue.derived import EVENT_DAY_SQL, event_day
 from cohortmill.functions import missing
 from cohortmill.operators import joins
 from cohortmill.operators.aggregates import n_rows
@@ -87,7 +88,7 @@ def _slice_sql(kind: str, name: str, row: str) -> str:
 
 KINDS = ["view", "click", "signup", "purchase"]
 MERGE_SQL = f"""
-WITH d AS (SELECT *, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS INTEGER) AS day FROM events),
+WITH d AS (SELECT *, {EVENT_DAY_SQL} AS day FROM events),
 a AS {_slice_sql("view", "v0", "r0")}, b AS {_slice_sql("click", "v1", "r1")},
 c AS {_slice_sql("signup", "v2", "r2")}, e AS {_slice_sql("purchase", "v3", "r3")},
 m1 AS (SELECT coalesce(a.uid, b.uid) AS uid, coalesce(a.day, b.day) AS day, v0, r0, v1, r1
@@ -99,7 +100,7 @@ m3 AS (SELECT coalesce(m.uid, e.uid) AS uid, coalesce(m.day, e.day) AS day, v0,
 
 
 def _slices(t: Tables):
-    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01")) + 1
+    day = event_day()
     return [
         t.events.filter(F.col("event_type") == kind).select(
             F.col("user_id").alias("uid"),
@@ -228,14 +229,14 @@ def lookup_with_fallback(t: Tables):
 
 @query(
     "event_day_alignment",
-    """
-WITH d AS (SELECT *, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS day FROM events),
+    f"""
+WITH d AS (SELECT *, {EVENT_DAY_SQL} - 1 AS day FROM events),
 o AS (SELECT user_id, max(day) AS lastday, max(CASE WHEN event_type = 'purchase' THEN 'BOUGHT' ELSE 'NONE' END) AS outcome_a,
              round(max(value), 2) AS best FROM d WHERE user_id % 4 <> 0 GROUP BY user_id)
 SELECT event_id, d.user_id, day + 1 AS day, best FROM d LEFT JOIN o ON d.user_id = o.user_id AND d.day = o.lastday""",
 )
 def event_day_alignment(t: Tables):
-    d = t.events.select("event_id", "user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("day"), "value")
+    d = t.events.select("event_id", "user_id", (event_day() - 1).alias("day"), "value")
     outcome = (
         d.filter("user_id % 4 <> 0").groupBy("user_id").agg(F.max("day").alias("lastday"), F.round(F.max("value"), 2).alias("best"))
     )
