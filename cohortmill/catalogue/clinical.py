@@ -604,7 +604,7 @@ def density_histogram(t: Tables):
 
 @query(
     "high_density_boxes",
-    f"""{ANALYSIS_SQL}, y AS (SELECT CAST(time AS VARCHAR) AS time, act_name, pfmicl AS v FROM x WHERE pfmicl > 100000),
+    f"""{ANALYSIS_SQL}, y AS (SELECT CAST(time AS VARCHAR) AS time, act_name, pfmicl AS v FROM x WHERE pfmicl > 100000 AND time IN (1, 2, 3, 7, 14, 29, 43)),
 q AS (SELECT time, act_name, quantile_cont(v, 0.25) AS q1, median(v) AS median, quantile_cont(v, 0.75) AS q3, count(*) AS n FROM y GROUP BY ALL)
 SELECT time, act_name, n, min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) THEN v END) AS whisker_low, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
        max(CASE WHEN v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_high, count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n_outliers

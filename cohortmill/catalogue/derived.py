@@ -56,7 +56,8 @@ def event_day() -> Column:
 
 def pick(values: list, index: Column) -> Column:
     """One of a fixed list, by a number starting at 0; the twin is ``sqltext.pick``."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+    listed = ", ".join("NULL" if v is None else f'"{v}"' if isinstance(v, str) else str(v) for v in values)
+    return F.element_at(F.expr(f"array({listed})"), (index % len(values) + 1).cast("int"))
 
 
 def _text(prefix: str, number: Column) -> Column:

@@ -5,9 +5,8 @@ suffixes that repeat until every name is unique, so chained joins never give two
 of one name. No side is hinted for broadcast: Spark compares its own size estimate, and
 with adaptive execution the measured shuffle size, with ``autoBroadcastJoinThreshold``.
 
-A left join lets adaptive execution split a hot key on its left side only and a full
-outer join not at all. ``full_merge`` therefore completes every input with the keys it
-lacks and then joins them with inner joins, where either side can be split.
+In left, semi and anti joins adaptive execution can split a hot key of the left side. It
+cannot split a full outer join, so ``full_merge`` looks for hot keys and spreads them itself.
 """
 
 from __future__ import annotations
@@ -18,9 +17,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortmill.operators.dedup import first_per_key
+from cohortmill.sources.files import stage
 
 Keys = str | Sequence[str | tuple[str, str]]
 SUFFIX = ("_x", "_y")
+HOT_ROWS = 1_000_000
 
 
 def _pairs(on: Keys) -> list[tuple[str, str]]:
@@ -143,42 +144,111 @@ def with_payload(left: DataFrame, right: DataFrame, on: Keys, payload: str, **op
     return inner_join(left, right.filter(_quoted(payload).isNotNull()), on, **options)
 
 
-def presence(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
-    """One row per key found in any frame, with one true/false column per frame.
+def _row_counts(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """One row per key of any frame; ``__rows`` holds the rows each frame has for it.
 
     One shuffle of pre-aggregated keys, whatever the number of frames.
     """
-    tagged = [
-        f.select(*[_quoted(k) for k in keys], F.lit(i).alias("__source")) for i, f in enumerate(frames.values())
-    ]
-    return (
-        reduce(DataFrame.unionAll, tagged)
-        .groupBy(*[_quoted(k) for k in keys])
-        .agg(*[F.max(F.col("__source") == i).alias(name) for i, name in enumerate(frames)])
+    tagged = [f.select(*[_quoted(k) for k in keys], F.lit(i).alias("__frame")) for i, f in enumerate(frames)]
+    rows = F.array(*[F.count_if(F.col("__frame") == i) for i in range(len(frames))])
+    return reduce(DataFrame.unionAll, tagged).groupBy(*[_quoted(k) for k in keys]).agg(rows.alias("__rows"))
+
+
+def presence(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """One row per key found in any frame, with one true/false column per frame."""
+    counts = _row_counts(list(frames.values()), keys)
+    flags = [(F.get("__rows", F.lit(i)) > 0).alias(name) for i, name in enumerate(frames)]
+    return counts.select(*[_quoted(k) for k in keys], *flags)
+
+
+def _hot_keys(frames: Sequence[DataFrame], keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows in a frame, written down for the steps that follow.
+
+    There are at most (rows / hot_rows) of them per frame.
+    """
+    counts = _row_counts(frames, keys)
+    most = F.array_max("__rows")
+    return stage(
+        counts.filter(most > hot_rows)
+        .withColumn("__parts", F.ceil(most / hot_rows))
+        .withColumn("__largest", F.array_position("__rows", most) - 1)
     )
 
 
-def full_merge(frames: Sequence[DataFrame], on: Sequence[str], suffix=SUFFIX, order: str | None = None) -> DataFrame:
+def _dealt(frame: DataFrame, i: int, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The hot rows of a frame, completed and dealt out over the parts of their key.
+
+    A hot key the frame lacks gets a row of missing payload. The frame with most rows of
+    a key deals them out over ``__part``; the others repeat theirs in every part, so that
+    each combination of rows still meets exactly once.
+    """
+    names = [_quoted(k) for k in keys]
+    lacking = hot.filter(F.get("__rows", F.lit(i)) == 0).select(*names)
+    complete = semi_join(frame, hot, keys).unionByName(lacking, allowMissingColumns=True)
+    columns = [_quoted(c) for c in complete.columns]
+    sized = left_join(complete, hot.select(*names, "__parts", "__largest"), keys)
+    own = F.array(F.pmod(F.xxhash64(*columns), F.col("__parts")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)
+    part = F.explode(F.when(F.col("__largest") == i, own).otherwise(every))
+    return sized.select(*columns, part.alias("__part"))
+
+
+def _plain_full_join(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix) -> DataFrame:
+    left_payload = [c for c in left.columns if c not in keys]
+    right_payload = [c for c in right.columns if c not in keys]
+    new_left, new_right = _renamed(left_payload, right_payload, keys, suffix)
+    ours = left.select(
+        *[_quoted(k).alias(f"__left{i}") for i, k in enumerate(keys)],
+        *[_quoted(c).alias(new_left[c]) for c in left_payload],
+        F.lit(True).alias("__known"),
+    )
+    theirs = right.select(
+        *[_quoted(k).alias(f"__right{i}") for i, k in enumerate(keys)],
+        *[_quoted(c).alias(new_right[c]) for c in right_payload],
+    )
+    same = [F.col(f"__left{i}").eqNullSafe(F.col(f"__right{i}")) for i in range(len(keys))]
+    joined = ours.join(theirs, reduce(lambda a, b: a & b, same), "full")
+    merged = [F.coalesce(f"__left{i}", f"__right{i}").alias(k) for i, k in enumerate(keys)]
+    payload = [*new_left.values(), *new_right.values()]
+    return joined.select(*merged, *[_quoted(c) for c in payload])
+
+
+def full_merge(
+    frames: Sequence[DataFrame],
+    on: Sequence[str],
+    suffix=SUFFIX,
+    order: str | None = None,
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
     """Full outer join of two or more tables on one list of keys, keys coalesced.
 
-    Each frame is completed with the keys only others have, as rows of missing payload;
-    inner joins of the completed frames then give exactly the rows of successive full
-    joins. With ``order``, the column of that name in every frame comes back as
-    ``_order_0``, ``_order_1``, ..., for picking first rows (see ``merged_order``).
+    A first job counts rows per key. Keys with more than ``hot_rows`` rows in one frame,
+    if there are any, are merged apart: their rows are dealt out over several tasks and
+    joined by inner joins. All others go through Spark's full outer join. Pass
+    ``hot_rows=None`` for frames that hold a key only a few times, such as aggregates.
+
+    With ``order``, the column of that name in every frame comes back as ``_order_0``,
+    ``_order_1``, ..., for picking first rows (see ``merged_order``).
     """
     keys = list(on)
     if order is not None:
         frames = [f.withColumnRenamed(order, f"_order_{i}") for i, f in enumerate(frames)]
-    spine = presence({f"__in{i}": f for i, f in enumerate(frames)}, keys)
-    complete = [
-        f.unionByName(spine.filter(~F.col(f"__in{i}")).select(*[_quoted(k) for k in keys]), allowMissingColumns=True)
-        for i, f in enumerate(frames)
-    ]
-    return reduce(lambda a, b: inner_join(a, b, keys, suffix=suffix), complete)
+
+    def plain(parts):
+        return reduce(lambda a, b: _plain_full_join(a, b, keys, suffix), parts)
+
+    if hot_rows is None:
+        return plain(frames)
+    hot = _hot_keys(frames, keys, hot_rows)
+    if hot.isEmpty():
+        return plain(frames)
+    dealt = [_dealt(f, i, hot, keys) for i, f in enumerate(frames)]
+    met = reduce(lambda a, b: inner_join(a, b, [*keys, "__part"], suffix=suffix), dealt).drop("__part")
+    return plain([anti_join(f, hot, keys) for f in frames]).unionByName(met)
 
 
-def full_join(left: DataFrame, right: DataFrame, on: Sequence[str], suffix=SUFFIX) -> DataFrame:
-    return full_merge([left, right], on, suffix)
+def full_join(left: DataFrame, right: DataFrame, on: Sequence[str], suffix=SUFFIX, hot_rows=HOT_ROWS) -> DataFrame:
+    return full_merge([left, right], on, suffix, hot_rows=hot_rows)
 
 
 def merged_order(frames: int) -> list[Column]:

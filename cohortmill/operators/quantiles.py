@@ -4,7 +4,8 @@ Spark's ``percentile`` and ``median`` keep all distinct values of a group in one
 aggregation buffer. Here a mergeable sketch only narrows the search:
 
 1. per group, count the rows and sketch a bracket around every wanted rank;
-2. count values per (group, cell, value), a cell being the stretch between bracket edges;
+2. count the rows per (group, value) and sort the values into cells, a cell being the
+   stretch between two bracket edges;
 3. from the exact cell totals, keep only the cells in which the wanted ranks fall;
 4. order the values of those cells and read the ranks off.
 
@@ -72,12 +73,9 @@ def exact_quantiles(
     stats = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"), F.percentile_approx("__x", edges, ACCURACY).alias("__edges")
     )
+    values = rows.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__k"))
     cell = F.size(F.filter("__edges", lambda e: e < F.col("__x")))
-    counts = (
-        attach(rows, stats, by)
-        .groupBy(*by, cell.alias("__cell"), "__x")
-        .agg(F.count(F.lit(1)).alias("__k"), F.max("__n").alias("__n"))
-    )
+    counts = attach(values, stats, by).select(*by, cell.alias("__cell"), "__x", "__k", "__n")
 
     # At most 2 * len(probs) + 1 rows per group reach this window.
     running = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)

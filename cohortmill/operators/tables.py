@@ -140,17 +140,21 @@ def column_percentages(
 
     Shares are taken of the column sum without the totals row, whose own share is 1.
     """
-    sums = df.agg(*[F.sum(_q(c)).alias(f"s{i}") for i, c in enumerate(columns)])
-    packed = sums.select(F.struct(*sums.columns).alias("s")).scalar()
-    out = totals_row(df, columns).withColumn("__sum", packed)
+    first = df.columns[0]
+    body = df.withColumn(first, _q(first).cast("string"))
+    sums = body.agg(*[F.coalesce(F.sum(_q(c)), F.lit(0)).alias(c) for c in columns])
+    packed = F.struct(*[_q(c).alias(f"s{i}") for i, c in enumerate(columns)])
+    last = sums.withColumn("__sum", packed).withColumn(first, F.lit("Total"))
+    body = body.withColumn("__sum", sums.select(packed.alias("p")).scalar())
+    out = body.unionByName(last, allowMissingColumns=True)
+    added = {}
     for i, c in enumerate(columns):
         share = F.try_divide(_q(c), F.col(f"__sum.s{i}"))
-        out = out.withColumn(c + suffix, share)
+        added[c + suffix] = share
         if text_suffix is not None:
-            percent = round_half_even(share * 100, digits)
-            text = F.format_string(f"%d (%.{digits}f%%)", _q(c), percent)
-            out = out.withColumn(c + text_suffix, F.when(share.isNotNull(), text))
-    return out.drop("__sum")
+            text = F.format_string(f"%d (%.{digits}f%%)", _q(c), round_half_even(share * 100, digits))
+            added[c + text_suffix] = F.when(share.isNotNull(), text)
+    return out.withColumns(added).drop("__sum")
 
 
 def threshold_table(df: DataFrame, value: ColumnLike, limit: float, name: str = "above") -> DataFrame:

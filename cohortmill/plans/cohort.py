@@ -34,7 +34,7 @@ from cohortmill.plans.regimens import (
     regimen_name,
     with_act_columns,
 )
-from cohortmill.sources.files import ROW
+from cohortmill.sources.files import ROW, stage
 
 # Country codes of the trials, and the two origins.
 COUNTRIES = {
@@ -117,9 +117,10 @@ def _to_cohort(df: DataFrame) -> DataFrame:
 def curate_trials(days: DataFrame, second_disposition: DataFrame) -> DataFrame:
     """Merged trial days to the cohort shape, with the outcome adjudicated.
 
-    Arm and country of a subject are those of its first row, missing ones included.
+    Arm and country of a subject are those of its first row, missing ones included. The
+    merged days are read several times here, so they are written once.
     """
-    known = days.withColumn("country_name", country_name("country"))
+    known = stage(days.withColumn("country_name", country_name("country")))
     order = [F.col(c).asc_nulls_last() for c in _order_columns(known)]
     named = fill_from_first_row(known, SUBJECT, order, {"arm": "arm_2", "country_name": "country_name_2"})
     second = second_disposition.withColumnRenamed("disposition", "disposition_2").drop("time_source")
@@ -154,7 +155,8 @@ def attach_outcome(observations: DataFrame, patients: DataFrame, columns: Sequen
 
 
 def classify_observations(df: DataFrame) -> DataFrame:
-    return (
+    """Regimen, components and ACT class, written once for the steps that read it again."""
+    return stage(
         df.withColumn("treat_2", regimen_name("treat"))
         .withColumn("components", components("treat_2"))
         .withColumn("act_category", class_by_components("components"))
@@ -204,7 +206,7 @@ def enrich(pooled: DataFrame) -> DataFrame:
     """Subject attributes, outcome class, age and week bands, and the named combination."""
     ordered = ["_order_side"] + [c for c in _order_columns(pooled) if c != "_order_side"]
     order = [F.col(c).asc_nulls_last() for c in ordered]
-    known = fill_from_first_row(pooled, SUBJECT, order, {"age_years": "age", "sex": "gender"})
+    known = fill_from_first_row(stage(pooled), SUBJECT, order, {"age_years": "age", "sex": "gender"})
     banded = (
         known.drop(*ordered)
         .withColumn("code_p", paste("studyid", "usubjid"))

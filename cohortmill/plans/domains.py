@@ -38,7 +38,13 @@ def _first_present(df: DataFrame, names: Sequence[str]) -> Column:
 
 
 def first_value_pivot(
-    df: DataFrame, keys: Sequence[str], names_from: str, value: str, order: Column, names: Sequence[str] | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    names_from: str,
+    value: str,
+    order: Column,
+    names: Sequence[str] | None = None,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """One column per name holding the first value in row order.
 
@@ -46,7 +52,7 @@ def first_value_pivot(
     """
     known = [n for n in categories(df, names_from) if n is not None] if names is None else list(names)
     cells = [F.min_by(value, F.when(F.col(names_from) == n, order)).alias(snake_name(str(n))) for n in known]
-    return df.groupBy(*keys).agg(*cells)
+    return df.groupBy(*keys).agg(*cells, *extra)
 
 
 def prepare_domain(
@@ -78,9 +84,8 @@ def prepare_domain(
         value.alias("__value"),
         F.col(order).alias("__order"),
     )
-    wide = first_value_pivot(long, [*KEYS, "time_source"], "__name", "__value", F.col("__order"), tests)
-    firsts = long.groupBy(*KEYS, "time_source").agg(F.min("__order").alias(order))
-    return left_join(wide, firsts, [*KEYS, "time_source"])
+    first_row = F.min("__order").alias(order)
+    return first_value_pivot(long, [*KEYS, "time_source"], "__name", "__value", F.col("__order"), tests, [first_row])
 
 
 def numeric_time(df: DataFrame) -> DataFrame:
@@ -153,14 +158,15 @@ def merge_subject_days(
 
     Counts carry the attributes and treatments of their subject, findings of other
     domains join in full, and the disposition comes last. Rows that only a finding
-    domain has keep no attributes, as they are filled from the subject later on.
+    domain has keep no attributes, as they are filled from the subject later on. Prepared
+    domains hold a subject-day once, so no key can be hot here.
     The row order columns come back as ``_order_0`` to ``_order_3``.
     """
     base = numeric_time(natural_left_join(mb, dm))
     given = interventions.withColumnRenamed(order, "__given")
     treated = left_join(base, given, [("time", "visitdy"), *SUBJECT])
     treated = treated.withColumn(order, F.struct(order, "__given")).drop("__given")
-    merged = full_merge([treated, pf, rs, vs], KEYS, order=order)
+    merged = full_merge([treated, pf, rs, vs], KEYS, order=order, hot_rows=None)
     return left_join(merged, disposition.drop("time_source"), KEYS)
 
 
