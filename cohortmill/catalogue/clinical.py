@@ -11,7 +11,7 @@ from cohortmill.catalogue import derived as X
 from cohortmill.catalogue import sqltext as S
 from cohortmill.functions import bands, recode, text
 from cohortmill.functions.missing import as_number
-from cohortmill.operators.aggregates import n_rows
+from cohortmill.operators.aggregates import n_distinct, n_rows
 from cohortmill.operators.tables import cross_frequency, frequency
 from cohortmill.plans import cohort as C
 from cohortmill.plans import domains as D
@@ -257,13 +257,6 @@ def outcome_ladder(t: Tables):
     return decided.select("o_orderkey", "outcome", O.outcome_class("outcome").alias("outcome_2"))
 
 
-@query("outcome_rules_used", None)
-def outcome_rules_used(t: Tables):
-    days = C.select_act_subjects(merged_days(t)).withColumn("disposition_2", F.col("disposition"))
-    explained = O.adjudicate(days.withColumnRenamed("arm", "arm_2"), explain=True)
-    return explained.groupBy("outcome_rule", "outcome_correction").agg(n_rows().alias("n"))
-
-
 REGIMENS = recode.invert_groups(R.REGIMEN_CODES)
 CORE_REGIMENS = [r for r, parts in R.COMPONENTS.items() if set(parts) & set(R.CORE_DRUGS) and set(parts) & set(R.PARTNER_DRUGS)]
 
@@ -362,6 +355,39 @@ def _trials(t: Tables) -> DataFrame:
     return C.curate_trials(merged_days(t), D.prepare_disposition(X.dispositions(t)))
 
 
+LIVE_RULES = [
+    ("late, genotyped", "{p} IS NOT NULL AND {t} LIKE '%LATE%'"),
+    ("late parasitological twice", "{t} LIKE '%LATE PARASITOLOGICAL%' AND {w} LIKE '%LATE PARASITOLOGICAL%'"),
+    ("adequate twice", "{w} = 'ACPR' AND {t} = 'ACPR'"),
+    ("adequate in words", "{t} LIKE '%ADEQUATE PARASITOLOGICAL AND CLINICAL RESPONSE%'"),
+    ("early", "({t} LIKE '%EARLY TREATMENT%' OR {t} LIKE '%ETF%')"),
+    ("late by classification", "{w} LIKE '%LATE TREATMENT FAILURE%'"),
+    ("adverse event", "{t} LIKE '%ADVERSE%'"),
+    ("other antimalarial", "{t} LIKE '%ANTI-MALARIAL%'"),
+    ("excluded", "{t} LIKE '%EXCLUDED%'"),
+    ("late clinical, no genotype", "{p} IS NULL AND {a} IS NOT NULL AND {t} LIKE '%LATE CLINICAL FAILURE%'"),
+    ("completed", "{t} = 'COMPLETED' AND {w} = 'ACPR'"),
+    ("code LCF", "{t} = 'LCF'"),
+    ("code LPF", "{t} = 'LPF'"),
+    ("lost", "({t} LIKE '%LOST TO FOLLOW%' OR {t} LIKE '%LOST TO F/UP%' OR {t} LIKE '%LOSS%')"),
+    ("late parasitological, no genotype", "{p} IS NULL AND {w} LIKE '%LATE PARASITOLOGICAL FAILURE%'"),
+]
+RULE_SQL = "CASE " + " ".join(
+    f"WHEN {c.format(p='intp', w='who', t='disposition', a='arm_2')} THEN {S.quote(n)}" for n, c in LIVE_RULES
+) + " ELSE 'default' END"
+
+
+@query("outcome_rules_used", TRIALS_SQL + f" SELECT {RULE_SQL} AS outcome_rule, count(*) AS n FROM a GROUP BY 1")
+def outcome_rules_used(t: Tables):
+    days = merged_days(t)
+    first = {"arm": "arm_2"}
+    order = [F.col(c).asc_nulls_last() for c in days.columns if c.startswith("_order_")]
+    named = C.fill_from_first_row(days, D.SUBJECT, order, first)
+    second = F.lit(None).cast("string").alias("disposition_2")
+    explained = O.adjudicate(C.select_act_subjects(named).select("*", second), explain=True)
+    return explained.groupBy("outcome_rule").agg(n_rows().alias("n"))
+
+
 @query("trial_cohort", TRIALS_SQL + f" SELECT {COHORT_COLUMNS} FROM tc")
 def trial_cohort(t: Tables):
     return _shown(_trials(t))
@@ -543,14 +569,18 @@ def baseline_median_by_arm(t: Tables):
     return P.baseline_median(_analysis(t))
 
 
+STUDY_ARMS = {"act_name_AL": R.AL, "act_name_AS_AQ": R.AS_AQ, "act_name_DHA_PPQ": R.DHA_PPQ, "act_name_AS_MQ": R.AS_MQ}
+
+
 @query(
     "study_table",
     f"""{ANALYSIS_SQL}, p AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY studyid, usubjid ORDER BY _row) = 1),
-g AS (SELECT studyid, count(DISTINCT usubjid) AS n, CASE WHEN count(*) = count(age_years) THEN median(age_years) END AS m,
-  {", ".join(f"CASE WHEN count(*) = count(sex) THEN count(*) FILTER (WHERE sex = '{s}') END AS {s}" for s in "FM")},
-  {", ".join(f"count(*) FILTER (WHERE act_name = {S.quote(a)}) AS act_name_{n}" for n, a in (("AL", R.AL), ("AS_AQ", R.AS_AQ), ("DHA_PPQ", R.DHA_PPQ), ("AS_MQ", R.AS_MQ)))} FROM p GROUP BY studyid)
-SELECT * EXCLUDE (m, F, M), {S.half_even("m", 1)} AS age, {", ".join(f"CASE WHEN {s} = 0 THEN '' ELSE CAST({s} AS VARCHAR) END AS sex_{s}" for s in "FM")},
-  CAST(row_number() OVER (ORDER BY n DESC, studyid) AS INTEGER) AS num FROM g""".replace("AS M,", "AS M_,").replace("AS M\n", "AS M_\n").replace("EXCLUDE (m, F, M)", "EXCLUDE (m, F, M_)").replace("CASE WHEN M =", "CASE WHEN M_ =").replace("CAST(M AS", "CAST(M_ AS"),
+g AS (SELECT studyid, count(DISTINCT usubjid) AS n, CASE WHEN count(*) = count(age_years) THEN median(age_years) END AS middle,
+  {", ".join(f"CASE WHEN count(*) = count(sex) THEN count(*) FILTER (WHERE sex = '{s}') END AS n_{s}" for s in "FM")},
+  {", ".join(f"count(*) FILTER (WHERE act_name = {S.quote(a)}) AS {n}" for n, a in STUDY_ARMS.items())} FROM p GROUP BY studyid)
+SELECT studyid, n, {", ".join(STUDY_ARMS)}, {S.half_even("middle", 1)} AS age,
+  {", ".join(f"CASE WHEN n_{s} = 0 THEN '' ELSE CAST(n_{s} AS VARCHAR) END AS sex_{s}" for s in "FM")},
+  CAST(row_number() OVER (ORDER BY n DESC, studyid) AS INTEGER) AS num FROM g""",
 )
 def study_table(t: Tables):
     return P.study_table(_analysis(t), ["_row"])
@@ -701,8 +731,6 @@ def patient_age_by_follow_up(t: Tables):
   WHERE sid_inv IS NOT NULL AND age_5 = '<5y' AND day_28 = '28' AND act_category = 'ACT' GROUP BY treat, treat_2""",
 )
 def eligible_patients(t: Tables):
-    from cohortmill.operators.aggregates import n_distinct
-
     kept = P.eligible_patients(_described(t))
     return kept.groupBy("treat", "treat_2").agg(
         n_rows().alias("n"),

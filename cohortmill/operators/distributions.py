@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortmill.functions.missing import ColumnLike, as_column, positive_log10
-from cohortmill.operators.quantiles import attach, exact_quantiles
+from cohortmill.operators.quantiles import attach, exact_quantiles, value_counts
 
 
 def _scalar_struct(stats: DataFrame) -> Column:
@@ -109,17 +109,16 @@ def density_curve(df: DataFrame, value: ColumnLike, points: int = 512, scale_to_
 def box_summary(df: DataFrame, value: ColumnLike, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers at the last points within 1.5 IQR, and the number beyond them."""
     by = list(by)
-    rows = df.select(*by, as_column(value).cast("double").alias("__x")).filter("__x IS NOT NULL")
-    quartiles = exact_quantiles(rows, "__x", [0.25, 0.5, 0.75], ["q1", "med", "q3"], by, "linear", "n")
+    quartiles = exact_quantiles(df, value, [0.25, 0.5, 0.75], ["q1", "med", "q3"], by, "linear", "n")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("__x").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        attach(rows, quartiles, by)
+        attach(value_counts(df, value, by), quartiles, by)
         .groupBy(*by, "n", "q1", "med", "q3")
         .agg(
             F.min(F.when(inside, F.col("__x"))).alias("__low"),
             F.max(F.when(inside, F.col("__x"))).alias("__high"),
-            F.count_if(~inside).alias("n_outliers"),
+            F.sum(F.when(inside, 0).otherwise(F.col("__k"))).alias("n_outliers"),
         )
         .select(
             *by,

@@ -88,17 +88,41 @@ def _join(left: DataFrame, right: DataFrame, on: Keys, how: str, suffix, expect:
     return joined.drop(*[f"__key{i}" for i in range(len(right_keys))])
 
 
-def left_join(left, right, on, suffix=SUFFIX, expect="m:m", na_match=True) -> DataFrame:
+def left_join(
+    left, right, on, suffix=SUFFIX, expect="m:m", na_match=True, hot_rows: int | None = None
+) -> DataFrame:
     """Keep every left row; matches multiply it.
 
     ``on`` lists names, or (left name, right name) pairs, and the left name survives.
     ``expect`` ("1:1", "m:1", "1:m", "m:m") checks the uniqueness it promises.
     ``na_match=False`` uses plain equality for keys known not to be missing, which lets
     Spark reuse a bucketing or an earlier shuffle on the same columns.
+    ``hot_rows`` looks for left keys with more rows than that and deals them out over
+    several tasks; it is for joins followed by another step on the same keys, where
+    adaptive execution leaves a hot key alone.
     """
+    if hot_rows is not None:
+        keys = [l for l, _ in _pairs(on)]
+        hot = _hot_keys([left], keys, hot_rows)
+        if not hot.isEmpty():
+            options = (suffix, expect, na_match)
+            cold = _join(anti_join(left, hot, keys), right, on, "left", *options)
+            return cold.unionByName(_dealt_left_join(left, right, on, hot, *options))
     return _join(left, right, on, "left", suffix, expect, na_match)
 
 
+def _dealt_left_join(left, right, on: Keys, hot: DataFrame, suffix, expect, na_match) -> DataFrame:
+    """Left join of the hot keys: left rows dealt out over parts, right rows in every part."""
+    pairs = _pairs(on)
+    keys = [l for l, _ in pairs]
+    parts = hot.select(*[_quoted(l).alias(r) for l, r in pairs], "__parts")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1))
+    copies = inner_join(right, parts, [r for _, r in pairs])
+    copies = copies.select(*[_quoted(c) for c in right.columns], every.alias("__part"))
+    joined = _join(_dealt(left, 0, hot, keys), copies, [*pairs, "__part"], "left", suffix, expect, na_match)
+    return joined.drop("__part")
+
+
 def inner_join(left, right, on, suffix=SUFFIX, expect="m:m", na_match=True) -> DataFrame:
     return _join(left, right, on, "inner", suffix, expect, na_match)
 
@@ -263,14 +287,18 @@ def lookup_with_fallback(df, table, on, preferred: str, fallback: str, output: s
 
 
 def fill_from_first_row(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], attributes: Mapping[str, str], na_match=True
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    attributes: Mapping[str, str],
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Give every row of a key the attributes of that key's first row, missing ones included.
 
     ``attributes`` maps source column to new column. The first rows are picked before
-    the shuffle, so the join back is many to one and a hot key can be split.
+    the shuffle and joined back, many to one; ``hot_rows`` as in ``left_join``.
     """
     firsts = first_per_key(df, keys, order).select(
         *[_quoted(k) for k in keys], *[_quoted(c).alias(new) for c, new in attributes.items()]
     )
-    return left_join(df, firsts, list(keys), na_match=na_match)
+    return left_join(df, firsts, list(keys), hot_rows=hot_rows)

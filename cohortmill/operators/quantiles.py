@@ -50,6 +50,20 @@ def _positions(prob: float, definition: str) -> tuple[Column, Column, Column]:
     raise ValueError(f"unknown quantile definition {definition!r}")
 
 
+def value_counts(df: DataFrame, value: ColumnLike, by: Sequence[str] = ()) -> DataFrame:
+    """Rows per (group, value) as ``__x`` and ``__k``; missing values are left out.
+
+    Equal values are combined before the shuffle, and the shuffle key holds the value, so a
+    large group is spread over all tasks.
+    """
+    return _present(df, value, by).groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__k"))
+
+
+def _present(df: DataFrame, value: ColumnLike, by: Sequence[str]) -> DataFrame:
+    rows = df.select(*by, as_column(value).cast("double").alias("__x"))
+    return rows.filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
+
+
 def exact_quantiles(
     df: DataFrame,
     value: ColumnLike,
@@ -66,16 +80,12 @@ def exact_quantiles(
     present value has no row.
     """
     by = list(by)
-    rows = df.select(*by, as_column(value).cast("double").alias("__x"))
-    rows = rows.filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
-
     edges = sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-BRACKET, BRACKET)})
-    stats = rows.groupBy(*by).agg(
+    stats = _present(df, value, by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"), F.percentile_approx("__x", edges, ACCURACY).alias("__edges")
     )
-    values = rows.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__k"))
     cell = F.size(F.filter("__edges", lambda e: e < F.col("__x")))
-    counts = attach(values, stats, by).select(*by, cell.alias("__cell"), "__x", "__k", "__n")
+    counts = attach(value_counts(df, value, by), stats, by).select(*by, cell.alias("__cell"), "__x", "__k", "__n")
 
     # At most 2 * len(probs) + 1 rows per group reach this window.
     running = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)

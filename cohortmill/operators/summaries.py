@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortmill.functions.missing import as_number, blank_when_zero, round_half_even
-from cohortmill.operators.aggregates import n_distinct, n_missing, strict_count_true
+from cohortmill.operators.aggregates import n_missing, n_rows, strict_count_true
 from cohortmill.operators.dedup import first_per_key
 from cohortmill.operators.joins import left_join
 from cohortmill.operators.quantiles import exact_median, exact_quantiles
@@ -30,7 +30,7 @@ def study_characteristics(
     """
     people = first_per_key(df, [study, subject], order)
     table = people.groupBy(study).agg(
-        n_distinct(subject).alias("n"),
+        n_rows().alias("n"),
         *[strict_count_true(condition).alias(name) for name, condition in counts.items()],
         *[n_missing(source).alias(f"__missing_{name}") for name, source in median_of.items()],
     )

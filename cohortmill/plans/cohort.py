@@ -17,6 +17,7 @@ from cohortmill.functions.recode import lookup
 from cohortmill.functions.text import contains
 from cohortmill.operators.dedup import distinct_rows, first_per_key
 from cohortmill.operators.joins import (
+    HOT_ROWS,
     fill_from_first_row,
     full_merge,
     left_join,
@@ -122,7 +123,7 @@ def curate_trials(days: DataFrame, second_disposition: DataFrame) -> DataFrame:
     """
     known = stage(days.withColumn("country_name", country_name("country")))
     order = [F.col(c).asc_nulls_last() for c in _order_columns(known)]
-    named = fill_from_first_row(known, SUBJECT, order, {"arm": "arm_2", "country_name": "country_name_2"})
+    named = fill_from_first_row(known, SUBJECT, order, {"arm": "arm_2", "country_name": "country_name_2"}, HOT_ROWS)
     second = second_disposition.withColumnRenamed("disposition", "disposition_2").drop("time_source")
     merged = left_join(select_act_subjects(named), second, KEYS)
     return _to_cohort(
@@ -171,7 +172,11 @@ def curate_observations(observations: DataFrame) -> DataFrame:
     chosen = select_subjects(observations, OBSERVED_SUBJECT, F.col("act_category") == "ACT")
     order = [F.col(c).asc_nulls_last() for c in _order_columns(chosen)]
     filled = fill_from_first_row(
-        chosen, OBSERVED_SUBJECT, order, {"treat_2": "arm_2", "site": "country_name_2", "ageyears": "age_years"}
+        chosen,
+        OBSERVED_SUBJECT,
+        order,
+        {"treat_2": "arm_2", "site": "country_name_2", "ageyears": "age_years"},
+        HOT_ROWS,
     )
     return _to_cohort(
         filled.filter(F.col("age_years") < 5)
@@ -206,7 +211,7 @@ def enrich(pooled: DataFrame) -> DataFrame:
     """Subject attributes, outcome class, age and week bands, and the named combination."""
     ordered = ["_order_side"] + [c for c in _order_columns(pooled) if c != "_order_side"]
     order = [F.col(c).asc_nulls_last() for c in ordered]
-    known = fill_from_first_row(stage(pooled), SUBJECT, order, {"age_years": "age", "sex": "gender"})
+    known = fill_from_first_row(stage(pooled), SUBJECT, order, {"age_years": "age", "sex": "gender"}, HOT_ROWS)
     banded = (
         known.drop(*ordered)
         .withColumn("code_p", paste("studyid", "usubjid"))
