@@ -59,11 +59,11 @@ def snake_name(name: str) -> str:
     return f"x{text}" if text[0].isdigit() else text
 
 
-def clean_names(df: DataFrame) -> DataFrame:
-    """Rename every column to snake_case; a repeated name gets _2, _3, and so on."""
+def clean_names(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rename columns to snake_case, but for ``keep``; a repeated name gets _2, _3, and so on."""
     seen: dict[str, int] = {}
     names = []
-    for name in map(snake_name, df.columns):
+    for name in (c if c in keep else snake_name(c) for c in df.columns):
         seen[name] = seen.get(name, 0) + 1
         names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
     return df.toDF(*names)

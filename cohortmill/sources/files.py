@@ -82,7 +82,7 @@ def read_lookup(spark: SparkSession, path: str, schema: StructType | str) -> Dat
 
 def normalise_domain(df: DataFrame, code: str | None = None) -> DataFrame:
     """Lower-case a study domain, call its sequence number ``seq``, drop the domain column."""
-    out = clean_names(df.drop("DOMAIN", "domain"))
+    out = clean_names(df.drop("DOMAIN", "domain"), keep=(ROW,))
     return out.withColumnRenamed(f"{code.lower()}seq", "seq") if code else out
 
 
