@@ -10,7 +10,7 @@ from cohortmill.catalogue import Tables, query
 from cohortmill.catalogue import derived as X
 from cohortmill.catalogue import sqltext as S
 from cohortmill.functions import bands, recode, text
-from cohortmill.functions.missing import as_number
+from cohortmill.functions.missing import as_number, if_else
 from cohortmill.operators.aggregates import n_distinct, n_rows
 from cohortmill.operators.tables import cross_frequency, frequency
 from cohortmill.plans import cohort as C
@@ -540,6 +540,41 @@ def density_by_arm_day_42(t: Tables):
     return _density(t, P.DAY_42)
 
 
+def _subjects_sql(columns, table: str, row: str, column: str, keep: str) -> str:
+    cells = ", ".join(f'count(DISTINCT usubjid) FILTER (WHERE {column} IS NOT DISTINCT FROM {S.quote(v)}) AS "{n}"' for n, v in columns.items())
+    return f"""
+WITH {X.D_SQL}, {X.WIDE_SQL}, w AS (SELECT {row}, {cells} FROM {table} WHERE {keep} GROUP BY {row}),
+z AS (SELECT {row}, {", ".join(f'nullif("{n}", 0) AS "{n}"' for n in columns)}, {" + ".join(f'"{n}"' for n in columns)} AS "Total" FROM w)
+SELECT * FROM z UNION ALL SELECT 'Total', {", ".join(f'CAST(coalesce(sum("{n}"), 0) AS BIGINT)' for n in [*columns, "Total"])} FROM z"""
+
+
+@query(
+    "dispositions_by_day",
+    _subjects_sql({f"{d}.0": d for d in range(1, 31)}, "ds", "disposition", "time", "studyid = 'S1'"),
+)
+def dispositions_by_day(t: Tables):
+    table = D.prepare_disposition(X.dispositions(t), prefer_decoded=False)
+    return P.subjects_by(table.filter("studyid = 'S1'"), "disposition", "time")
+
+
+@query(
+    "responses_by_study",
+    _subjects_sql({c: c for c in sorted(X.CLASSIFIED)}, "rs", "studyid", "who", "time <= 10"),
+)
+def responses_by_study(t: Tables):
+    wide = D.numeric_time(D.prepare_domain(X.responses(t), "rs", tests=["WHOMAL01_NA"]))
+    return P.subjects_by(wide.filter("time <= 10"), "studyid", "whomal01_na")
+
+
+@query(
+    "arms_by_age",
+    f"""{ANALYSIS_SQL} SELECT act_name, CASE WHEN age < 2 THEN '< 2' WHEN age >= 2 THEN '≥ 2' END AS age_5, count(DISTINCT (studyid, usubjid)) AS participants
+FROM x GROUP BY 1, 2""",
+)
+def arms_by_age(t: Tables):
+    return P.arms_by_age(_analysis(t).withColumn("age_5", if_else(F.col("age") < 2, "< 2", "≥ 2")))
+
+
 SHOWN = ["ACPR", "INDETERMINATE", "LOST TO FOLLOW-UP", "LTF", "OTHERS", "RECRUDESCENCE", "REINFECTION"]
 
 

@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 
+from cohortmill.sources.files import stage
+
 
 def glm(df: DataFrame, formula: str, family: str = "gaussian") -> DataFrame:
     """Fit ``formula`` and return one row per coefficient.
 
     Text predictors become indicator columns with the alphabetically first level as the
-    reference. Rows with a missing value in any used column are left out. The fit sends
-    only the normal equations, of the size of the predictors, to the driver.
+    reference. Rows with a missing value in any used column are left out. The fit reads
+    its data several times, so the used columns are written once; only the normal
+    equations, of the size of the predictors, reach the driver.
     """
-    rules = RFormula(formula=formula, stringIndexerOrderType="alphabetDesc", handleInvalid="skip").fit(df)
-    data = rules.transform(df)
+    words = set(re.findall(r"\w+", formula))
+    rows = stage(df if "." in formula else df.select(*[c for c in df.columns if c in words]))
+    rules = RFormula(formula=formula, stringIndexerOrderType="alphabetDesc", handleInvalid="skip").fit(rows)
+    data = rules.transform(rows)
     model = GeneralizedLinearRegression(family=family, featuresCol="features", labelCol="label").fit(data)
     meta = data.schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for kind in meta.values() for a in kind}

@@ -76,6 +76,19 @@ def density_by_arm(data: DataFrame, day: int, arms: Sequence[str] = MAIN_ACTS) -
     return column_percentages(counts, list(arms))
 
 
+def subjects_by(
+    df: DataFrame, row: str, column: str, subject: str = "usubjid", where: str = "both", fill: int | None = None
+) -> DataFrame:
+    """Subjects per row and column category with totals, for looking a merge or a domain over."""
+    return totals(count_table(df, [row], column, n_distinct(subject), fill=fill), where)
+
+
+def arms_by_age(data: DataFrame) -> DataFrame:
+    """Subjects per combination and age condition, most subjects first."""
+    table = data.groupBy("act_name", "age_5").agg(n_distinct(*SUBJECT).alias("participants"))
+    return sorted_report(table, ["participants"], ["act_name", "age_5"])
+
+
 def outcome_by_study(data: DataFrame, outcome: str = "outcome_2", where: str = "col") -> DataFrame:
     """Subjects per study and outcome, with totals, largest study first."""
     known = data.filter(F.col(outcome).isNotNull())
