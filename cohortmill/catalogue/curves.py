@@ -170,6 +170,20 @@ def km_time_to_event(t: Tables):
     return _rounded(K.kaplan_meier(u, F.coalesce("d", "l"), F.col("d").isNotNull()))
 
 
+FINE_SQL = _km_sql("arm").replace("i WHERE time < 50", "i")
+
+
+@query(
+    "km_fine_times",
+    f"""
+WITH i AS (SELECT event_id % 4 AS arm, round(value, 1) AS time, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS event FROM events), {FINE_SQL}
+SELECT arm, {KM_COLUMNS} FROM k""",
+)
+def km_fine_times(t: Tables):
+    x = t.events.select((F.col("event_id") % 4).alias("arm"), F.round("value", 1).alias("time"), F.col("event_type") == "purchase")
+    return _rounded(K.kaplan_meier(x.toDF("arm", "time", "event"), "time", "event", ["arm"], block_width=20))
+
+
 TIMES = [0, 7, 14, 21, 28, 42]
 
 

@@ -104,7 +104,7 @@ def left_join(
     if hot_rows is not None:
         keys = [l for l, _ in _pairs(on)]
         hot = _hot_keys([left], keys, hot_rows)
-        if not hot.isEmpty():
+        if hot is not None:
             options = (suffix, expect, na_match)
             cold = _join(anti_join(left, hot, keys), right, on, "left", *options)
             return cold.unionByName(_dealt_left_join(left, right, on, hot, *options))
@@ -185,16 +185,19 @@ def presence(frames: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
     return counts.select(*[_quoted(k) for k in keys], *flags)
 
 
-def _hot_keys(frames: Sequence[DataFrame], keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows in a frame, written down for the steps that follow.
+def _hot_keys(frames: Sequence[DataFrame], keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows in a frame, or None when there are none.
 
-    There are at most (rows / hot_rows) of them per frame.
+    There are at most (rows / hot_rows) of them per frame. They are written down, so that
+    all steps that follow agree on them.
     """
     counts = _row_counts(frames, keys)
     most = F.array_max("__rows")
+    hot = counts.filter(most > hot_rows)
+    if hot.isEmpty():
+        return None
     return stage(
-        counts.filter(most > hot_rows)
-        .withColumn("__parts", F.ceil(most / hot_rows))
+        hot.withColumn("__parts", F.ceil(most / hot_rows))
         .withColumn("__largest", F.array_position("__rows", most) - 1)
     )
 
@@ -264,7 +267,7 @@ def full_merge(
     if hot_rows is None:
         return plain(frames)
     hot = _hot_keys(frames, keys, hot_rows)
-    if hot.isEmpty():
+    if hot is None:
         return plain(frames)
     dealt = [_dealt(f, i, hot, keys) for i, f in enumerate(frames)]
     met = reduce(lambda a, b: inner_join(a, b, [*keys, "__part"], suffix=suffix), dealt).drop("__part")

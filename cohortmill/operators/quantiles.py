@@ -84,7 +84,7 @@ def exact_quantiles(
     stats = _present(df, value, by).groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"), F.percentile_approx("__x", edges, ACCURACY).alias("__edges")
     )
-    cell = F.size(F.filter("__edges", lambda e: e < F.col("__x")))
+    cell = sum((F.get("__edges", F.lit(i)) < F.col("__x")).cast("int") for i in range(len(edges)))
     counts = attach(value_counts(df, value, by), stats, by).select(*by, cell.alias("__cell"), "__x", "__k", "__n")
 
     # At most 2 * len(probs) + 1 rows per group reach this window.

@@ -1,7 +1,9 @@
 """Kaplan-Meier estimates.
 
 Subjects are first counted per (stratum, time). Only these counts are windowed, so a
-stratum is as long as its number of distinct follow-up times, not of its subjects.
+stratum is as long as its number of distinct follow-up times, not of its subjects. Where
+times are fine-grained and that is long too, ``block_width`` splits the time axis: running
+values are then taken within blocks and over block totals, never over a whole stratum.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortmill.functions.missing import ColumnLike, as_column, if_else
+from cohortmill.operators.joins import inner_join
 
 # Fixed value: the 97.5 % point of the standard normal distribution.
 Z_95 = 1.959963984540054
@@ -39,21 +42,58 @@ def event_counts(df: DataFrame, time: ColumnLike, event: ColumnLike, by: Sequenc
     )
 
 
-def kaplan_meier(df: DataFrame, time: ColumnLike, event: ColumnLike, by: Sequence[str] = (), z: float = Z_95) -> DataFrame:
+def _at_risk(counts: DataFrame, by: Sequence[str], block: Sequence[str]) -> DataFrame:
+    """Add ``n_risk``: everyone with this or a later time."""
+    everyone = F.col("n_event") + F.col("n_censor")
+    later = Window.partitionBy(*by, *block).orderBy("time").rowsBetween(0, Window.unboundedFollowing)
+    own = counts.withColumn("n_risk", F.sum(everyone).over(later))
+    if not block:
+        return own
+    after = Window.partitionBy(*by).orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
+    blocks = counts.groupBy(*by, "__block").agg(F.sum(everyone).alias("__size"))
+    blocks = blocks.select(*by, "__block", F.coalesce(F.sum("__size").over(after), F.lit(0)).alias("__after"))
+    joined = inner_join(own, blocks, [*by, "__block"])
+    return joined.withColumn("n_risk", F.col("n_risk") + F.col("__after")).drop("__after")
+
+
+def _survived(risk: DataFrame, by: Sequence[str], block: Sequence[str]) -> DataFrame:
+    """Add ``surv``, the running product of survival, and ``__v``, the running variance term."""
+    d, n = F.col("n_event").cast("double"), F.col("n_risk").cast("double")
+    step, term = 1 - d / n, F.try_divide(d, n * (n - d))
+    to_here = Window.partitionBy(*by, *block).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    own = risk.withColumn("surv", F.product(step).over(to_here)).withColumn("__v", F.sum(term).over(to_here))
+    if not block:
+        return own
+    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = risk.groupBy(*by, "__block").agg(F.product(step).alias("__s"), F.sum(term).alias("__t"))
+    blocks = blocks.select(
+        *by,
+        "__block",
+        F.coalesce(F.product("__s").over(before), F.lit(1.0)).alias("__s0"),
+        F.coalesce(F.sum("__t").over(before), F.lit(0.0)).alias("__v0"),
+    )
+    joined = inner_join(own, blocks, [*by, "__block"])
+    running = F.coalesce(F.col("__v"), F.lit(0.0)) + F.col("__v0")
+    return joined.withColumn("surv", F.col("surv") * F.col("__s0")).withColumn("__v", running)
+
+
+def kaplan_meier(
+    df: DataFrame,
+    time: ColumnLike,
+    event: ColumnLike,
+    by: Sequence[str] = (),
+    z: float = Z_95,
+    block_width: float | None = None,
+) -> DataFrame:
     """Survival curve with its log-transformed confidence interval, per stratum.
 
     Once the curve reaches zero, standard error and interval are missing.
     """
     counts = event_counts(df, time, event, by)
-    forward = Window.partitionBy(*by).orderBy("time")
-    to_here = forward.rowsBetween(Window.unboundedPreceding, 0)
-    from_here = forward.rowsBetween(0, Window.unboundedFollowing)
-    d, n = F.col("n_event").cast("double"), F.col("n_risk").cast("double")
-    curve = (
-        counts.withColumn("n_risk", F.sum(F.col("n_event") + F.col("n_censor")).over(from_here))
-        .withColumn("surv", F.product(1 - d / n).over(to_here))
-        .withColumn("__v", F.sum(F.try_divide(d, n * (n - d))).over(to_here))
-    )
+    block = [] if block_width is None else ["__block"]
+    if block:
+        counts = counts.withColumn("__block", F.floor(F.col("time") / float(block_width)))
+    curve = _survived(_at_risk(counts, by, block), by, block)
     alive = F.col("surv") > 0
     spread = F.sqrt("__v")
     return curve.select(

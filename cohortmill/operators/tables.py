@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from cohortmill.functions.missing import ColumnLike, as_column, round_half_even
+from cohortmill.sources.files import stage
 
 MAX_CATEGORIES = 1000
 
@@ -62,8 +63,10 @@ def pivot_wider(
 
     Each new column aggregates the cells of its category, so several cells of one id are
     combined by ``aggregate`` and never dropped. ``values`` fixes the column order; without it
-    the categories are read first.
+    the cells are written once, read for their categories, and spread from there.
     """
+    if values is None:
+        cells = stage(cells)
     known = categories(cells, names_from) if values is None else list(values)
     value = as_column(values_from)
     columns = []

@@ -211,6 +211,20 @@ def test_curve_without_censoring_is_the_surviving_share(spark, times):
         assert math.isclose(r["surv"], sum(t > r["time"] for t in times) / len(times), abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("width", [1, 4, 100])
+def test_blocks_of_time_change_nothing(spark, width):
+    rng = np.random.default_rng(13)
+    data = [(str(g), float(t), int(e)) for g, t, e in zip(rng.integers(0, 2, 200), rng.integers(0, 30, 200) / 2, rng.integers(0, 2, 200))]
+    df = spark.createDataFrame(data, "g string, t double, e int")
+    plain = K.kaplan_meier(df, "t", "e", ["g"]).orderBy("g", "time").collect()
+    blocked = K.kaplan_meier(df, "t", "e", ["g"], block_width=width).orderBy("g", "time").collect()
+    assert len(plain) == len(blocked)
+    for a, b in zip(plain, blocked):
+        assert tuple(a)[:5] == tuple(b)[:5]
+        for x, y in zip(tuple(a)[5:], tuple(b)[5:]):
+            assert (x is None) == (y is None) and (x is None or math.isclose(x, y, abs_tol=1e-12))
+
+
 def test_risk_table_and_survival_at(frame):
     df = frame("t int, e int", *SUBJECTS)
     got = {r["time"]: (r["n_risk"], r["cum_event"], r["label"]) for r in K.risk_table(df, "t", "e", [0, 3, 100]).collect()}
