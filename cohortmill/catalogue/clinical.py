@@ -455,12 +455,12 @@ def pooled_cohort(t: Tables):
 
 
 def country_lookup(t: Tables) -> DataFrame:
-    """Countries of some subjects; a few subjects have two."""
+    """Countries of the subjects with a high value; some subjects have two."""
     user = F.col("user_id")
-    listed = X.days(t).filter(user % 4 == 1).select("studyid", "usubjid", "user_id").distinct()
+    listed = X.days(t).filter("value > 200").select("studyid", "usubjid", "user_id").distinct()
     first = F.struct(F.lit("Ghana").alias("c"))
     both = F.array(first, F.struct(F.lit("Togo").alias("c")))
-    names = F.when(user % 8 == 1, both).otherwise(F.array(first))
+    names = F.when(user % 4 == 1, both).otherwise(F.array(first))
     return listed.select("studyid", "usubjid", F.explode(names).alias("n")).select("studyid", "usubjid", F.col("n.c").alias("country_name"))
 
 
@@ -474,7 +474,7 @@ en AS (SELECT po.*, age, gender, {S.case_map("outcome", OUTCOME_CODES, "outcome"
               CAST({S.case_bands("time", bands.WEEK_BANDS)} AS INTEGER) AS week, {S.normal_label("arm_2")} AS arm_norm
        FROM po JOIN ch USING (studyid, usubjid)),
 na AS (SELECT *, {act_name_sql("arm_norm")} AS act_name FROM en),
-co AS (SELECT DISTINCT studyid, usubjid, unnest(CASE WHEN user_id % 8 = 1 THEN ['Ghana', 'Togo'] ELSE ['Ghana'] END) AS country_name_1 FROM d WHERE user_id % 4 = 1),
+co AS (SELECT DISTINCT studyid, usubjid, unnest(CASE WHEN user_id % 4 = 1 THEN ['Ghana', 'Togo'] ELSE ['Ghana'] END) AS country_name_1 FROM d WHERE value > 200),
 fi AS (SELECT na.*, coalesce(country_name_1, country_name_2) AS country_name FROM na LEFT JOIN co USING (studyid, usubjid)
        WHERE age IS NOT NULL AND NOT (time = 1 AND pfmicl IS NULL) AND age_years < 5 AND act_name IN ({", ".join(map(S.quote, R.MAIN_ACTS))}))"""
 )
@@ -775,11 +775,11 @@ def eligible_patients(t: Tables):
 
 
 @query(
-    "hyperparasitaemia",
+    "patients_above_density",
     DESCRIBED_SQL + " SELECT pfmicl0 > 100000 AS above, count(*) AS n FROM q JOIN g USING (sid) WHERE sid_inv IS NOT NULL AND pfmicl0 IS NOT NULL GROUP BY 1",
 )
-def hyperparasitaemia(t: Tables):
-    return P.hyperparasitaemia(_described(t))
+def patients_above_density(t: Tables):
+    return P.above_density(_described(t))
 
 
 @query(

@@ -140,8 +140,7 @@ def microbiology(t: Tables) -> DataFrame:
 
 def genotyping(t: Tables) -> DataFrame:
     result = {"orres": pick(GENOTYPES, F.col("event_id"))}
-    frame = _finding(t, "pf", ["signup"], F.lit("INTP"), result, F.lit(None).cast("string"))
-    return frame.filter(F.col("_row") % 5 < 2)
+    return _finding(t, "pf", ["signup"], F.lit("INTP"), result, F.lit(None).cast("string"))
 
 
 def responses(t: Tables) -> DataFrame:
@@ -170,7 +169,7 @@ def dispositions(t: Tables) -> DataFrame:
 
 def interventions(t: Tables) -> DataFrame:
     event = F.col("event_id")
-    chosen = days(t).filter((F.col("event_type") == "click") & (event % 4 == 0))
+    chosen = days(t).filter(F.col("event_type") == "click")
     return chosen.select(
         "studyid",
         "usubjid",
@@ -184,10 +183,10 @@ def interventions(t: Tables) -> DataFrame:
     )
 
 
-def _wide_sql(name: str, kinds: str, day: str, columns: str, extra: str = "") -> str:
+def _wide_sql(name: str, kinds: str, day: str, columns: str) -> str:
     return (
         f"{name} AS (SELECT studyid, usubjid, {day} AS time, {columns}, min(event_id) AS r_{name} "
-        f"FROM d WHERE event_type IN ({kinds}) {extra} GROUP BY ALL)"
+        f"FROM d WHERE event_type IN ({kinds}) GROUP BY ALL)"
     )
 
 
@@ -207,7 +206,7 @@ WIDE_SQL = ",\n".join(
             f"{first_sql(COUNT_SQL, IS_VIEW)} AS pfmicl, "
             f"{first_sql(COUNT_SQL, IS_CLICK)} AS gfmicl",
         ),
-        _wide_sql("pf", "'signup'", VISIT_DAY_SQL, f"{first_sql(S.pick(GENOTYPES, 'event_id % 3'))} AS intp", "AND event_id % 5 < 2"),
+        _wide_sql("pf", "'signup'", VISIT_DAY_SQL, f"{first_sql(S.pick(GENOTYPES, 'event_id % 3'))} AS intp"),
         _wide_sql("rs", "'error'", VISIT_DAY_SQL, f"{first_sql(S.pick(CLASSIFIED, 'event_id % 5'))} AS who"),
         _wide_sql(
             "vs",
@@ -222,7 +221,7 @@ WIDE_SQL = ",\n".join(
            FROM d WHERE event_type IN ('signup', 'error') QUALIFY row_number() OVER (PARTITION BY studyid, usubjid, day ORDER BY event_id) = 1)""",
         f"""ints AS (SELECT studyid, usubjid, CAST(day AS DOUBLE) AS visitdy, {S.pick(CODES, f"event_id % {len(CODES)}")} AS intrt,
                   {S.pick(["ANTIMALARIAL", "OTHER"], "event_id // 4 % 2")} AS inclas, CAST(event_id % 6 AS DOUBLE) AS visitnum, event_id AS r_in
-           FROM d WHERE event_type = 'click' AND event_id % 4 = 0
+           FROM d WHERE event_type = 'click'
            QUALIFY row_number() OVER (PARTITION BY studyid, usubjid, day, event_id // 4 % 2 ORDER BY event_id) = 1)""",
     ]
 )
@@ -309,10 +308,10 @@ def observation_tables(t: Tables) -> list[DataFrame]:
 
 
 def patient_set(t: Tables) -> DataFrame:
-    """One row per patient with the last day and the outcome."""
+    """One row per patient with a purchase: the day of the last one, and the outcome."""
     return (
         days(t)
-        .filter(F.col("user_id") % 6 != 0)
+        .filter(F.col("event_type") == "purchase")
         .groupBy("sid", "pid", "user_id")
         .agg((F.max("day") - 3).alias("lastday"))
         .select("sid", "pid", "lastday", pick(["LTFRC", "ACPR", "MissedD28", "LTFRI", "LowHb", "NoPfAtInc", None], F.col("user_id")).alias("outcome"))
@@ -342,7 +341,7 @@ o5 AS (SELECT * FROM o4 QUALIFY row_number() OVER (PARTITION BY pid, sid, site,
          ORDER BY r_su NULLS LAST, r_cl NULLS LAST, r_pa NULLS LAST, r_pc NULLS LAST, r_tr NULLS LAST) = 1),
 ob AS (SELECT * FROM o5 WHERE NOT dayofobs < 0),
 ps AS (SELECT sid, pid, max(day) - 3 AS lastday, {S.pick(["LTFRC", "ACPR", "MissedD28", "LTFRI", "LowHb", "NoPfAtInc", None], "user_id % 7")} AS outcome
-       FROM d WHERE user_id % 6 <> 0 GROUP BY sid, pid, user_id),
+       FROM d WHERE event_type = 'purchase' GROUP BY sid, pid, user_id),
 oc AS (SELECT ob.* REPLACE (ob.dayofobs + 1 AS dayofobs), outcome FROM ob
        LEFT JOIN ps ON ob.sid = ps.sid AND ob.pid = ps.pid AND ob.dayofobs = ps.lastday)"""
 OBSERVED_ORDER = "r_su NULLS LAST, r_cl NULLS LAST, r_pa NULLS LAST, r_pc NULLS LAST, r_tr NULLS LAST"

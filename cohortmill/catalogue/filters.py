@@ -61,7 +61,7 @@ def membership_filter(t: Tables):
 @query(
     "eligibility_cohort",
     """
-WITH x AS (SELECT o_orderkey, o_totalprice, o_custkey % 12 AS age, c_mktsegment, o_orderdate
+WITH x AS (SELECT o_orderkey, o_totalprice, c_acctbal / 1000 AS age, c_mktsegment, o_orderdate
            FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
 SELECT c_mktsegment, count(*) AS n_eligible, count(DISTINCT o_orderkey) AS n_orders,
        count(*) FILTER (WHERE o_totalprice > 250000) AS n_high
@@ -71,7 +71,7 @@ GROUP BY c_mktsegment""",
 def eligibility_cohort(t: Tables):
     x = left_join(t.orders, t.customer, [("o_custkey", "c_custkey")], na_match=False)
     kept = x.filter(
-        (F.col("o_custkey") % 12 < 5)
+        (F.col("c_acctbal") / 1000 < 5)
         & F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "FURNITURE")
         & (F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz"))
     )

@@ -19,17 +19,17 @@ STATUS = "nullif(o_orderstatus, 'P')"
     "left_join_nullsafe",
     f"""
 WITH o AS (SELECT o_orderkey, {STATUS} AS st, o_custkey % 50 AS grp FROM orders),
-c AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' END AS st, c_custkey % 50 AS grp,
-             count(*) AS n_cust, max(c_acctbal) AS top FROM customer WHERE c_custkey % 50 < 40 GROUP BY 1, 2)
+c AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' END AS st, CAST(c_nationkey AS BIGINT) AS grp,
+             count(*) AS n_cust, max(c_acctbal) AS top FROM customer GROUP BY 1, 2)
 SELECT o_orderkey, o.st, o.grp, n_cust, top FROM o LEFT JOIN c ON o.st IS NOT DISTINCT FROM c.st AND o.grp IS NOT DISTINCT FROM c.grp""",
 )
 def left_join_nullsafe(t: Tables):
     o = t.orders.select("o_orderkey", missing.na_if("o_orderstatus", "P").alias("st"), (F.col("o_custkey") % 50).alias("grp"))
     third = F.col("c_custkey") % 3
     c = (
-        t.customer.filter(F.col("c_custkey") % 50 < 40)
-        .groupBy(F.when(third == 0, "F").when(third == 1, "O").alias("st"), (F.col("c_custkey") % 50).alias("grp"))
-        .agg(n_rows().alias("n_cust"), F.max("c_acctbal").alias("top"))
+        t.customer.groupBy(
+            F.when(third == 0, "F").when(third == 1, "O").alias("st"), F.col("c_nationkey").cast("long").alias("grp")
+        ).agg(n_rows().alias("n_cust"), F.max("c_acctbal").alias("top"))
     )
     return joins.left_join(o, c, ["st", "grp"])
 
@@ -62,21 +62,19 @@ def natural_left_join(t: Tables):
 @query(
     "full_join_coalesced",
     """
-WITH o AS (SELECT CASE WHEN o_orderkey % 40 = 0 THEN NULL ELSE o_orderkey END AS k, o_totalprice AS price
-           FROM orders WHERE o_orderkey % 3 < 2 AND (o_orderkey % 40 <> 0 OR o_orderkey < 100)),
-l AS (SELECT CASE WHEN l_orderkey % 40 = 0 THEN NULL ELSE l_orderkey END AS k, l_quantity AS qty
-      FROM lineitem WHERE l_orderkey % 3 > 0 AND (l_orderkey % 40 <> 0 OR l_orderkey < 100))
-SELECT coalesce(o.k, l.k) AS k, price, qty FROM o FULL JOIN l ON o.k IS NOT DISTINCT FROM l.k""",
+WITH o AS (SELECT o_orderkey AS k, nullif(o_orderstatus, 'P') AS st, o_totalprice AS price FROM orders),
+l AS (SELECT l_orderkey AS k, nullif(l_linestatus, 'O') AS st, l_quantity AS qty FROM lineitem)
+SELECT coalesce(o.k, l.k) AS k, coalesce(o.st, l.st) AS st, price, qty
+FROM o FULL JOIN l ON o.k IS NOT DISTINCT FROM l.k AND o.st IS NOT DISTINCT FROM l.st""",
 )
 def full_join_coalesced(t: Tables):
-    def side(df, key, value, keep, name):
-        k = F.col(key)
-        rows = df.filter(keep & ((k % 40 != 0) | (k < 100)))
-        return rows.select(F.when(k % 40 != 0, k).alias("k"), F.col(value).alias(name))
-
-    orders = side(t.orders, "o_orderkey", "o_totalprice", F.col("o_orderkey") % 3 < 2, "price")
-    lines = side(t.lineitem, "l_orderkey", "l_quantity", F.col("l_orderkey") % 3 > 0, "qty")
-    return joins.full_join(orders, lines, ["k"])
+    orders = t.orders.select(
+        F.col("o_orderkey").alias("k"), missing.na_if("o_orderstatus", "P").alias("st"), F.col("o_totalprice").alias("price")
+    )
+    lines = t.lineitem.select(
+        F.col("l_orderkey").alias("k"), missing.na_if("l_linestatus", "O").alias("st"), F.col("l_quantity").alias("qty")
+    )
+    return joins.full_join(orders, lines, ["k", "st"])
 
 
 def _slice_sql(kind: str, name: str, row: str) -> str:
@@ -231,16 +229,15 @@ def lookup_with_fallback(t: Tables):
     "event_day_alignment",
     f"""
 WITH d AS (SELECT *, {EVENT_DAY_SQL} - 1 AS day FROM events),
-o AS (SELECT user_id, max(day) AS lastday, max(CASE WHEN event_type = 'purchase' THEN 'BOUGHT' ELSE 'NONE' END) AS outcome_a,
-             round(max(value), 2) AS best FROM d WHERE user_id % 4 <> 0 GROUP BY user_id)
+o AS (SELECT user_id, max(day) AS lastday, round(max(value), 2) AS best FROM d WHERE event_type = 'purchase' GROUP BY user_id)
 SELECT event_id, d.user_id, day + 1 AS day, best FROM d LEFT JOIN o ON d.user_id = o.user_id AND d.day = o.lastday""",
 )
 def event_day_alignment(t: Tables):
-    d = t.events.select("event_id", "user_id", (event_day() - 1).alias("day"), "value")
+    d = t.events.select("event_id", "user_id", (event_day() - 1).alias("day"), "value", "event_type")
     outcome = (
-        d.filter("user_id % 4 <> 0").groupBy("user_id").agg(F.max("day").alias("lastday"), F.round(F.max("value"), 2).alias("best"))
+        d.filter("event_type = 'purchase'").groupBy("user_id").agg(F.max("day").alias("lastday"), F.round(F.max("value"), 2).alias("best"))
     )
-    joined = joins.left_join(d.drop("value"), outcome, ["user_id", ("day", "lastday")])
+    joined = joins.left_join(d.drop("value", "event_type"), outcome, ["user_id", ("day", "lastday")])
     return joined.withColumn("day", F.col("day") + 1)
 
 

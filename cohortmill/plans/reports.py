@@ -243,5 +243,5 @@ def eligible_patients(described: DataFrame, above: float | None = None) -> DataF
     return out if above is None else out.filter(F.col("pfmicl0") > above)
 
 
-def hyperparasitaemia(described: DataFrame, limit: float = HIGH_DENSITY) -> DataFrame:
+def above_density(described: DataFrame, limit: float = HIGH_DENSITY) -> DataFrame:
     return threshold_table(described, "pfmicl0", limit)

@@ -149,7 +149,7 @@ def test_patient_set_reports(spark, paths):
     assert kept.filter("ageyears >= 5 OR lastday <> 28 OR act_category <> 'ACT'").count() == 0
     above = P.eligible_patients(described, P.HYPER_DENSITY).count()
     assert above == kept.filter("pfmicl0 > 250000").count()
-    assert sum(r["n"] for r in P.hyperparasitaemia(described).collect()) == described.filter("pfmicl0 IS NOT NULL").count()
+    assert sum(r["n"] for r in P.above_density(described).collect()) == described.filter("pfmicl0 IS NOT NULL").count()
     assert {r["sid"] for r in P.studies_not_in(registry, patients).collect()} == {"OB3", "OB4"}
 
 
