@@ -18,6 +18,7 @@ from cohortmill.plans import domains as D
 from cohortmill.plans import outcomes as O
 from cohortmill.plans import regimens as R
 from cohortmill.plans import reports as P
+from cohortmill.sources.files import stage
 
 SUBJECT = "studyid, usubjid"
 VITALS = ["WEIGHT_kg", "HEIGHT_cm", "TEMP_C"]
@@ -379,7 +380,7 @@ RULE_SQL = "CASE " + " ".join(
 
 @query("outcome_rules_used", TRIALS_SQL + f" SELECT {RULE_SQL} AS outcome_rule, count(*) AS n FROM a GROUP BY 1")
 def outcome_rules_used(t: Tables):
-    days = merged_days(t)
+    days = stage(merged_days(t))
     first = {"arm": "arm_2"}
     order = [F.col(c).asc_nulls_last() for c in days.columns if c.startswith("_order_")]
     named = C.fill_from_first_row(days, D.SUBJECT, order, first)

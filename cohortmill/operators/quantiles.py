@@ -77,7 +77,7 @@ def exact_quantiles(
 
     ``definition`` is "linear" (interpolate between neighbours) or "averaged" (a value of
     the data, or the mean of two where the rank falls between them). A group with no
-    present value has no row.
+    present value has no row. ``df`` is read twice, for the sketch and for the values.
     """
     by = list(by)
     edges = sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-BRACKET, BRACKET)})

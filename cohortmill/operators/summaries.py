@@ -11,6 +11,7 @@ from cohortmill.operators.aggregates import n_missing, n_rows, strict_count_true
 from cohortmill.operators.dedup import first_per_key
 from cohortmill.operators.joins import left_join
 from cohortmill.operators.quantiles import exact_median, exact_quantiles
+from cohortmill.sources.files import stage
 
 
 def study_characteristics(
@@ -24,14 +25,16 @@ def study_characteristics(
 ) -> DataFrame:
     """One row per study: subjects, rounded medians, conditional counts, running number.
 
-    Subjects are reduced to their first row within the study. A median or count over a
-    missing value is missing. ``num`` numbers the studies by size; its window sees one row
-    per study.
+    Subjects are reduced to their first row within the study, and these rows are written
+    once. A median or count over a missing value is missing. ``num`` numbers the studies by
+    size; its window sees one row per study.
     """
-    people = first_per_key(df, [study, subject], order)
+    firsts = first_per_key(df, [study, subject], order)
+    tests = {f"__is_{name}": condition for name, condition in counts.items()}
+    people = stage(firsts.select(study, *set(median_of.values()), *[c.alias(n) for n, c in tests.items()]))
     table = people.groupBy(study).agg(
         n_rows().alias("n"),
-        *[strict_count_true(condition).alias(name) for name, condition in counts.items()],
+        *[strict_count_true(F.col(f"__is_{name}")).alias(name) for name in counts],
         *[n_missing(source).alias(f"__missing_{name}") for name, source in median_of.items()],
     )
     for name, source in median_of.items():
@@ -59,7 +62,8 @@ def baseline_summary(
     """Long table per group: median and quartiles of numbers, n and share of categories.
 
     Missing values are left out of both. Quartiles are values of the data or the mean of
-    two neighbours, never interpolated further. All categories are counted in one pass.
+    two neighbours, never interpolated further. All categories are counted in one pass, and
+    every number is read twice, so stage ``df`` when it is costly to make.
     """
     pairs = F.array(
         *[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in categorical]

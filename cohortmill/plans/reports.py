@@ -39,6 +39,7 @@ from cohortmill.operators.tables import (
 )
 from cohortmill.plans.domains import SUBJECT
 from cohortmill.plans.regimens import AL, AS_AQ, AS_MQ, DHA_PPQ, MAIN_ACTS, class_by_code, detailed_name
+from cohortmill.sources.files import stage
 
 # The outcomes shown as shares. "LFT" stands as published; it matches nothing,
 # so the class LTF is left out of the shares unless a list is passed.
@@ -127,6 +128,7 @@ def study_table(data: DataFrame, order: Sequence[Column | str]) -> DataFrame:
 
 
 def baseline_table(data: DataFrame) -> DataFrame:
+    """Median and quartiles, n and share at baseline per arm; the joined rows are written once."""
     rows = (
         with_condition(data)
         .filter(F.col("time") == BASELINE_DAY)
@@ -134,6 +136,7 @@ def baseline_table(data: DataFrame) -> DataFrame:
         .withColumn("parasitaemia", detection_status("pfmicl"))
         .withColumn("gender", F.coalesce(na_if("gender", ""), F.lit("No data")))
     )
+    rows = stage(rows.select("act_name", "age", "pfmicl", "gender", "parasitaemia", "condition"))
     return baseline_summary(rows, "act_name", ["age", "pfmicl"], ["gender", "parasitaemia", "condition"])
 
 
@@ -184,7 +187,11 @@ def recrudescence_by_age(observations: DataFrame) -> DataFrame:
 
 
 def quality_profile(observations: DataFrame) -> dict[str, DataFrame]:
-    """Last follow-up days, missing values per patient, and patients seen long or young enough."""
+    """Last follow-up days, missing values per patient, and patients seen long or young enough.
+
+    The observations are read by every part, so they are written once.
+    """
+    observations = stage(observations)
     baseline = observations.filter(F.col("dayofobs") == 0)
     return {
         "last_days": observations.groupBy(as_number("lastdayfup").alias("lastdayfup")).agg(n_rows().alias("n")),
