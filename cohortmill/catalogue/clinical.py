@@ -555,7 +555,7 @@ SELECT * FROM z UNION ALL SELECT 'Total', {", ".join(f'CAST(coalesce(sum("{n}"),
 )
 def dispositions_by_day(t: Tables):
     table = D.prepare_disposition(X.dispositions(t), prefer_decoded=False)
-    return P.subjects_by(table.filter("studyid = 'S1'"), "disposition", "time")
+    return P.subjects_by(table.filter("studyid = 'S1'"), "disposition", "time", values=[float(d) for d in range(1, 31)])
 
 
 @query(
@@ -564,7 +564,7 @@ def dispositions_by_day(t: Tables):
 )
 def responses_by_study(t: Tables):
     wide = D.numeric_time(D.prepare_domain(X.responses(t), "rs", tests=["WHOMAL01_NA"]))
-    return P.subjects_by(wide.filter("time <= 10"), "studyid", "whomal01_na")
+    return P.subjects_by(wide.filter("time <= 10"), "studyid", "whomal01_na", values=sorted(X.CLASSIFIED))
 
 
 @query(

@@ -78,10 +78,10 @@ def density_by_arm(data: DataFrame, day: int, arms: Sequence[str] = MAIN_ACTS) -
 
 
 def subjects_by(
-    df: DataFrame, row: str, column: str, subject: str = "usubjid", where: str = "both", fill: int | None = None
+    df: DataFrame, row: str, column: str, subject: str = "usubjid", where: str = "both", values: Sequence | None = None
 ) -> DataFrame:
     """Subjects per row and column category with totals, for looking a merge or a domain over."""
-    return totals(count_table(df, [row], column, n_distinct(subject), fill=fill), where)
+    return totals(count_table(df, [row], column, n_distinct(subject), values, fill=None), where)
 
 
 def arms_by_age(data: DataFrame) -> DataFrame:
