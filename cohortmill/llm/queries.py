@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.llm.linededup import dedup_lines
+from cohortmill.llm.rules import apply_rules
 from cohortmill.llm.simhash import near_duplicates
 
 
@@ -38,5 +39,11 @@ FROM keyed LEFT JOIN frequent f ON keyed.key = f.key
 GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_line_dedup)}
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = apply_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select(*first, "rule")
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_line_dedup, op10_quality_rules)}
 SQL = {"op4_line_dedup": OP4_SQL}
