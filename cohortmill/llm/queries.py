@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.llm.linededup import dedup_lines
 from cohortmill.llm.rules import apply_rules
+from cohortmill.llm.secrets import scan_secrets
 from cohortmill.llm.simhash import near_duplicates
 
 
@@ -45,5 +46,50 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(*first, "rule")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_line_dedup, op10_quality_rules)}
-SQL = {"op4_line_dedup": OP4_SQL}
+def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_secrets(table(spark, folder, "documents"), min_owners=3, min_chars=16, min_distinct=8)
+
+
+OP8_SQL = r"""
+WITH patterns(rank, kind, pattern, least) AS (VALUES
+    (0, 'assign', '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
+    (1, 'access', 'AKIA[A-Z0-9]+', 20),
+    (2, 'hex', '[0-9a-f]+', 24)),
+texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+matched AS (
+    SELECT doc_id, source, 0 AS rank, regexp_extract_all(text, (SELECT pattern FROM patterns WHERE rank = 0)) AS hits,
+           string_split_regex(text, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?(?:[A-Za-z0-9+/_.=-]+)') AS gaps
+    FROM texts
+    UNION ALL SELECT doc_id, source, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM texts
+    UNION ALL SELECT doc_id, source, 2, regexp_extract_all(text, '[0-9a-f]{24,}'), string_split_regex(text, '[0-9a-f]{24,}') FROM texts),
+turns AS (SELECT doc_id, source, rank, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS turn FROM matched),
+placed AS (
+    SELECT doc_id, source, rank, hit, (sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY turn))::BIGINT AS stop,
+           CASE rank WHEN 0 THEN regexp_extract(hit, (SELECT pattern FROM patterns WHERE rank = 0), 2) ELSE hit END AS value
+    FROM turns),
+base AS (
+    SELECT doc_id, source, p.rank, kind, stop - length(hit) AS start, stop, value
+    FROM placed p JOIN patterns q ON p.rank = q.rank WHERE length(value) >= least),
+judged AS (
+    SELECT value, count(DISTINCT source) >= 3 AS example,
+           length(value) >= 16 AND regexp_matches(value, '[0-9]') AND len(list_distinct(string_split(value, ''))) >= 8 AS live
+    FROM base GROUP BY value),
+extra AS (
+    SELECT DISTINCT doc_id, CASE WHEN example THEN 4 ELSE 3 END AS rank, CASE WHEN example THEN 'example' ELSE 'live' END AS kind,
+           stop - length(b.value) AS start, stop
+    FROM base b JOIN judged j ON b.value = j.value WHERE example OR live),
+every AS (SELECT doc_id, rank, kind, start, stop FROM base UNION ALL SELECT doc_id, rank, kind, start, stop FROM extra),
+per_text AS (
+    SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+           count(*) FILTER (WHERE rank = 3) AS n_live, count(*) FILTER (WHERE rank = 4) AS n_example,
+           string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base_spans,
+           string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+    FROM every GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM documents d LEFT JOIN per_text p ON d.doc_id = p.doc_id
+""".replace("\\\\", "\\")
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_line_dedup, op8_secret_scan, op10_quality_rules)}
+SQL = {"op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL}
