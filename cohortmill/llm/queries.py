@@ -9,6 +9,7 @@ from cohortmill.llm.linededup import dedup_lines
 from cohortmill.llm.rules import apply_rules
 from cohortmill.llm.secrets import scan_secrets
 from cohortmill.llm.simhash import near_duplicates
+from cohortmill.llm.substrings import dedup_substrings
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -91,5 +92,25 @@ FROM documents d LEFT JOIN per_text p ON d.doc_id = p.doc_id
 """.replace("\\\\", "\\")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_line_dedup, op8_secret_scan, op10_quality_rules)}
-SQL = {"op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL}
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return dedup_substrings(table(spark, folder, "documents"), size=20)
+
+
+OP9_SQL = r"""
+WITH parts AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+')) AS word,
+                      generate_subscripts(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), 1) AS i FROM documents),
+texts AS (SELECT doc_id, list(word ORDER BY i) FILTER (WHERE word <> '') AS w FROM parts GROUP BY doc_id),
+numbered AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM texts WHERE len(w) >= 20),
+ranked AS (SELECT doc_id, s, row_number() OVER (PARTITION BY array_to_string(w[s : s + 19], ' ') ORDER BY doc_id, s) AS turn FROM numbered),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS pos FROM ranked WHERE turn > 1),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM texts),
+kept AS (
+    SELECT a.doc_id, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY a.pos) FILTER (WHERE g.pos IS NULL) AS kept
+    FROM words a LEFT JOIN gone g ON a.doc_id = g.doc_id AND a.pos = g.pos GROUP BY a.doc_id)
+SELECT t.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_line_dedup, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
+SQL = {"op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_substring_dedup": OP9_SQL}
