@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortmill.llm.decontaminate import find_leaks
 from cohortmill.llm.linededup import dedup_lines
 from cohortmill.llm.rules import apply_rules
 from cohortmill.llm.secrets import scan_secrets
@@ -16,6 +17,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=5, share=0.8)
+
+
 def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=3, bits=2)
 
@@ -112,5 +117,5 @@ FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_line_dedup, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
 SQL = {"op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_substring_dedup": OP9_SQL}
