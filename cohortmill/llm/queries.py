@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.llm.decontaminate import find_leaks
 from cohortmill.llm.linededup import dedup_lines
+from cohortmill.llm.quality import score_quality
 from cohortmill.llm.rules import apply_rules
 from cohortmill.llm.secrets import scan_secrets
 from cohortmill.llm.simhash import near_duplicates
@@ -52,6 +53,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(*first, "rule")
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(table(spark, folder, "documents"), train_rows=8_000)
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(table(spark, folder, "documents"), min_owners=3, min_chars=16, min_distinct=8)
 
@@ -117,5 +122,5 @@ FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op6_quality_classifier, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
 SQL = {"op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_substring_dedup": OP9_SQL}

@@ -26,7 +26,7 @@ def _marked(chars: bytes) -> np.ndarray:
 SYMBOL, BAR, BANG, UPPER, DIGIT = (_marked(x) for x in (b"#*$%&|<>", b"|", b"!", bytes(range(65, 91)), bytes(range(48, 58))))
 
 
-def _repeated(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def repeated(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """True for each hash that its text holds twice or more."""
     key = mix(hashes + (text.astype(U) + U(1)) * U(0xD6E8FEB86659FD93))
     order = np.argsort(key, kind="stable")
@@ -53,7 +53,7 @@ def count_words(words: Words) -> list[np.ndarray]:
 
     at = words.runs(WINDOW)
     covered = np.zeros(len(words) + WINDOW, np.int64)
-    again = at[_repeated(text[at], run_hashes(hashes, WINDOW)[at])]
+    again = at[repeated(text[at], run_hashes(hashes, WINDOW)[at])]
     np.add.at(covered, again, 1)
     np.add.at(covered, again + WINDOW, -1)
     repeat = np.cumsum(covered)[: len(words)] > 0
