@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.llm.decontaminate import find_leaks
 from cohortmill.llm.linededup import dedup_lines
+from cohortmill.llm.mixing import mix_sources
 from cohortmill.llm.quality import score_quality
 from cohortmill.llm.rules import apply_rules
 from cohortmill.llm.secrets import scan_secrets
@@ -18,6 +19,66 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: The mixture asked for: shares of the tokens by source, by language and by topic.
+SOURCES = {f"src{k}": 0.05 for k in range(20)}
+LANGS = {"en": 0.55, "de": 0.2, "fr": 0.15, "es": 0.1}
+MIX_TOPICS = {"prose": 0.85, "tables": 0.05, "legal": 0.08, "contact": 0.02}
+
+
+def op1_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix_sources(table(spark, folder, "documents"), SOURCES, LANGS, MIX_TOPICS, rounds=50, seed=42)
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("expected_copies", 6).alias("expected_copies"), "copies")
+
+
+def _values(targets: dict[str, float]) -> str:
+    return ", ".join(f"('{k}', {k_at}, {v!r}::DOUBLE)" for k_at, (k, v) in enumerate(targets.items()))
+
+
+def _goal(place: str, targets: str, n: int) -> str:
+    """SQL for what each place of a margin should weigh."""
+    return f"""
+    SELECT m.{place}, CASE WHEN m.{place} = {n} THEN m.mass
+        ELSE coalesce(g.share, 0) / (SELECT sum(share) FROM {targets} WHERE k IN (SELECT {place} FROM mass_{place} WHERE mass > 0))
+             * ((SELECT sum(mass) FROM mass_{place}) - coalesce((SELECT mass FROM mass_{place} WHERE {place} = {n}), 0)) END AS goal_{place}
+    FROM mass_{place} m LEFT JOIN {targets} g ON g.k = m.{place}"""
+
+
+OP1_SQL = f"""
+WITH RECURSIVE
+source_targets(name, k, share) AS (VALUES {_values(SOURCES)}),
+lang_targets(name, k, share) AS (VALUES {_values(LANGS)}),
+topic_targets(name, k, share) AS (VALUES {_values(MIX_TOPICS)}),
+told AS (
+    SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens,
+           CASE WHEN contains(text, ' | ') THEN 'tables'
+                WHEN contains(text, 'icensed under') OR contains(text, 'eleased under') OR contains(text, 'opyright') THEN 'legal'
+                WHEN contains(text, '@') THEN 'contact' ELSE 'prose' END AS topic
+    FROM documents),
+placed AS (
+    SELECT told.*, coalesce(a.k, {len(SOURCES)}) AS s, coalesce(b.k, {len(LANGS)}) AS l, coalesce(c.k, {len(MIX_TOPICS)}) AS t
+    FROM told LEFT JOIN source_targets a ON told.source = a.name LEFT JOIN lang_targets b ON told.lang = b.name LEFT JOIN topic_targets c ON told.topic = c.name),
+cells AS (SELECT s, l, t, sum(n_tokens)::DOUBLE AS tokens FROM placed GROUP BY s, l, t),
+mass_s AS (SELECT s, sum(tokens) AS mass FROM cells GROUP BY s),
+mass_l AS (SELECT l, sum(tokens) AS mass FROM cells GROUP BY l),
+mass_t AS (SELECT t, sum(tokens) AS mass FROM cells GROUP BY t),
+goal_s AS ({_goal("s", "source_targets", len(SOURCES))}),
+goal_l AS ({_goal("l", "lang_targets", len(LANGS))}),
+goal_t AS ({_goal("t", "topic_targets", len(MIX_TOPICS))}),
+rake(i, s, l, t, w, goal_s, goal_l, goal_t) AS (
+    SELECT 0, s, l, t, tokens, goal_s, goal_l, goal_t FROM cells JOIN goal_s USING (s) JOIN goal_l USING (l) JOIN goal_t USING (t)
+    UNION ALL
+    SELECT i + 1, s, l, t, coalesce(w * goal_t / nullif(sum(w) OVER (PARTITION BY t), 0), 0), goal_s, goal_l, goal_t FROM (
+        SELECT i, s, l, t, coalesce(w * goal_l / nullif(sum(w) OVER (PARTITION BY l), 0), 0) AS w, goal_s, goal_l, goal_t FROM (
+            SELECT i, s, l, t, coalesce(w * goal_s / nullif(sum(w) OVER (PARTITION BY s), 0), 0) AS w, goal_s, goal_l, goal_t FROM rake WHERE i < 50))),
+expected AS (
+    SELECT p.*, CASE WHEN c.tokens > 0 THEN r.w / c.tokens ELSE 0 END AS e
+    FROM placed p JOIN cells c USING (s, l, t) JOIN rake r USING (s, l, t) WHERE r.i = 50)
+SELECT doc_id, source, lang, topic, n_tokens, round(e, 6) AS expected_copies,
+       (floor(e) + CASE WHEN ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < e - floor(e) THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM expected
+"""
+
+
 def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=5, share=0.8)
 
@@ -122,5 +183,5 @@ FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op6_quality_classifier, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
-SQL = {"op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_substring_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op6_quality_classifier, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
+SQL = {"op1_source_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_substring_dedup": OP9_SQL}
