@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.llm.decontaminate import find_leaks
+from cohortmill.llm.licences import scan_licences
 from cohortmill.llm.linededup import dedup_lines
 from cohortmill.llm.mixing import mix_sources
 from cohortmill.llm.quality import score_quality
@@ -114,6 +115,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(*first, "rule")
 
 
+def op5_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licences(table(spark, folder, "documents"), overlap=0.6)
+
+
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(table(spark, folder, "documents"), train_rows=8_000)
 
@@ -183,5 +188,5 @@ FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op6_quality_classifier, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op5_licence_scan, op6_quality_classifier, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
 SQL = {"op1_source_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_substring_dedup": OP9_SQL}
