@@ -14,6 +14,7 @@ from cohortmill.llm.rules import apply_rules
 from cohortmill.llm.secrets import scan_secrets
 from cohortmill.llm.simhash import near_duplicates
 from cohortmill.llm.substrings import dedup_substrings
+from cohortmill.llm.toxicity import score_toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -123,6 +124,10 @@ def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(table(spark, folder, "documents"), train_rows=8_000)
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), train_rows=4_000, train_words=20_000, n_landmarks=300)
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_secrets(table(spark, folder, "documents"), min_owners=3, min_chars=16, min_distinct=8)
 
@@ -188,5 +193,5 @@ FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op5_licence_scan, op6_quality_classifier, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op5_licence_scan, op6_quality_classifier, op7_toxicity, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
 SQL = {"op1_source_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_substring_dedup": OP9_SQL}
