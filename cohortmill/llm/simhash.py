@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill.llm.links import components
-from cohortmill.llm.staging import stage
+from cohortmill.llm.staging import fresh, stage
 from cohortmill.llm.words import U, ascii_lower, blocks, xxh64
 
 BITS = 64
@@ -132,18 +132,43 @@ def near_links(prints: DataFrame, bits: int = 2, leaf: int = 256) -> DataFrame:
     return leaf_links(small.unionByName(under_masks(crowded, block_masks(bits, BITS // 4))), bits)
 
 
+def members(docs: DataFrame, id: str, text: str, size: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, print) of each row, staged, with t a hash of the text; and (print, root) of each distinct print."""
+    own = docs.select(F.col(id).alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
+    prints = stage(fingerprints(own, "text", size, "print"), "prints")
+    distinct = prints.select("print").distinct()
+    reach = components(near_links(distinct, bits))
+    return prints, stage(distinct.join(reach, "print", "left").select("print", F.coalesce("root", "print").alias("root")), "roots")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, bits: int = 2) -> DataFrame:
     """One row per row of ``docs``: its id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links.
 
-    Texts link if their fingerprints differ in at most ``bits`` bits. Null and empty texts have fingerprint zero and link like any
-    other. Repeated rows each get their row, in the same component. A NULL id never names a component unless all its ids are NULL.
+    Texts link if their fingerprints differ in at most ``bits`` bits. NULL and empty texts have fingerprint zero and link like any
+    other. Repeated rows each get their row, in the same component. A NULL id names no component unless all its ids are NULL.
     An empty table gives an empty result. Only the columns ``id`` and ``text`` are read, so others may have any name.
     """
-    prints = stage(fingerprints(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), "text", size, "print"), "prints")
-    classes = prints.groupBy("print").agg(F.min("doc_id").alias("low"))
-    distinct = classes.select("print")
-    reach = components(near_links(distinct, bits))
-    lowest = classes.join(reach, "print", "left").select("print", F.coalesce("root", "print").alias("root"), "low")
-    roots = lowest.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = stage(lowest.join(roots, "root").select("print", "component_id"), "named")
-    return prints.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    prints, roots = members(docs, id, text, size, bits)
+    # the smallest id of a print before it meets the root: copies of one text never gather in a task
+    lowest = prints.groupBy("print").agg(F.min("doc_id").alias("low")).join(roots, "print")
+    named = lowest.join(lowest.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("print", "component_id")
+    return prints.join(stage(named, "named"), "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 3, bits: int = 2, most_rows: int = 500_000) -> DataFrame:
+    """One row of ``docs`` per component: the one with the smallest id (NULL last), of equal ids the one with the smallest hash of its text.
+
+    Of rows equal in id and text one stays. Up to ``most_rows`` keys of rows to drop are broadcast; more are met by a shuffle. All
+    columns of ``docs`` stay as they are.
+    """
+    prints, roots = members(docs, id, text, size, bits)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    lowest = prints.groupBy("print").agg(F.min(own).alias("low")).join(roots, "print")
+    lead = lowest.join(lowest.groupBy("root").agg(F.min("low").alias("lead")), "root").select("print", "lead")
+    rows = prints.join(stage(lead, "leads"), "print").select("doc_id", "t", (own == F.col("lead")).alias("stays"))
+    k1, k2 = fresh(docs, "row_key_1", "row_key_2")
+    keyed = docs.withColumns({k1: F.xxhash64(F.col(id)), k2: F.xxhash64(F.col(text))})
+    gone = stage(rows.where("NOT stays").select(F.xxhash64("doc_id").alias(k1), F.col("t").alias(k2)).distinct(), "gone")
+    left = keyed.join(F.broadcast(gone) if gone.count() <= most_rows else gone, [k1, k2], "left_anti")
+    kept = rows.where("stays").agg(F.count(F.lit(1)), F.count_distinct(F.struct("doc_id", "t"))).first()
+    return (left if kept[0] == kept[1] else left.dropDuplicates([k1, k2])).drop(k1, k2)
