@@ -30,11 +30,9 @@ AGAINST = {
 }
 #: Labellers that vote good or not at all: the statistics, each with the value that none may pass.
 FOR = {
-    "plain": {"symbols_per_word": 0.02, "bars_per_word": 0.01, "digits_per_char": 0.05},
-    "calm": {"upper_per_char": 0.15, "bangs_per_word": 0.05, "symbols_per_word": 0.02},
-    "varied": {"repeat_words_per_word": 0.05, "same_as_before_per_word": 0.03, "dup_lines_per_line": 0.05},
-    "readable": {"chars_per_word": 12.0, "symbols_per_word": 0.05, "bangs_per_word": 0.1},
-}
+    "clean": {"symbols_per_word": 0.02, "bars_per_word": 0.01, "digits_per_char": 0.05, "upper_per_char": 0.15, "bangs_per_word": 0.05, "repeat_words_per_word": 0.05, "same_as_before_per_word": 0.03, "dup_lines_per_line": 0.05},
+    "regular": {"chars_per_word": 12.0, "symbols_per_word": 0.05, "bangs_per_word": 0.1, "upper_per_char": 0.3, "same_as_before_per_word": 0.1, "repeat_words_per_word": 0.2},
+}
 LABELLERS = [*AGAINST, *FOR]
 
 
