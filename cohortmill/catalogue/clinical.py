@@ -541,30 +541,38 @@ def density_by_arm_day_42(t: Tables):
     return _density(t, P.DAY_42)
 
 
-def _subjects_sql(columns, table: str, row: str, column: str, keep: str) -> str:
-    cells = ", ".join(f'count(DISTINCT usubjid) FILTER (WHERE {column} IS NOT DISTINCT FROM {S.quote(v)}) AS "{n}"' for n, v in columns.items())
+DAYS = [*range(1, 15), 21, 28]
+
+
+def _subjects_sql(columns, table: str, row: str, column: str, keep: str, other: str | None = None) -> str:
+    """Distinct subjects per cell; ``other`` adds the cells whose category has no column, each counted for itself."""
+    cells = [f'CAST(sum(n) FILTER (WHERE {column} IS NOT DISTINCT FROM {S.quote(v)}) AS BIGINT) AS "{n}"' for n, v in columns.items()]
+    if other:
+        cells.append(f'CAST(sum(n) FILTER (WHERE {column} IS NULL OR {column} NOT IN ({", ".join(map(S.quote, columns.values()))})) AS BIGINT) AS "{other}"')
+    names = [*columns, *([other] if other else [])]
     return f"""
-WITH {X.D_SQL}, {X.WIDE_SQL}, w AS (SELECT {row}, {cells} FROM {table} WHERE {keep} GROUP BY {row}),
-z AS (SELECT {row}, {", ".join(f'nullif("{n}", 0) AS "{n}"' for n in columns)}, {" + ".join(f'"{n}"' for n in columns)} AS "Total" FROM w)
-SELECT * FROM z UNION ALL SELECT 'Total', {", ".join(f'CAST(coalesce(sum("{n}"), 0) AS BIGINT)' for n in [*columns, "Total"])} FROM z"""
+WITH {X.D_SQL}, {X.WIDE_SQL}, k AS (SELECT {row}, {column}, count(DISTINCT usubjid) AS n FROM {table} WHERE {keep} GROUP BY ALL),
+w AS (SELECT {row}, {", ".join(cells)} FROM k GROUP BY {row}),
+z AS (SELECT {row}, {", ".join(f'"{n}"' for n in names)}, {" + ".join(f'coalesce("{n}", 0)' for n in names)} AS "Total" FROM w)
+SELECT * FROM z UNION ALL SELECT 'Total', {", ".join(f'CAST(coalesce(sum("{n}"), 0) AS BIGINT)' for n in [*names, "Total"])} FROM z"""
 
 
 @query(
     "dispositions_by_day",
-    _subjects_sql({f"{d}.0": d for d in range(1, 31)}, "ds", "disposition", "time", "studyid = 'S1'"),
+    _subjects_sql({f"{d}.0": d for d in DAYS}, "ds", "disposition", "time", "studyid = 'S1'", "other days"),
 )
 def dispositions_by_day(t: Tables):
     table = D.prepare_disposition(X.dispositions(t), prefer_decoded=False)
-    return P.subjects_by(table.filter("studyid = 'S1'"), "disposition", "time", values=[float(d) for d in range(1, 31)])
+    return P.subjects_by(table.filter("studyid = 'S1'"), "disposition", "time", values=[float(d) for d in DAYS], other="other days")
 
 
 @query(
     "responses_by_study",
-    _subjects_sql({c: c for c in sorted(X.CLASSIFIED)}, "rs", "studyid", "who", "time <= 10"),
+    _subjects_sql({c: c for c in sorted(X.CLASSIFIED)}, "rs", "studyid", "who", "true"),
 )
 def responses_by_study(t: Tables):
     wide = D.numeric_time(D.prepare_domain(X.responses(t), "rs", tests=["WHOMAL01_NA"]))
-    return P.subjects_by(wide.filter("time <= 10"), "studyid", "whomal01_na", values=sorted(X.CLASSIFIED))
+    return P.subjects_by(wide, "studyid", "whomal01_na", values=sorted(X.CLASSIFIED))
 
 
 @query(
@@ -635,10 +643,11 @@ y AS (SELECT act_name, age, pfmicl, CASE WHEN gender IS NULL OR gender = '' THEN
         coalesce({S.case_map("condition", {"ACPR": "Acpr", "RECRUDESCENCE": "Recrudescence", "REINFECTION": "Reinfection", "LTF": "Ltf", "LOST TO FOLLOW-UP": "Lost To Follow-Up", "OTHERS": "Others", "INDETERMINATE": "Indeterminate"})}, 'NPI') AS condition
       FROM x LEFT JOIN k USING (studyid, usubjid) WHERE time = 1),
 c AS (SELECT unnest([{{variable: 'gender', level: gender}}, {{variable: 'parasitaemia', level: parasitaemia}}, {{variable: 'condition', level: condition}}], recursive := true), act_name FROM y),
-n AS (SELECT variable, level, act_name, count(*) AS n FROM c GROUP BY ALL),
+n AS (SELECT l.variable, l.level, a.act_name, count(c.variable) AS n FROM (SELECT DISTINCT variable, level FROM c WHERE level IS NOT NULL) l
+      CROSS JOIN (SELECT DISTINCT act_name FROM c) a LEFT JOIN c ON c.variable = l.variable AND c.level = l.level AND c.act_name IS NOT DISTINCT FROM a.act_name GROUP BY ALL),
 v AS (SELECT 'age' AS variable, act_name, age AS v FROM y WHERE age IS NOT NULL UNION ALL SELECT 'pfmicl', act_name, pfmicl FROM y WHERE pfmicl IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY variable, act_name ORDER BY v) AS rn, count(*) OVER (PARTITION BY variable, act_name) AS n FROM v)
-SELECT variable, level, act_name, n, round(n / sum(n) OVER (PARTITION BY variable, act_name), 10) AS share, NULL::DOUBLE AS median FROM n
+SELECT variable, level, act_name, n, round(n / nullif(sum(n) OVER (PARTITION BY variable, act_name), 0), 10) AS share, NULL::DOUBLE AS median FROM n
 UNION ALL SELECT variable, NULL, act_name, max(n), NULL, round(median(v), 8) FROM r GROUP BY variable, act_name""",
 )
 def baseline_table(t: Tables):
@@ -651,8 +660,9 @@ DETECTED = {"0 ~ Negative": "= 0", "≥1 ~ Positive": "> 0", "No data/Not measur
 
 @query(
     "detection_by_genotype",
-    f"""{ANALYSIS_SQL} SELECT act_name, intp, {", ".join(f'count(*) FILTER (WHERE pfmicl {c}) AS "{n}"' for n, c in DETECTED.items())}
-FROM x WHERE time = 29 GROUP BY act_name, intp""",
+    f"""{ANALYSIS_SQL}, y AS (SELECT true AS met, * FROM x WHERE time = 29), a AS (SELECT DISTINCT act_name FROM y), i AS (SELECT DISTINCT intp FROM y)
+SELECT a.act_name, i.intp, {", ".join(f'count(*) FILTER (WHERE met AND pfmicl {c}) AS "{n}"' for n, c in DETECTED.items())}
+FROM a CROSS JOIN i LEFT JOIN y ON a.act_name IS NOT DISTINCT FROM y.act_name AND i.intp IS NOT DISTINCT FROM y.intp GROUP BY a.act_name, i.intp""",
 )
 def detection_by_genotype(t: Tables):
     return P.detection_by_genotype(_analysis(t))
@@ -661,8 +671,10 @@ def detection_by_genotype(t: Tables):
 @query(
     "density_histogram",
     f"""{ANALYSIS_SQL}, h AS (SELECT act_name, intp, log10(pfmicl) AS v FROM x WHERE time = 1 AND pfmicl > 0 AND intp IS NOT NULL),
-s AS (SELECT min(v) AS lo, (max(v) - min(v)) / 29.0::DOUBLE AS w FROM h)
-SELECT act_name, intp, CAST(greatest(0, least(29, ceil((v - lo) / w - 0.5::DOUBLE))) AS INTEGER) AS bin, count(*) AS n FROM h, s GROUP BY ALL""",
+s AS (SELECT min(v) AS lo, (max(v) - min(v)) / 29.0::DOUBLE AS w FROM h),
+b AS (SELECT act_name, intp, CAST(greatest(0, least(29, ceil((v - lo) / w - 0.5::DOUBLE))) AS INTEGER) AS bin FROM h, s),
+f AS (SELECT DISTINCT act_name, intp FROM b), g AS (SELECT CAST(unnest(range(30)) AS INTEGER) AS bin)
+SELECT f.act_name, f.intp, g.bin, (SELECT count(*) FROM b WHERE b.bin = g.bin AND b.act_name IS NOT DISTINCT FROM f.act_name AND b.intp = f.intp) AS n FROM f, g""",
 )
 def density_histogram(t: Tables):
     return P.density_histogram(_analysis(t)).select("act_name", "intp", "bin", "n")

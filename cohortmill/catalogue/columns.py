@@ -188,18 +188,18 @@ def composite_keys(t: Tables):
     )
 
 
-RAW_NUMBER = ["12", " 12 ", "1e2", "1d", "NA", "", "abc", "-0.5", "7."]
+RAW_NUMBER = ["12", " 12 ", "1e2", "1d", "NA", "", "abc", "-0.5", "7.", "NaN"]
 
 
 @query(
     "numeric_coercion",
     f"""
-WITH x AS (SELECT event_id, {S.pick(RAW_NUMBER, "event_id % 10")} AS raw, value FROM events),
+WITH x AS (SELECT event_id, {S.pick(RAW_NUMBER, "event_id % 11")} AS raw, value FROM events),
 y AS (SELECT raw, {S.number("raw")} AS num, value FROM x)
 SELECT raw, num, count(*) AS n, count(num) AS n_parsed, round(avg(value + num), 4) AS mean_sum FROM y GROUP BY raw, num""",
 )
 def numeric_coercion(t: Tables):
-    raw = F.try_element_at(F.array(*[F.lit(v) for v in RAW_NUMBER]), (F.col("event_id") % 10 + 1).cast("int"))
+    raw = F.try_element_at(F.array(*[F.lit(v) for v in RAW_NUMBER]), (F.col("event_id") % 11 + 1).cast("int"))
     rows = t.events.select(raw.alias("raw"), "value").withColumn("num", missing.as_number("raw"))
     return rows.groupBy("raw", "num").agg(
         n_rows().alias("n"),

@@ -88,7 +88,7 @@ def conditional_sums_na(t: Tables):
 SELECT o_custkey % 150 AS sid, count(DISTINCT o_custkey) AS n,
        CAST(coalesce(sum(CASE WHEN st = 'F' THEN 1 WHEN st <> 'F' THEN 0 END), 0) AS BIGINT) AS failure
 FROM (SELECT *, nullif(o_orderstatus, 'P') AS st FROM orders) GROUP BY 1
-ORDER BY failure DESC NULLS LAST, sid LIMIT 100""",
+ORDER BY failure DESC NULLS LAST, sid""",
 )
 def failures_by_study(t: Tables):
     x = t.orders.select((F.col("o_custkey") % 150).alias("sid"), "o_custkey", missing.na_if("o_orderstatus", "P").alias("st"))
@@ -109,10 +109,10 @@ def missing_profile(t: Tables):
 @query(
     "subjects_followed",
     f"""
-SELECT count(DISTINCT user_id) AS n FROM events WHERE {EVENT_DAY_SQL} > 27 AND value > 60""",
+SELECT count(DISTINCT user_id) AS n FROM events WHERE {EVENT_DAY_SQL} > 27""",
 )
 def subjects_followed(t: Tables):
-    return subjects_where(t.events, ["user_id"], (event_day() > 27) & (F.col("value") > 60))
+    return subjects_where(t.events, ["user_id"], event_day() > 27)
 
 
 @query(
@@ -208,7 +208,7 @@ def _type2(p: float) -> str:
 def _percent_text(n: str, share: str) -> str:
     return (
         f"CAST({n} AS VARCHAR) || ' (' || CASE WHEN {share} * 100 >= 10 THEN printf('%.0f%%', {S.half_even(share + ' * 100', 0)}) "
-        f"ELSE printf('%.1f%%', {S.half_even(share + ' * 100', 1)}) END || ')'"
+        f"WHEN {share} * 100 >= 0.1 THEN printf('%.1f%%', {S.half_even(share + ' * 100', 1)}) WHEN {share} > 0 THEN '<0.1%' ELSE '0%' END || ')'"
     )
 
 
@@ -216,10 +216,11 @@ def _percent_text(n: str, share: str) -> str:
     "baseline_summary_by_group",
     f"""
 WITH x AS (SELECT c_mktsegment AS arm, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS price,
-                  c_acctbal AS balance, nullif(o_orderstatus, 'P') AS status, o_orderpriority AS priority
+                  c_acctbal AS balance, CASE WHEN o_orderstatus = 'P' AND c_mktsegment = 'BUILDING' THEN 'only here' ELSE nullif(o_orderstatus, 'P') END AS status, o_orderpriority AS priority
            FROM orders JOIN customer ON o_custkey = c_custkey),
 c AS (SELECT 'status' AS variable, status AS level, arm FROM x UNION ALL SELECT 'priority', priority, arm FROM x),
-k AS (SELECT variable, level, arm, count(*) AS n FROM c WHERE level IS NOT NULL GROUP BY ALL),
+k AS (SELECT l.variable, l.level, a.arm, count(c.variable) AS n FROM (SELECT DISTINCT variable, level FROM c WHERE level IS NOT NULL) l
+      CROSS JOIN (SELECT DISTINCT arm FROM c) a LEFT JOIN c ON c.variable = l.variable AND c.level = l.level AND c.arm = a.arm GROUP BY ALL),
 s AS (SELECT *, n / sum(n) OVER (PARTITION BY variable, arm) AS share FROM k),
 v AS (SELECT 'price' AS variable, arm, price AS v FROM x WHERE price IS NOT NULL
       UNION ALL SELECT 'balance', arm, balance FROM x WHERE balance IS NOT NULL),
@@ -236,7 +237,9 @@ def baseline_summary_by_group(t: Tables):
         F.col("c_mktsegment").alias("arm"),
         F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("price"),
         F.col("c_acctbal").alias("balance"),
-        missing.na_if("o_orderstatus", "P").alias("status"),
+        F.when((F.col("o_orderstatus") == "P") & (F.col("c_mktsegment") == "BUILDING"), "only here")
+        .otherwise(missing.na_if("o_orderstatus", "P"))
+        .alias("status"),
         F.col("o_orderpriority").alias("priority"),
     )
     table = baseline_summary(x, "arm", ["price", "balance"], ["status", "priority"])
@@ -247,15 +250,13 @@ def baseline_summary_by_group(t: Tables):
 @query(
     "share_within_group",
     f"""
-WITH g AS (SELECT user_id % 20 AS study, event_type, count(DISTINCT user_id) AS n FROM events
-           WHERE event_type IN ('view', 'click', 'purchase') AND value > 30 GROUP BY ALL),
+WITH g AS (SELECT user_id % 20 AS study, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY ALL),
 s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY study) AS BIGINT) AS total_n FROM g),
 r AS (SELECT study, CAST(row_number() OVER (ORDER BY total_n, study) AS INTEGER) AS group_rank FROM (SELECT DISTINCT study, total_n FROM s))
 SELECT s.study, event_type, n, total_n, round(n / total_n, 8) AS prop, group_rank FROM s JOIN r USING (study)""",
 )
 def share_within_group(t: Tables):
-    x = t.events.filter(F.col("event_type").isin("view", "click", "purchase") & (F.col("value") > 30))
-    counts = x.groupBy((F.col("user_id") % 20).alias("study"), "event_type").agg(A.n_distinct("user_id").alias("n"))
+    counts = t.events.groupBy((F.col("user_id") % 20).alias("study"), "event_type").agg(A.n_distinct("user_id").alias("n"))
     return share_within(counts, ["study"]).withColumn("prop", F.round("prop", 8))
 
 

@@ -20,8 +20,9 @@ def _histogram_sql(source: str, x: str, bins: int, facets: str = "") -> str:
 WITH x AS (SELECT {lead}CASE WHEN {x} IS NOT NULL THEN {x} END AS x FROM {source}),
 s AS (SELECT min(x) AS lo, (max(x) - min(x)) / {bins - 1}.0::DOUBLE AS w FROM x),
 b AS (SELECT {lead}CAST(greatest(0, least({bins - 1}, ceil((x - lo) / w - 0.5::DOUBLE))) AS INTEGER) AS bin, lo, w FROM x, s WHERE x IS NOT NULL)
-SELECT {lead}bin, round(lo + (bin - 0.5::DOUBLE) * w, 8) AS lower, round(lo + (bin + 0.5::DOUBLE) * w, 8) AS upper, count(*) AS n
-FROM b GROUP BY {lead}bin, lo, w"""
+SELECT {"f.kind AS kind, " if facets else ""}CAST(g.bin AS INTEGER) AS bin, round(lo + (g.bin - 0.5::DOUBLE) * w, 8) AS lower, round(lo + (g.bin + 0.5::DOUBLE) * w, 8) AS upper,
+       (SELECT count(*) FROM b WHERE b.bin = g.bin{" AND b.kind IS NOT DISTINCT FROM f.kind" if facets else ""}) AS n
+FROM (SELECT unnest(range({bins})) AS bin) g, s{", (SELECT DISTINCT kind FROM b) f" if facets else ""}"""
 
 
 def _edges(df):
@@ -96,9 +97,9 @@ def box_summary(t: Tables):
     return table.withColumns({c: F.round(c, 4) for c in ("whisker_low", "q1", "median", "q3", "whisker_high")})
 
 
-@query("bar_counts", "SELECT p_type, count(*) AS n FROM part WHERE p_size > 10 GROUP BY p_type")
+@query("bar_counts", "SELECT p_type, count(*) AS n FROM part GROUP BY p_type")
 def bar_counts(t: Tables):
-    return D.bar_counts(t.part.filter("p_size > 10"), "p_type")
+    return D.bar_counts(t.part, "p_type")
 
 
 INPUT_SQL = f"""
@@ -212,7 +213,7 @@ def km_survival_at(t: Tables):
 # the deviations within levels, then the level means.
 GLM_SQL = """
 WITH x AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'M' END AS sex, c_acctbal / 1000 AS age, o_totalprice / 1000 AS y
-           FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'),
+           FROM orders JOIN customer ON o_custkey = c_custkey),
 g AS (SELECT sex, avg(age) AS ma, avg(y) AS my, count(*) AS n FROM x GROUP BY sex),
 w AS (SELECT sum((age - ma) * (y - my)) AS sxy, sum((age - ma) * (age - ma)) AS sxx FROM x JOIN g USING (sex)),
 c AS (SELECT sxy / sxx AS slope, sxx, f.my - sxy / sxx * f.ma AS a, (m.my - sxy / sxx * m.ma) - (f.my - sxy / sxx * f.ma) AS b,
@@ -227,7 +228,7 @@ SELECT term, round(estimate, 5) AS estimate, round(std_error, 5) AS std_error, r
 @query("glm_fit", GLM_SQL)
 def glm_fit(t: Tables):
     x = left_join(t.orders, t.customer, [("o_custkey", "c_custkey")], na_match=False)
-    x = x.filter("o_orderstatus <> 'P'").select(
+    x = x.select(
         F.when(F.col("o_orderstatus") == "F", "F").otherwise("M").alias("sex"),
         (F.col("c_acctbal") / 1000).alias("age"),
         (F.col("o_totalprice") / 1000).alias("y"),

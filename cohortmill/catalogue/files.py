@@ -53,6 +53,31 @@ def csv_missing_policies(t: Tables):
     return kept.join(nulled, "id")
 
 
+@query(
+    "csv_by_name",
+    "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer",
+)
+def csv_by_name(t: Tables):
+    """Two files with their columns in different orders, one of them with a column nobody declares."""
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), "c_mktsegment")
+    one, two = _folder(t), _folder(t)
+    write_csv(rows.filter("id % 2 = 0").select("balance", "id", "name"), one)
+    write_csv(rows.filter("id % 2 = 1").select("c_mktsegment", "name", "id", "balance"), two)
+    return read_table(t.spark, [one, two], "id long, name string, balance double")
+
+
+QUOTED = r"""concat('"', doc_id, '", \\ "" ', text, '\\')"""
+
+
+@query("csv_quoted_text", r"""SELECT doc_id AS id, concat('"', doc_id, '", \ "" ', text, '\') AS body, lang FROM documents""")
+def csv_quoted_text(t: Tables):
+    """Quotes, commas, backslashes and line breaks come back as they were."""
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.expr(QUOTED).alias("body"), "lang")
+    folder = _folder(t)
+    write_csv(rows, folder)
+    return read_table(t.spark, folder, "id long, body string, lang string", multiline=True)
+
+
 @query(
     "analysis_extract",
     "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice > 100000",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortmill.catalogue import Tables, query
+from cohortmill.catalogue import sqltext as S
 from cohortmill.catalogue.derived import EVENT_DAY_SQL, event_day
 from cohortmill.functions import missing
 from cohortmill.operators import joins
@@ -77,18 +78,18 @@ def full_join_coalesced(t: Tables):
     return joins.full_join(orders, lines, ["k", "st"])
 
 
-def _slice_sql(kind: str, name: str, row: str) -> str:
+def _slice_sql(kind: list[str], name: str, row: str) -> str:
     return (
         f"(SELECT user_id AS uid, CASE WHEN day = 30 THEN NULL ELSE day END AS day, value AS {name}, event_id AS {row} "
-        f"FROM d WHERE event_type = '{kind}')"
+        f"FROM d WHERE event_type IN ({', '.join(map(S.quote, kind))}))"
     )
 
 
-KINDS = ["view", "click", "signup", "purchase"]
+KINDS = [["view"], ["click"], ["signup"], ["purchase", "error"]]
 MERGE_SQL = f"""
 WITH d AS (SELECT *, {EVENT_DAY_SQL} AS day FROM events),
-a AS {_slice_sql("view", "v0", "r0")}, b AS {_slice_sql("click", "v1", "r1")},
-c AS {_slice_sql("signup", "v2", "r2")}, e AS {_slice_sql("purchase", "v3", "r3")},
+a AS {_slice_sql(KINDS[0], "v0", "r0")}, b AS {_slice_sql(KINDS[1], "v1", "r1")},
+c AS {_slice_sql(KINDS[2], "v2", "r2")}, e AS {_slice_sql(KINDS[3], "v3", "r3")},
 m1 AS (SELECT coalesce(a.uid, b.uid) AS uid, coalesce(a.day, b.day) AS day, v0, r0, v1, r1
        FROM a FULL JOIN b ON a.uid IS NOT DISTINCT FROM b.uid AND a.day IS NOT DISTINCT FROM b.day),
 m2 AS (SELECT coalesce(m.uid, c.uid) AS uid, coalesce(m.day, c.day) AS day, v0, r0, v1, r1, v2, r2
@@ -100,7 +101,7 @@ m3 AS (SELECT coalesce(m.uid, e.uid) AS uid, coalesce(m.day, e.day) AS day, v0,
 def _slices(t: Tables):
     day = event_day()
     return [
-        t.events.filter(F.col("event_type") == kind).select(
+        t.events.filter(F.col("event_type").isin(kind)).select(
             F.col("user_id").alias("uid"),
             F.when(day != 30, day).alias("day"),
             F.col("value").alias(f"v{i}"),
@@ -118,8 +119,7 @@ SELECT uid, day, v0, v1, v2, v3 FROM m3
 QUALIFY row_number() OVER (PARTITION BY uid, day ORDER BY r0 NULLS LAST, r1 NULLS LAST, r2 NULLS LAST, r3 NULLS LAST) = 1""",
 )
 def multiway_full_merge(t: Tables):
-    merged = joins.full_merge(_slices(t), ["uid", "day"], order="_row")
-    firsts = first_per_key(merged, ["uid", "day"], joins.merged_order(4))
+    firsts = joins.merge_first_rows(_slices(t), ["uid", "day"], "_row")
     return firsts.select("uid", "day", "v0", "v1", "v2", "v3")
 
 

@@ -16,7 +16,7 @@ ColumnLike = Column | str
 # A plain or scientific decimal; Spark alone would also accept Java suffixes such as "1d".
 _DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _HEX = r"^0[xX][0-9a-fA-F]+$"
-_SPECIAL = r"(?i)^[+-]?(inf|infinity|nan)$"
+_INFINITE = r"(?i)^[+-]?(inf|infinity)$"
 
 
 def as_column(value: ColumnLike) -> Column:
@@ -74,10 +74,13 @@ def str_c(*columns: ColumnLike, sep: str = "") -> Column:
 
 
 def as_number(column: ColumnLike) -> Column:
-    """Text to double; anything that is not a number becomes NULL instead of failing."""
+    """Text to double; anything that is not a number, NaN included, becomes NULL instead of failing.
+
+    Spark sorts NaN above all numbers and finds it greater than any, where every comparison should be missing.
+    """
     text = F.trim(as_column(column).cast("string"))
     return (
-        F.when(text.rlike(_DECIMAL) | text.rlike(_SPECIAL), text.try_cast("double"))
+        F.when(text.rlike(_DECIMAL) | text.rlike(_INFINITE), text.try_cast("double"))
         .when(text.rlike(_HEX), F.conv(F.substring(text, 3, 64), 16, 10).try_cast("double"))
     )
 

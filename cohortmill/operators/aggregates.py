@@ -10,10 +10,14 @@ from cohortmill.functions.missing import ColumnLike, as_column
 def n_distinct(*columns: ColumnLike, na_rm: bool = False) -> Column:
     """Distinct values; unless ``na_rm``, a missing value counts as one value.
 
-    A struct is never NULL itself, so wrapping the columns makes the missing one count.
+    Of one column the missing value is added to the count of the others, so that both
+    policies share one distinct set. Several columns are wrapped: a struct is never NULL.
     """
     if na_rm:
         return F.count_distinct(*[as_column(c) for c in columns])
+    if len(columns) == 1:
+        missing = F.max(as_column(columns[0]).isNull().cast("long"))
+        return F.count_distinct(as_column(columns[0])) + F.coalesce(missing, F.lit(0).cast("long"))
     return F.count_distinct(F.struct(*[as_column(c) for c in columns]))
 
 

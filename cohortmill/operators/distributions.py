@@ -17,7 +17,7 @@ def _scalar_struct(stats: DataFrame) -> Column:
 def histogram(
     df: DataFrame, value: ColumnLike, bins: int, facets: Sequence[str] = (), log10: bool = False
 ) -> DataFrame:
-    """Counts in equal bins shared by all facets; empty bins are not listed.
+    """Counts in equal bins shared by all facets; every facet lists all bins, empty ones with 0.
 
     The first and last bin are centred on the smallest and the largest value, and a value
     on an edge belongs to the lower bin. ``log10`` bins the logarithm and leaves out values
@@ -31,18 +31,20 @@ def histogram(
     width = F.when(raw > 0, raw).otherwise(F.lit(0.1))
     place = F.ceil((F.col("__x") - lo) / F.col("__w") - 0.5)
     index = F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)).cast("int")
-    return (
+    counted = (
         rows.withColumn("__span", span)
         .withColumn("__w", width)
         .groupBy(*facets, index.alias("bin"), lo.alias("__lo"), "__w")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            *facets,
-            "bin",
-            (F.col("__lo") + (F.col("bin") - 0.5) * F.col("__w")).alias("lower"),
-            (F.col("__lo") + (F.col("bin") + 0.5) * F.col("__w")).alias("upper"),
-            "n",
-        )
+    )
+    # one row per facet, with at most ``bins`` entries
+    full = counted.groupBy(*facets, "__lo", "__w").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("__n"))
+    return full.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).select(
+        *facets,
+        "bin",
+        (F.col("__lo") + (F.col("bin") - 0.5) * F.col("__w")).alias("lower"),
+        (F.col("__lo") + (F.col("bin") + 0.5) * F.col("__w")).alias("upper"),
+        F.coalesce(F.try_element_at("__n", F.col("bin")), F.lit(0)).alias("n"),
     )
 
 

@@ -6,7 +6,9 @@ of one name. No side is hinted for broadcast: Spark compares its own size estima
 with adaptive execution the measured shuffle size, with ``autoBroadcastJoinThreshold``.
 
 In left, semi and anti joins adaptive execution can split a hot key of the left side. It
-cannot split a full outer join, so ``full_merge`` looks for hot keys and spreads them itself.
+cannot split a full outer join. Where the first row per key is wanted, ``merge_first_rows``
+needs no join and holds no key; where every combination is, ``full_merge(hot_rows=...)``
+looks for hot keys and spreads them.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from cohortmill.sources.files import stage
 
 Keys = str | Sequence[str | tuple[str, str]]
 SUFFIX = ("_x", "_y")
-HOT_ROWS = 1_000_000
 
 
 def _pairs(on: Keys) -> list[tuple[str, str]]:
@@ -245,14 +246,14 @@ def full_merge(
     on: Sequence[str],
     suffix=SUFFIX,
     order: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Full outer join of two or more tables on one list of keys, keys coalesced.
 
-    A first job counts rows per key. Keys with more than ``hot_rows`` rows in one frame,
-    if there are any, are merged apart: their rows are dealt out over several tasks and
-    joined by inner joins. All others go through Spark's full outer join. Pass
-    ``hot_rows=None`` for frames that hold a key only a few times, such as aggregates.
+    With ``hot_rows`` a first job counts rows per key. Keys with more rows than that in one
+    frame, if there are any, are merged apart: their rows are dealt out over several tasks
+    and joined by inner joins. All others go through Spark's full outer join. The result is
+    the same either way; ask for it when frames can hold a key very often.
 
     With ``order``, the column of that name in every frame comes back as ``_order_0``,
     ``_order_1``, ..., for picking first rows (see ``merged_order``).
@@ -274,7 +275,7 @@ def full_merge(
     return plain([anti_join(f, hot, keys) for f in frames]).unionByName(met)
 
 
-def full_join(left: DataFrame, right: DataFrame, on: Sequence[str], suffix=SUFFIX, hot_rows=HOT_ROWS) -> DataFrame:
+def full_join(left: DataFrame, right: DataFrame, on: Sequence[str], suffix=SUFFIX, hot_rows: int | None = None) -> DataFrame:
     return full_merge([left, right], on, suffix, hot_rows=hot_rows)
 
 
@@ -283,6 +284,33 @@ def merged_order(frames: int) -> list[Column]:
     return [F.col(f"_order_{i}").asc_nulls_last() for i in range(frames)]
 
 
+def merge_first_rows(frames: Sequence[DataFrame], on: Sequence[str], order: str, suffix=SUFFIX) -> DataFrame:
+    """The first row per key of ``full_merge``, in ``merged_order``, without joining.
+
+    That row combines the first row of each frame, so one grouped minimum per frame over the
+    stacked frames gives it: one shuffle, combined before it, whatever rows a key has. The
+    names are those of ``full_merge``; the row orders come back as ``_order_0``, ...
+    """
+    keys = list(on)
+    payload = [[c for c in f.columns if c not in keys and c != order] for f in frames]
+    names = [{c: c for c in payload[0]}]
+    for cols in payload[1:]:
+        shown = [n for known in names for n in known.values()]
+        left, right = _renamed([*shown, *[f"_order_{i}" for i in range(len(names))]], [*cols, f"_order_{len(names)}"], keys, suffix)
+        names = [{c: left[n] for c, n in known.items()} for known in names] + [{c: right[c] for c in cols}]
+    stacked = None
+    for i, (frame, cols) in enumerate(zip(frames, payload, strict=True)):
+        packed = F.struct(F.lit(True).alias("__known"), *[_quoted(c) for c in cols])
+        part = frame.select(*[_quoted(k) for k in keys], _quoted(order).alias(f"__o{i}"), packed.alias(f"__p{i}"))
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    firsts = stacked.groupBy(*[_quoted(k) for k in keys]).agg(
+        *[F.min_by(f"__p{i}", f"__o{i}").alias(f"__p{i}") for i in range(len(frames))],
+        *[F.min(f"__o{i}").alias(f"_order_{i}") for i in range(len(frames))],
+    )
+    columns = [F.col(f"__p{i}").getField(c).alias(n) for i, known in enumerate(names) for c, n in known.items()]
+    return firsts.select(*[_quoted(k) for k in keys], *columns, *[f"_order_{i}" for i in range(len(frames))])
+
+
 def lookup_with_fallback(df, table, on, preferred: str, fallback: str, output: str, **options) -> DataFrame:
     """Join a lookup and take its value, or the row's own value where the lookup has none."""
     joined = left_join(df, table, on, **options)

@@ -11,6 +11,7 @@ from cohortmill.operators.aggregates import n_missing, n_rows, strict_count_true
 from cohortmill.operators.dedup import first_per_key
 from cohortmill.operators.joins import left_join
 from cohortmill.operators.quantiles import exact_median, exact_quantiles
+from cohortmill.operators.tables import with_empty_rows
 from cohortmill.sources.files import stage
 
 
@@ -49,10 +50,13 @@ def study_characteristics(
 
 
 def _percent_text(share: Column) -> Column:
-    """Whole percents from 10 up, one decimal below."""
+    """Whole percents from 10 up, one decimal below, ``<0.1%`` for less, ``0%`` for none."""
     percent = share * 100
-    return F.when(percent >= 10, F.format_string("%.0f%%", round_half_even(percent, 0))).otherwise(
-        F.format_string("%.1f%%", round_half_even(percent, 1))
+    return (
+        F.when(percent >= 10, F.format_string("%.0f%%", round_half_even(percent, 0)))
+        .when(percent >= 0.1, F.format_string("%.1f%%", round_half_even(percent, 1)))
+        .when(percent > 0, F.lit("<0.1%"))
+        .otherwise(F.lit("0%"))
     )
 
 
@@ -61,7 +65,8 @@ def baseline_summary(
 ) -> DataFrame:
     """Long table per group: median and quartiles of numbers, n and share of categories.
 
-    Missing values are left out of both. Quartiles are values of the data or the mean of
+    Missing values are left out of both. Every group lists every level that any group has, with
+    ``0 (0%)`` where it has none. Quartiles are values of the data or the mean of
     two neighbours, never interpolated further. All categories are counted in one pass, and
     every number is read twice, so stage ``df`` when it is costly to make.
     """
@@ -75,7 +80,8 @@ def baseline_summary(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     # Counted categories only: one row per (group, variable, level).
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(by, "variable"))
+    counted = with_empty_rows(counted, [by], ["variable", "level"])
+    share = F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(by, "variable")))
     parts = [
         counted.withColumn("share", share).select(
             "variable",

@@ -15,11 +15,14 @@ from pyspark.sql.types import NumericType
 from cohortmill.functions.missing import ColumnLike, as_column, round_half_even
 from cohortmill.sources.files import stage
 
-MAX_CATEGORIES = 1000
 
+def categories(df: DataFrame, column: str, limit: int | None = None) -> list:
+    """Distinct values of a column, sorted, a missing value last.
 
-def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list:
-    """Distinct values of a column, sorted, a missing value last; fails beyond ``limit``."""
+    For categories that become columns. Beyond ``limit``, by default Spark's own
+    ``spark.sql.pivotMaxValues``, this fails; open-ended categories stay rows.
+    """
+    limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues")) if limit is None else limit
     found = [r[0] for r in df.select(column).distinct().limit(limit + 1).collect()]
     if len(found) > limit:
         raise ValueError(f"{column} has more than {limit} categories and cannot become columns")
@@ -58,12 +61,15 @@ def pivot_wider(
     aggregate=F.sum,
     fill=None,
     na_name: str = "NA",
+    other: str | None = None,
 ) -> DataFrame:
     """Spread a category over columns, in one shuffle.
 
     Each new column aggregates the cells of its category, so several cells of one id are
     combined by ``aggregate`` and never dropped. ``values`` fixes the column order; without it
-    the cells are written once, read for their categories, and spread from there.
+    the cells are written once, read for their categories, and spread from there. Cells of
+    a category that ``values`` leaves out are gathered in the column ``other``; without
+    that name the table fails when it meets one.
     """
     if values is None:
         cells = stage(cells)
@@ -75,7 +81,17 @@ def pivot_wider(
         cell = aggregate(F.when(match, value))
         if fill is not None:
             cell = F.coalesce(cell, F.lit(fill))
-        columns.append(cell.alias(na_name if v is None else str(v)))
+        columns.append((cell, na_name if v is None else str(v)))
+    if values is not None:
+        listed = F.coalesce(_q(names_from).isin([v for v in known if v is not None]), F.lit(None in known))
+        if other is not None:
+            rest = aggregate(F.when(~listed, value))
+            columns.append((rest if fill is None else F.coalesce(rest, F.lit(fill)), other))
+        else:
+            stray = F.max(F.when(~listed, F.coalesce(_q(names_from).cast("string"), F.lit("a missing value"))))
+            message = F.concat(F.lit(f"{names_from} has a category without a column: "), stray)
+            columns = [(F.when(stray.isNotNull(), F.raise_error(message)).otherwise(c), n) for c, n in columns]
+    columns = [c.alias(n) for c, n in columns]
     return cells.groupBy(*[_q(c) for c in id_cols]).agg(*columns)
 
 
@@ -87,10 +103,11 @@ def count_table(
     values: Sequence | None = None,
     fill: int | None = 0,
     na_name: str = "NA",
+    other: str | None = None,
 ) -> DataFrame:
     """Aggregate per (rows, column) cell, then spread the column."""
     cells = df.groupBy(*rows, column).agg(count.alias("__cell"))
-    return pivot_wider(cells, rows, column, "__cell", values, fill=fill, na_name=na_name)
+    return pivot_wider(cells, rows, column, "__cell", values, fill=fill, na_name=na_name, other=other)
 
 
 def cross_frequency(df: DataFrame, row: str, column: str, values: Sequence | None = None) -> DataFrame:
@@ -99,8 +116,34 @@ def cross_frequency(df: DataFrame, row: str, column: str, values: Sequence | Non
 
 
 def layered_frequency(df: DataFrame, row: str, column: str, layer: str, values: Sequence | None = None) -> DataFrame:
-    """Three-way table: a two-way table for every layer, stacked."""
-    return count_table(df, [layer, row], column, F.count(F.lit(1)), values, na_name="NA_")
+    """Three-way table: a two-way table for every layer, stacked.
+
+    Every layer lists every row value, with zeros where it has none.
+    """
+    table = count_table(df, [layer, row], column, F.count(F.lit(1)), values, na_name="NA_")
+    return with_empty_rows(table, [layer], [row])
+
+
+def with_empty_rows(table: DataFrame, groups: Sequence[str], levels: Sequence[str], fill=0) -> DataFrame:
+    """Complete a counted table: every group lists every level that any group has.
+
+    Added rows hold ``fill`` in numeric columns and are missing elsewhere. Groups and levels
+    are those of a table shown; the levels travel as one array.
+    """
+    known = table.agg(F.collect_set(F.struct(*[_q(c) for c in levels])).alias("x")).scalar()
+    grid = table.select(*[_q(c) for c in groups]).distinct().withColumn("__level", F.explode(known))
+    keys = [*groups, *levels]
+    grid = grid.select(*[_q(c).alias(f"__g{i}") for i, c in enumerate(groups)], *[F.col("__level").getField(c).alias(f"__g{i + len(groups)}") for i, c in enumerate(levels)])
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & _q(c).eqNullSafe(F.col(f"__g{i}"))
+    met = grid.join(table, same, "left")
+    numeric = _numeric(table, skip=keys)
+    columns = [
+        F.col(f"__g{keys.index(c)}").alias(c) if c in keys else F.coalesce(_q(c), F.lit(fill)).alias(c) if c in numeric else _q(c)
+        for c in table.columns
+    ]
+    return met.select(*columns)
 
 
 def fill_missing(df: DataFrame, value=0, columns: Sequence[str] | None = None) -> DataFrame:

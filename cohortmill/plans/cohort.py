@@ -7,6 +7,7 @@ physical order of a partition.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,12 +18,10 @@ from cohortmill.functions.recode import lookup
 from cohortmill.functions.text import contains
 from cohortmill.operators.dedup import distinct_rows, first_per_key
 from cohortmill.operators.joins import (
-    HOT_ROWS,
     fill_from_first_row,
-    full_merge,
     left_join,
     lookup_with_fallback,
-    merged_order,
+    merge_first_rows,
     semi_join,
 )
 from cohortmill.plans.domains import KEYS, SUBJECT
@@ -123,7 +122,7 @@ def curate_trials(days: DataFrame, second_disposition: DataFrame) -> DataFrame:
     """
     known = stage(days.withColumn("country_name", country_name("country")))
     order = [F.col(c).asc_nulls_last() for c in _order_columns(known)]
-    named = fill_from_first_row(known, SUBJECT, order, {"arm": "arm_2", "country_name": "country_name_2"}, HOT_ROWS)
+    named = fill_from_first_row(known, SUBJECT, order, {"arm": "arm_2", "country_name": "country_name_2"})
     second = second_disposition.withColumnRenamed("disposition", "disposition_2").drop("time_source")
     merged = left_join(select_act_subjects(named), second, KEYS)
     return _to_cohort(
@@ -142,9 +141,10 @@ def merge_observations(tables: Sequence[DataFrame], order: str = ROW) -> DataFra
     aligned = [
         t.withColumnsRenamed({"dayoftreat": "dayofobs", "houroftreat": "hourofobs"}) for t in tables
     ]
-    merged = full_merge(aligned, OBSERVATION_KEYS, order=order)
-    firsts = first_per_key(merged, OBSERVATION_KEYS, merged_order(len(aligned)))
-    extra = [c for c in firsts.columns if c in ("id", "disease") or c.startswith(("id_y", "disease_y", "id_x_x"))]
+    firsts = merge_first_rows(aligned, OBSERVATION_KEYS, order)
+    # copies of these two that the other tables bring; columns of the tables themselves are never among them
+    own = {c for t in aligned for c in t.columns} - {"id", "disease"}
+    extra = [c for c in firsts.columns if re.fullmatch(r"(id|disease)(|(_y)+|(_x){2,})", c) and c not in own]
     return firsts.drop(*extra).withColumnsRenamed({"id_x": "id", "disease_x": "disease"}).filter(~(F.col("dayofobs") < 0))
 
 
@@ -176,7 +176,6 @@ def curate_observations(observations: DataFrame) -> DataFrame:
         OBSERVED_SUBJECT,
         order,
         {"treat_2": "arm_2", "site": "country_name_2", "ageyears": "age_years"},
-        HOT_ROWS,
     )
     return _to_cohort(
         filled.filter(F.col("age_years") < 5)
@@ -211,7 +210,7 @@ def enrich(pooled: DataFrame) -> DataFrame:
     """Subject attributes, outcome class, age and week bands, and the named combination."""
     ordered = ["_order_side"] + [c for c in _order_columns(pooled) if c != "_order_side"]
     order = [F.col(c).asc_nulls_last() for c in ordered]
-    known = fill_from_first_row(stage(pooled), SUBJECT, order, {"age_years": "age", "sex": "gender"}, HOT_ROWS)
+    known = fill_from_first_row(stage(pooled), SUBJECT, order, {"age_years": "age", "sex": "gender"})
     banded = (
         known.drop(*ordered)
         .withColumn("code_p", paste("studyid", "usubjid"))

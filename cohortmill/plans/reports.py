@@ -36,6 +36,8 @@ from cohortmill.operators.tables import (
     sorted_report,
     threshold_table,
     totals,
+    totals_column,
+    totals_row,
 )
 from cohortmill.plans.domains import SUBJECT
 from cohortmill.plans.regimens import AL, AS_AQ, AS_MQ, DHA_PPQ, MAIN_ACTS, class_by_code, detailed_name
@@ -70,18 +72,19 @@ def subject_conditions(data: DataFrame) -> DataFrame:
 
 
 def density_by_arm(data: DataFrame, day: int, arms: Sequence[str] = MAIN_ACTS) -> DataFrame:
-    """Subjects per density band and arm on one day, with totals row and column shares."""
-    on_day = data.filter((F.col("time") == day) & F.col("pfmicl").isNotNull())
+    """Subjects per density band and arm on one day, with totals row and column shares, for the arms named."""
+    on_day = data.filter((F.col("time") == day) & F.col("pfmicl").isNotNull() & F.col("act_name").isin(list(arms)))
     rows = ["parasitaemia_categories", "parasitaemia_rank"]
     counts = count_table(on_day, rows, "act_name", n_distinct(*SUBJECT), arms)
     return column_percentages(counts, list(arms))
 
 
 def subjects_by(
-    df: DataFrame, row: str, column: str, subject: str = "usubjid", where: str = "both", values: Sequence | None = None
+    df: DataFrame, row: str, column: str, subject: str = "usubjid", where: str = "both", values: Sequence | None = None,
+    other: str | None = None,
 ) -> DataFrame:
     """Subjects per row and column category with totals, for looking a merge or a domain over."""
-    return totals(count_table(df, [row], column, n_distinct(subject), values, fill=None), where)
+    return totals(count_table(df, [row], column, n_distinct(subject), values, fill=None, other=other), where)
 
 
 def arms_by_age(data: DataFrame) -> DataFrame:
@@ -93,8 +96,24 @@ def arms_by_age(data: DataFrame) -> DataFrame:
 def outcome_by_study(data: DataFrame, outcome: str = "outcome_2", where: str = "col") -> DataFrame:
     """Subjects per study and outcome, with totals, largest study first."""
     known = data.filter(F.col(outcome).isNotNull())
-    counts = count_table(known, ["studyid"], outcome, n_distinct("usubjid"), fill=None)
-    return sorted_report(totals(counts, where), ["Total"], ["studyid"])
+    counts = totals(count_table(known, ["studyid"], outcome, n_distinct("usubjid"), fill=None), "col")
+    return _largest_first(counts, "Total", where)
+
+
+def _largest_first(counts: DataFrame, by: str, where: str) -> DataFrame:
+    """Studies by a column, largest first; a totals row, if asked for, stands last."""
+    body = counts.withColumn("__last", F.lit(False))
+    if where == "both":
+        columns = [c for c in counts.columns if c != "studyid"]
+        body = totals_row(body, columns).withColumn("__last", F.coalesce("__last", F.lit(True)))
+    order = [F.col("__last"), F.col(f"`{by}`").desc_nulls_last(), F.col("studyid").asc_nulls_last()]
+    return body.orderBy(*order).drop("__last")
+
+
+def genotype_by_study(data: DataFrame, genotype: str = "intp", by: str = "RECRUDESCENCE") -> DataFrame:
+    """Subjects per study and genotype, missing ones in their own column and zeros shown, with totals on both sides."""
+    counts = count_table(data, ["studyid"], genotype, n_distinct("usubjid"))
+    return _largest_first(totals_column(counts), by if by in counts.columns else "Total", "both")
 
 
 def outcome_shares(data: DataFrame, outcomes: Sequence[str] = SHOWN_OUTCOMES) -> DataFrame:
@@ -169,7 +188,7 @@ def final_extract(data: DataFrame) -> DataFrame:
 
 def recrudescence_by_study(
     observations: DataFrame, study: str = "sid", patient: str = "pid", result: str = "pcr", code: str = "RC",
-    show: int | None = 100,
+    show: int | None = None,
 ) -> DataFrame:
     """Patients and recrudescences per study, most recrudescences first."""
     failure = if_else(F.col(result) == code, 1, 0)

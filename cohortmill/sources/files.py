@@ -1,14 +1,19 @@
 """Delimited, lookup and staged tables.
 
-Text tables are read with every column as text under a declared schema and then cast, so
-a stray word in a number column becomes a missing value and never a failed job.
+Text tables are read with every column as text under the names of their header; the
+declared columns are then taken by name and cast, so a stray word in a number column becomes a
+missing value and never a failed job. Quotes within quoted text are doubled, as other tools write
+and read them; a backslash is an ordinary character.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import NumericType, StringType, StructField, StructType
@@ -32,8 +37,14 @@ def read_table(
     encoding: str = "UTF-8",
     na_policy: str = "na_only",
     row_order: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
-    """Read CSV files with a header row.
+    """Read the declared columns of CSV files with a header row, by name.
+
+    Each path may have its own column order and further columns, which are ignored; a
+    declared column that a header lacks is an error. The files of one path share a layout: one whose
+    header differs from the first fails the read. ``multiline`` allows line breaks within
+    quotes; a file is then read by one task.
 
     ``na_policy``: "na_only" makes the word NA missing and keeps empty text as empty text;
     "na_and_empty" makes both missing. ``row_order`` adds ``_row``, which sorts rows as
@@ -43,14 +54,7 @@ def read_table(
     if na_policy not in ("na_only", "na_and_empty"):
         raise ValueError(f"unknown na_policy {na_policy!r}")
     declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    as_text = StructType([StructField(f.name, StringType()) for f in declared])
-    raw = (
-        spark.read.schema(as_text)
-        .option("header", True)
-        .option("encoding", encoding)
-        .option("emptyValue", "")
-        .csv(path)
-    )
+    paths = [path] if isinstance(path, str) else list(path)
     columns = []
     for f in declared:
         name = f"`{f.name}`"
@@ -66,7 +70,18 @@ def read_table(
                 F.monotonically_increasing_id().alias("line"),
             ).alias(ROW)
         )
-    return raw.select(*columns)
+    return reduce(DataFrame.unionByName, [_as_text(spark, p, declared, encoding, multiline).select(*columns) for p in paths])
+
+
+def _as_text(spark: SparkSession, path: str, declared: StructType, encoding: str, multiline: bool) -> DataFrame:
+    """The files of one path under the names of their header, every column as text."""
+    options = {"header": True, "encoding": encoding, "emptyValue": "", "escape": '"', "multiLine": multiline}
+    names = spark.read.options(**options).csv(path).columns
+    missing = [f.name for f in declared if f.name not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; its header names {', '.join(names)}")
+    as_text = StructType([StructField(n, StringType()) for n in names])
+    return spark.read.schema(as_text).options(**options, enforceSchema=False).csv(path)
 
 
 def read_latin1(spark, path, schema, na_policy="na_and_empty", row_order=False) -> DataFrame:
@@ -89,32 +104,45 @@ def normalise_domain(df: DataFrame, code: str | None = None) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: the session's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder.
+    A local session without that setting is given one folder, which goes when the program ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="cohortmill-")
+    own = tempfile.mkdtemp(prefix="cohortmill-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def stage(df: DataFrame, path: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write a table as Parquet and read it back, which ends its lineage there."""
+    """Write a table as Parquet and read it back with its own types, which ends its lineage there.
+
+    Empty text in a partition column would come back as missing, so it is refused.
+    """
     spark = df.sparkSession
+    for c in partition_by:
+        if isinstance(df.schema[c].dataType, StringType):
+            refused = F.raise_error(F.lit(f"partition column {c} has empty text")).cast("string")
+            df = df.withColumn(c, F.when(F.col(c) == "", refused).otherwise(F.col(c)))
     target = path or f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.mode("errorifexists" if path is None else "overwrite").partitionBy(*partition_by).parquet(target)
-    return spark.read.schema(df.schema).parquet(target) if not partition_by else spark.read.parquet(target)
+    return spark.read.schema(df.schema).parquet(target).select(*[f"`{c}`" for c in df.columns])
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
-    """Write a table as CSV with a header; missing values become the word NA."""
+    """Write a table as CSV with a header; missing values become the word NA, quotes are doubled."""
     (
         df.write.mode("overwrite")
         .option("header", True)
         .option("encoding", encoding)
         .option("nullValue", "NA")
         .option("emptyValue", "")
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
 

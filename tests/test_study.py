@@ -214,3 +214,20 @@ def test_schemas_parse():
     for ddl in [*schemas.DOMAINS.values(), *schemas.OBSERVATIONS.values(), schemas.PATIENT_SET, schemas.REGISTRY, schemas.COUNTRIES]:
         names = [f.name for f in StructType.fromDDL(ddl)]
         assert len(names) == len(set(names))
+
+
+def test_columns_are_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('STUDYID,DOMAIN,USUBJID,AGE\nS1,DM,P1,4\n')
+    (tmp_path / "b.csv").write_text('AGE,USUBJID,STUDYID\n5,"P ""2"", x",S\\1\n')
+    schema = "STUDYID string, USUBJID string, AGE double"
+    got = S.read_table(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], schema)
+    assert sorted(map(tuple, got.collect())) == [("S1", "P1", 4.0), ("S\\1", 'P "2", x', 5.0)]
+    with pytest.raises(ValueError, match="no column SEX"):
+        S.read_table(spark, str(tmp_path / "a.csv"), "SEX string")
+
+
+def test_partition_values_keep_their_text(spark, tmp_path):
+    df = spark.createDataFrame([("001", 1), (None, 2)], "k string, n int")
+    assert sorted(map(tuple, stage(df, f"{tmp_path}/p", ["k"]).collect()), key=str) == [("001", 1), (None, 2)]
+    with pytest.raises(Exception, match="empty text"):
+        S.stage(spark.createDataFrame([("", 1)], "k string, n int"), f"{tmp_path}/q", ["k"])

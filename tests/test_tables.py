@@ -149,7 +149,7 @@ def test_histogram_covers_the_data(spark):
 
 
 def test_histogram_of_one_value(frame):
-    assert [(r["bin"], r["n"]) for r in D.histogram(frame("x double", (2.0,), (2.0,)), "x", 5).collect()] == [(0, 2)]
+    assert [(r["bin"], r["n"]) for r in D.histogram(frame("x double", (2.0,), (2.0,)), "x", 5).collect()] == [(0, 2), (1, 0), (2, 0), (3, 0), (4, 0)]
 
 
 def test_log_histogram_drops_what_has_no_logarithm(frame):
@@ -275,3 +275,17 @@ def test_missing_by_subject_counts_bad_numbers(frame, rows):
     df = frame("id int, x string", (1, "5"), (1, "NA"), (2, None), (3, "7"))
     assert rows(U.missing_by_subject(df, ["id"], "x", numeric=True)) == [(1, 1), (2, 1), (3, 0)]
     assert rows(U.missing_by_subject(df, ["id"], "x")) == [(1, 0), (2, 1), (3, 0)]
+
+
+def test_pivot_meets_an_unlisted_category(frame, rows):
+    cells = frame("id string, kind string, n int", ("a", "x", 1), ("a", "y", 2), ("b", None, 4))
+    with pytest.raises(Exception, match="kind has a category without a column"):
+        T.pivot_wider(cells, ["id"], "kind", "n", ["x"]).collect()
+    assert rows(T.pivot_wider(cells, ["id"], "kind", "n", ["x"], fill=0, other="rest")) == [("a", 1, 2), ("b", 0, 4)]
+    assert rows(T.pivot_wider(cells, ["id"], "kind", "n", ["x", "y", None])) == [("a", 1, 2, None), ("b", None, None, 4)]
+
+
+def test_every_layer_and_group_lists_every_level(frame, rows):
+    df = frame("arm string, row string, kind string", ("a", "r", "k"), ("a", "s", "k"), ("b", "r", "k"), ("b", None, "k"))
+    table = T.layered_frequency(df, "row", "kind", "arm")
+    assert rows(table) == [("a", "r", 1), ("a", "s", 1), ("a", None, 0), ("b", "r", 1), ("b", "s", 0), ("b", None, 1)]
