@@ -575,6 +575,53 @@ def responses_by_study(t: Tables):
     return P.subjects_by(wide, "studyid", "whomal01_na", values=sorted(X.CLASSIFIED))
 
 
+@query(
+    "responses_by_day",
+    _subjects_sql({f"{d}.0": d for d in DAYS}, "rs", "who", "time", "true", "other days"),
+)
+def responses_by_day(t: Tables):
+    wide = D.numeric_time(D.prepare_domain(X.responses(t), "rs", tests=["WHOMAL01_NA"])).withColumnRenamed("whomal01_na", "who")
+    return P.subjects_by(wide, "who", "time", values=[float(d) for d in DAYS], other="other days")
+
+
+GENOTYPED = {"RECRUDESCENCE": "= 'RECRUDESCENCE'", "REINFECTION": "= 'REINFECTION'", "NA": "IS NULL"}
+
+
+@query(
+    "genotype_by_study",
+    f"""{ANALYSIS_SQL}, w AS (SELECT studyid, {", ".join(f'count(DISTINCT usubjid) FILTER (WHERE intp {c}) AS "{n}"' for n, c in GENOTYPED.items())} FROM x GROUP BY studyid),
+z AS (SELECT *, {" + ".join(f'"{n}"' for n in GENOTYPED)} AS "Total" FROM w)
+SELECT * FROM z UNION ALL SELECT 'Total', {", ".join(f'CAST(sum("{n}") AS BIGINT)' for n in [*GENOTYPED, "Total"])} FROM z""",
+)
+def genotype_by_study(t: Tables):
+    return P.genotype_by_study(_analysis(t))
+
+
+@query(
+    "recrudescence_in_patient_set",
+    f"""WITH {X.PATIENTS_SQL} SELECT sid, count(*) AS n, CAST(coalesce(sum(CASE WHEN outcome = 'LTFRC' THEN 1 WHEN outcome <> 'LTFRC' THEN 0 END), 0) AS BIGINT) AS failure
+FROM p WHERE ageyears < 5 GROUP BY sid""",
+)
+def recrudescence_in_patient_set(t: Tables):
+    return P.recrudescence_in_patient_set(X.patients(t))
+
+
+@query(
+    "registry_without_source",
+    f"WITH {X.PATIENTS_SQL}, {X.REGISTRY_SQL}, {X.D_SQL} SELECT DISTINCT sid FROM g WHERE sid NOT IN (SELECT sid FROM p) AND sid NOT IN (SELECT studyid FROM d)",
+)
+def registry_without_source(t: Tables):
+    return P.registry_without_source(X.registry(t), X.patients(t), X.days(t).select("studyid"))
+
+
+@query(
+    "patients_by_publication",
+    f"WITH {X.PATIENTS_SQL}, {X.REGISTRY_SQL} SELECT sid, pubmed, count(*) AS n FROM p JOIN g USING (sid) WHERE sid_inv IS NOT NULL GROUP BY sid, pubmed",
+)
+def patients_by_publication(t: Tables):
+    return P.patients_by_publication(X.patients(t), X.registry(t))
+
+
 @query(
     "arms_by_age",
     f"""{ANALYSIS_SQL} SELECT act_name, CASE WHEN age < 2 THEN '< 2' WHEN age >= 2 THEN '≥ 2' END AS age_5, count(DISTINCT (studyid, usubjid)) AS participants

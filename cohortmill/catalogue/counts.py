@@ -138,12 +138,11 @@ UNION ALL SELECT 'finished', round(median(CASE WHEN o_orderstatus = 'F' THEN pri
 )
 def conditional_median(t: Tables):
     price = F.when(F.col("o_orderkey") % 13 != 0, F.col("o_totalprice"))
-    x = t.orders.select(F.col("o_orderpriority").alias("grp"), price.alias("price"), "o_orderstatus")
-    whole = exact_median(x, "price", "median").select(F.lit("all").alias("grp"), "median")
-    finished = exact_median(x, F.when(F.col("o_orderstatus") == "F", F.col("price")), "median")
-    table = exact_median(x, "price", "median", ["grp"]).unionByName(whole)
-    table = table.unionByName(finished.select(F.lit("finished").alias("grp"), "median"))
-    return table.withColumn("median", F.round("median", 6))
+    finished = F.when(F.col("o_orderstatus") == "F", price)
+    parts = [(F.col("o_orderpriority"), price), (F.lit("all"), price), (F.lit("finished"), finished)]
+    entries = F.array(*[F.struct(grp.alias("grp"), x.alias("price")) for grp, x in parts])
+    long = t.orders.select(F.explode(entries).alias("e")).select("e.*")
+    return exact_median(long, "price", "median", ["grp"]).withColumn("median", F.round("median", 6))
 
 
 @query(

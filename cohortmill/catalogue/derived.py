@@ -411,9 +411,10 @@ def registry(t: Tables) -> DataFrame:
             _text("S", F.col("k")).alias("sid"),
             F.when(F.col("k") % 7 != 0, _text("inv", F.col("k"))).alias("sid_inv"),
             pick(["Mapped", "Domains"], F.col("k")).alias("data_format"),
+            F.when(F.col("k") % 3 != 0, _text("PM", F.col("k") % 20)).alias("pubmed"),
         )
     )
 
 
-REGISTRY_SQL = f"""g AS (SELECT 'S' || k AS sid, CASE WHEN k % 7 <> 0 THEN 'inv' || k END AS sid_inv, {S.pick(["Mapped", "Domains"], "k % 2")} AS data_format
-      FROM (SELECT DISTINCT c_custkey % 50 AS k FROM customer))"""
+REGISTRY_SQL = f"""g AS (SELECT 'S' || k AS sid, CASE WHEN k % 7 <> 0 THEN 'inv' || k END AS sid_inv, {S.pick(["Mapped", "Domains"], "k % 2")} AS data_format,
+      CASE WHEN k % 3 <> 0 THEN 'PM' || (k % 20) END AS pubmed FROM (SELECT DISTINCT c_custkey % 50 AS k FROM customer))"""

@@ -68,7 +68,7 @@ def baseline_summary(
     Missing values are left out of both. Every group lists every level that any group has, with
     ``0 (0%)`` where it has none. Quartiles are values of the data or the mean of
     two neighbours, never interpolated further. All categories are counted in one pass, and
-    every number is read twice, so stage ``df`` when it is costly to make.
+    all numbers in two, so stage ``df`` when it is costly to make.
     """
     pairs = F.array(
         *[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in categorical]
@@ -95,11 +95,13 @@ def baseline_summary(
             F.concat(F.col("n").cast("string"), F.lit(" ("), _percent_text(F.col("share")), F.lit(")")).alias("text"),
         )
     ]
-    for c in continuous:
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], ["p25", "median", "p75"], [by], "averaged", "n")
+    if continuous:
+        numbers = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in continuous])
+        long = df.select(by, F.explode(numbers).alias("v")).select(by, "v.variable", "v.x")
+        q = exact_quantiles(long, "x", [0.25, 0.5, 0.75], ["p25", "median", "p75"], [by, "variable"], "averaged", "n")
         parts.append(
             q.select(
-                F.lit(c).alias("variable"),
+                "variable",
                 F.lit(None).cast("string").alias("level"),
                 by,
                 "n",

@@ -198,6 +198,14 @@ def recrudescence_by_study(
     return sorted_report(table, ["failure"], [study], show)
 
 
+def recrudescence_in_patient_set(patients: DataFrame, code: str = "LTFRC") -> DataFrame:
+    """Rows and recrudescences per study among children under five of the patient set."""
+    failure = if_else(F.col("outcome") == code, 1, 0)
+    young = patients.filter(F.col("ageyears") < 5)
+    table = young.groupBy("sid").agg(n_rows().alias("n"), sum_present(failure).alias("failure"))
+    return sorted_report(table, ["failure"], ["sid"])
+
+
 def recrudescence_by_age(observations: DataFrame) -> DataFrame:
     """Recrudescences under five and above. The published labels stood the wrong way round."""
     rows = observations.withColumn("age_5", if_else(as_number("ageyears") < 5, "<5", "5 and >"))
@@ -225,9 +233,17 @@ def mean_density_by_day(observations: DataFrame) -> DataFrame:
     return observations.groupBy("dayofobs").agg(mean_present(as_number("pfmicl")).alias("mean_pfmicl"))
 
 
-def in_registry(df: DataFrame, registry: DataFrame, payload: str, study: str = "sid") -> DataFrame:
-    """Rows of studies whose registry entry has the payload. A study may be listed once."""
-    return with_payload(df, registry.select("sid", payload), [(study, "sid")], payload, expect="m:1")
+def in_registry(
+    df: DataFrame, registry: DataFrame, payload: str, study: str = "sid", also: Sequence[str] = ()
+) -> DataFrame:
+    """Rows of studies whose registry entry has the payload, with it and the columns of ``also``. A study may be listed once."""
+    return with_payload(df, registry.select("sid", payload, *also), [(study, "sid")], payload, expect="m:1")
+
+
+def patients_by_publication(patients: DataFrame, registry: DataFrame, payload: str = "sid_inv") -> DataFrame:
+    """Patients per registered study and publication, largest first; studies without one are listed too."""
+    known = in_registry(patients, registry, payload, also=["pubmed"])
+    return sorted_report(known.groupBy("sid", "pubmed").agg(n_rows().alias("n")), ["n"], ["sid"])
 
 
 def in_format(df: DataFrame, registry: DataFrame, data_format: str) -> DataFrame:
@@ -249,6 +265,11 @@ def studies_not_in(left: DataFrame, right: DataFrame, on=("sid",)) -> DataFrame:
     return distinct_rows(anti_join(left, right, list(on)), *pair)
 
 
+def registry_without_source(registry: DataFrame, patients: DataFrame, trials: DataFrame) -> DataFrame:
+    """Registered studies that neither the patient set nor the trials hold."""
+    return studies_not_in(anti_join(registry, patients, ["sid"]), trials.select(F.col("studyid").alias("sid")))
+
+
 def describe_patients(patients: DataFrame) -> DataFrame:
     """Detailed regimen, ACT class by code, age and follow-up classes, numeric density."""
     return (

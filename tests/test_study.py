@@ -228,6 +228,6 @@ def test_columns_are_read_by_name(spark, tmp_path):
 
 def test_partition_values_keep_their_text(spark, tmp_path):
     df = spark.createDataFrame([("001", 1), (None, 2)], "k string, n int")
-    assert sorted(map(tuple, stage(df, f"{tmp_path}/p", ["k"]).collect()), key=str) == [("001", 1), (None, 2)]
+    assert sorted(map(tuple, S.stage(df, f"{tmp_path}/p", ["k"]).collect()), key=str) == [("001", 1), (None, 2)]
     with pytest.raises(Exception, match="empty text"):
         S.stage(spark.createDataFrame([("", 1)], "k string, n int"), f"{tmp_path}/q", ["k"])
