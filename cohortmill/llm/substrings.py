@@ -1,9 +1,10 @@
 """Substring deduplication: suffix automata of reference shards, against which documents stream for matching statistics.
 
-An automaton for every shard against every document would cost documents times shards, so shards meet only the passages that can
-match. Of every window of ``size`` words the smallest hash of its ``gram``-word runs is its anchor: equal windows have equal anchors,
-at the same place. Passages whose anchors occur once are left alone. Of the rest, the first occurrence of each repeated window goes
-into the reference, and a passage visits the shards that hold one of its anchors. There the automaton alone decides, word by word.
+An automaton for every shard against every document would cost documents times shards, so a document streams past those shards alone
+that can match. Of every window of ``size`` words the smallest hash of its ``gram``-word runs is its anchor; equal windows have equal
+anchors, so a window whose anchor occurs once is left alone. The hashes of the rest tell which windows come again and where each
+comes first. First occurrences make up the reference, in shards by document. What may repeat them streams past the automaton of
+their shard, which decides on the words themselves.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill.llm.staging import stage
@@ -51,24 +52,6 @@ def sequence_hashes(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def lists(values: np.ndarray, begin: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(values, kind))
-
-
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a list column, and where each list begins (with the end of the last)."""
-    begin = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
-    return column.values.to_numpy(zero_copy_only=False)[begin[0] : begin[-1]], begin - begin[0]
-
-
-def as_words(column: pa.Array) -> Words:
-    """Word hashes in a list column, with the borders that ``Words`` has."""
-    values, begin = flat(column)
-    out = Words.__new__(Words)
-    out.start, out.first, out.hashed = np.arange(len(values)), begin, values.view(U)
-    return out
-
-
 def profiles(docs: DataFrame) -> DataFrame:
     """(d, t, n, h1, h2, sha) of each row: number of words, hashes of their sequence, SHA-256 of the words joined by spaces."""
 
@@ -85,105 +68,105 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """(d, t, h1, anchor, place, twice) for each place that is the anchor of a window; twice if the text has that anchor again."""
+    """(anchor) of each place in a text that is the anchor of a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in blocks(batches, "text"):
-            hashes = words.hashes()
+        for _, words in blocks(batches, "text"):
             at = words.runs(size)
-            place, value = window_anchors(hashes, size, gram)
-            place, one = np.unique(place[at], return_index=True)
-            value = value[at][one]
-            text = words.text_of[place]
-            key = mix(value + text.astype(U) * U(0xD6E8FEB86659FD93))
-            _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
-            h1 = sequence_hashes(hashes, words.first)[0]
-            d, t = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(d[text]), pa.array(t[text]), pa.array(h1[text]), pa.array(value.view(np.int64)), pa.array((place - words.first[text]).astype(np.int32)), pa.array(counts[back] > 1)], ["d", "t", "h1", "anchor", "place", "twice"])
+            place, value = window_anchors(words.hashes(), size, gram)
+            _, one = np.unique(place[at], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value[at][one].view(np.int64))], ["anchor"])
+
+    return docs.select("text").mapInArrow(run, "anchor long")
+
+
+class Sieve:
+    """A Bloom filter of two bits per hash. It lets every hash pass that was put in, and few others while it is sparsely filled.
+
+    It has 16 bits or more per hash, up to 2 to the power of ``most`` in all (256 MB); beyond that more of the others pass, which costs time alone.
+    """
 
-    return docs.mapInArrow(run, "d long, t long, h1 long, anchor long, place int, twice boolean")
+    BLOCK = 20
 
+    def __init__(self, hashes: DataFrame, most: int = 31):
+        """Filled from a column of longs: each block of bits is put together in Spark."""
+        n = hashes.count()
+        self.power = min(most, max(self.BLOCK, (16 * n - 1).bit_length() if n else 0))
+        name, power, block = hashes.columns[0], self.power, self.BLOCK
 
-def pieces(texts: DataFrame, size: int, gram: int) -> DataFrame:
-    """(d, twin, start, words, anchors): the parts of each text covered by windows whose anchor is at one of its ``places``."""
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = np.concatenate(Sieve.bits(batch.column(0).to_numpy(zero_copy_only=False).view(U), power))
+                yield pa.RecordBatch.from_arrays([pa.array((bits >> block).astype(np.int32)), pa.array((bits & ((1 << block) - 1)).astype(np.int32))], ["block", "bit"])
+
+        def filled(part: pd.DataFrame) -> pd.DataFrame:
+            bits = np.zeros(1 << block, bool)
+            bits[part["bit"].to_numpy()] = True
+            return pd.DataFrame({"block": part["block"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+        rows = hashes.select(name).mapInArrow(places, "block int, bit int").distinct().groupBy("block").applyInPandas(filled, "block int, bits binary")
+        self.table = np.zeros(1 << (self.power - 3), np.uint8)
+        for row in rows.toLocalIterator():
+            at = row["block"] << (block - 3)
+            self.table[at : at + (1 << (block - 3))] = np.frombuffer(row["bits"], np.uint8)
+
+    @staticmethod
+    def bits(hashes: np.ndarray, power: int) -> list[np.ndarray]:
+        return [(mix(hashes ^ salt) >> U(64 - power)).astype(np.int64) for salt in (U(0x8CB92BA72F3D8DD7), U(0x3C79AC492BA7B653))]
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for bit in self.bits(hashes, self.power):
+            out &= (self.table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def windows(docs: DataFrame, sieve: Sieve, size: int, gram: int) -> DataFrame:
+    """(w, d, t, start): the hash and place of each window whose anchor the sieve lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in blocks(batches, "text"):
             hashes, at = words.hashes(), words.runs(size)
-            found, begin = flat(batch.column(3))
-            marked = np.zeros(len(words) + 1, bool)
-            marked[found + np.repeat(words.first[:-1], np.diff(begin))] = True
-            place, value = window_anchors(hashes, size, gram)
-            yield cut(batch.column(0), batch.column(1), words, hashes, at[marked[place[at]]], place, value, size, np.zeros(len(words.first) - 1, np.int64))
-
-    return texts.select("d", "twin", "text", "places").mapInArrow(run, "d long, twin int, start int, words array<long>, anchors array<long>")
-
-
-def cut(d: pa.Array, twin: pa.Array, words: Words, hashes: np.ndarray, at: np.ndarray, place: np.ndarray, value: np.ndarray, size: int, base: np.ndarray, most: int = 1 << 13) -> pa.RecordBatch:
-    """The words that the windows at ``at`` cover, as pieces of at most ``most`` windows, with the anchors of these windows."""
-    text = words.text_of[at] if len(at) else np.zeros(0, np.int64)
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] > at[:-1] + size) | (text[1:] != text[:-1])
-    head = np.flatnonzero(new)
-    # long pieces are cut after ``most`` windows; the next begins with the next window, so no window is lost
-    run = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
-    head = np.flatnonzero(run % most == 0)
-    tail = np.append(head[1:], len(at)) - 1
-    start, end = at[head], (at[tail] + size) if len(at) else at
-    length = end - start
-    begin = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
-    index = np.repeat(start - begin[:-1], length) + np.arange(begin[-1])
-    group = np.repeat(np.arange(len(head)), tail - head + 1)
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = (place[at][1:] != place[at][:-1]) | (group[1:] != group[:-1])
-    counts = np.bincount(group[fresh], minlength=len(head))
-    owner = text[head]
-    names = ["d", "twin", "start", "words", "anchors"]
-    columns = [
-        d.take(pa.array(owner)),
-        twin.take(pa.array(owner)),
-        pa.array((start - words.first[owner] + base[owner]).astype(np.int32)),
-        lists(hashes.view(np.int64)[index], begin, pa.int64()),
-        lists(value.view(np.int64)[at][fresh], np.concatenate([[0], np.cumsum(counts)]), pa.int64()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, names)
-
-
-def windows(parts: DataFrame, size: int) -> DataFrame:
-    """(w, d, twin, start): the hash and place of each window of the pieces."""
+            _, value = window_anchors(hashes, size, gram)
+            at = at[sieve.passes(value[at])]
+            text = words.text_of[at] if len(at) else at
+            w = run_hashes(hashes, size)
+            d, t = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(w[at].view(np.int64)), pa.array(d[text]), pa.array(t[text]), pa.array((at - words.first[text]).astype(np.int32))], ["w", "d", "t", "start"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                words = as_words(part.column(3))
-                here = words.runs(size)
-                piece = words.text_of[here] if len(here) else here
-                w = run_hashes(words.hashed, size)
-                d, twin, start = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(w[here].view(np.int64)), pa.array(d[piece]), pa.array(twin[piece]), pa.array((here - words.first[piece] + start[piece]).astype(np.int32))], ["w", "d", "twin", "start"])
+    return docs.select("d", "t", "text").mapInArrow(run, "w long, d long, t long, start int")
 
-    return parts.select("d", "twin", "start", "words").mapInArrow(run, "w long, d long, twin int, start int")
 
+def pieces(texts: DataFrame, size: int, most: int = 1 << 13) -> DataFrame:
+    """(shard, d, t, start, words): what the windows at ``places`` (shard, start) cover, one piece for each run of one shard.
 
-def passages(parts: DataFrame, size: int, gram: int) -> DataFrame:
-    """The parts of pieces that the windows beginning at ``firsts`` cover, in the form of pieces."""
+    A piece has at most ``most`` windows; the next one begins with the next window, so no window is lost.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                words = as_words(part.column(3))
-                start = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-                firsts, begin = flat(part.column(4))
-                piece = np.repeat(np.arange(len(start)), np.diff(begin))
-                inside = firsts - start[piece]
-                keep = (inside >= 0) & (inside <= words.counts[piece] - size)
-                at = np.unique(inside[keep] + words.first[piece[keep]])
-                place, value = window_anchors(words.hashed, size, gram)
-                yield cut(part.column(0), part.column(1), words, words.hashed, at, place, value, size, start)
-
-    return parts.select("d", "twin", "start", "words", "firsts").mapInArrow(run, "d long, twin int, start int, words array<long>, anchors array<long>")
+        for batch, words in blocks(batches, "text"):
+            hashes = words.hashes().view(np.int64)
+            column = batch.column(3)
+            edge = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            shard, start = (column.values.field(k).to_numpy(zero_copy_only=False)[edge[0] : edge[-1]] for k in (0, 1))
+            text = np.repeat(np.arange(len(column)), np.diff(edge))
+            order = np.lexsort((start, shard, text))
+            text, shard, start = text[order], shard[order], start[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (shard[1:] != shard[:-1]) | (start[1:] > start[:-1] + size)
+            head = np.flatnonzero(new)
+            run_at = np.arange(len(text)) - np.repeat(head, np.diff(np.append(head, len(text))))
+            head = np.flatnonzero(run_at % most == 0)
+            tail = np.append(head[1:], len(text)) - 1
+            length = (start[tail] + size - start[head]) if len(text) else np.zeros(0, np.int64)
+            begin = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+            first = words.first[text[head]] + start[head]
+            index = np.repeat(first - begin[:-1], length) + np.arange(begin[-1])
+            lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(hashes[index]))
+            owner = pa.array(text[head])
+            yield pa.RecordBatch.from_arrays([pa.array(shard[head].astype(np.int32)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(start[head].astype(np.int32)), lists], ["shard", "d", "t", "start", "words"])
+
+    return texts.select("d", "t", "text", "places").mapInArrow(run, "shard int, d long, t long, start int, words array<long>")
 
 
 class Automaton:
@@ -240,58 +223,51 @@ class Automaton:
 
 
 def match_shard(reference: pd.DataFrame, queries: pd.DataFrame, size: int) -> pd.DataFrame:
-    """Maximal spans (d, twin, start, end) of the queries made of windows that the reference has earlier."""
+    """Maximal spans (d, t, start, end) of the queries made of windows that the reference has earlier."""
     out: list[tuple[int, int, int, int]] = []
     if len(reference) and len(queries):
-        reference = reference.sort_values(["d", "twin", "start"], kind="stable")
+        reference = reference.sort_values(["d", "t", "start"], kind="stable")
         tokens: list[int] = []
         begin = []
         for k, words in enumerate(reference["words"]):
             begin.append(len(tokens))
             tokens += words.tolist()
             tokens.append(-k - 1 - (1 << 64))  # an end that equals no word
-        where = list(zip(reference["d"].tolist(), reference["twin"].tolist(), reference["start"].tolist(), strict=True))
+        where = list(zip(reference["d"].tolist(), reference["t"].tolist(), reference["start"].tolist(), strict=True))
         automaton = Automaton(tokens)
-        for d, twin, start, words in zip(queries["d"].tolist(), queries["twin"].tolist(), queries["start"].tolist(), queries["words"], strict=True):
+        for d, t, start, words in zip(queries["d"].tolist(), queries["t"].tolist(), queries["start"].tolist(), queries["words"], strict=True):
             low = high = -1
             for end, first in automaton.first_ends(words.tolist(), size):
                 passage = bisect_right(begin, first) - 1
-                rd, rtwin, rstart = where[passage]
+                rd, rt, rstart = where[passage]
                 from_ = end - size + 1
-                if (rd, rtwin, rstart + first - begin[passage] - size + 1) < (d, twin, start + from_):
+                if (rd, rt, rstart + first - begin[passage] - size + 1) < (d, t, start + from_):
                     if from_ > high:
                         if high > low:
-                            out.append((d, twin, start + low, start + high))
+                            out.append((d, t, start + low, start + high))
                         low = from_
                     high = end + 1
             if high > low:
-                out.append((d, twin, start + low, start + high))
-    return pd.DataFrame(out, columns=["d", "twin", "start", "end"])
-
-
-def repeated_spans(texts: DataFrame, size: int, gram: int, shard_words: int, task_words: int) -> DataFrame:
-    """(d, twin, spans) of the texts (d, twin, text, places) that hold windows found earlier."""
-    parts = stage(pieces(texts, size, gram), "pieces")
-    firsts = windows(parts, size).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "twin", "start")).alias("x")).where("n > 1").select("x.*")
-    of_text = firsts.groupBy("d", "twin").agg(F.collect_list("start").alias("firsts"))
-    reference = stage(passages(parts.drop("anchors").join(of_text, ["d", "twin"]), size, gram), "reference")
-    total = reference.agg(F.sum(F.size("words"))).first()[0] or 0
-    sharded = reference.withColumn("shard", F.pmod(F.xxhash64("d", "twin", "start"), F.lit(total // shard_words + 1)))
-    holds = sharded.select("shard", F.explode("anchors").alias("anchor")).distinct()
-    visits = parts.select("d", "twin", "start", F.explode("anchors").alias("anchor")).join(holds, "anchor").select("d", "twin", "start", "shard").distinct()
-    queries = parts.select("d", "twin", "start", "words").join(visits, ["d", "twin", "start"])
-    queries = stage(queries, "visits")
+                out.append((d, t, start + low, start + high))
+    return pd.DataFrame(out, columns=["d", "t", "start", "end"])
+
+
+def repeated_spans(texts: DataFrame, size: int, task_words: int) -> DataFrame:
+    """(d, t, spans) of the texts that hold windows found earlier. ``places`` lists the windows of a text that come first, with
+    the own shard and ``first``, and those that come again, with the shard of the first."""
+    given = pieces(texts.withColumn("places", F.expr("transform(filter(places, p -> p.first), p -> struct(p.shard, p.start))")), size)
+    asked = pieces(texts.withColumn("places", F.expr("transform(filter(places, p -> NOT p.first), p -> struct(p.shard, p.start))")), size)
     # a shard that many passages visit is given to several tasks, each with its own copy of the automaton
-    tasks = queries.groupBy("shard").agg((F.sum(F.size("words")) / F.lit(task_words)).cast("int").alias("more"))
-    asked = queries.join(F.broadcast(tasks) if total // shard_words < 10_000 else tasks, "shard").withColumn("part", F.pmod(F.xxhash64("d", "twin", "start"), F.col("more") + 1).cast("int"))
-    given = sharded.select("shard", "d", "twin", "start", "words").join(tasks, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), "more")))
-    columns = ["shard", "part", "d", "twin", "start", "words"]
-    found = given.select(*columns).groupBy("shard", "part").cogroup(asked.select(*columns).groupBy("shard", "part")).applyInPandas(lambda a, b: match_shard(a, b, size), "d long, twin int, start int, end int")
-    return found.groupBy("d", "twin").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    visits = texts.select(F.explode("places").alias("p")).where("NOT p.first").groupBy(F.col("p.shard").alias("shard")).agg((F.count(F.lit(1)) / F.lit(task_words)).cast("int").alias("more"))
+    visits = stage(visits, "visits")
+    asked = asked.join(visits, "shard").withColumn("part", F.pmod(F.xxhash64("d", "t", "start"), F.col("more") + 1).cast("int")).drop("more")
+    given = given.join(visits, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), "more"))).drop("more")
+    found = given.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(lambda a, b: match_shard(a, b, size), "d long, t long, start int, end int")
+    return found.groupBy("d", "t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def without_spans(texts: DataFrame) -> DataFrame:
-    """(d, twin, removed, kept) of texts with ``spans`` of words to take out; kept words are joined by one space."""
+    """(d, t, removed, kept) of texts with ``spans`` of words to take out; kept words are joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in blocks(batches, "text"):
@@ -306,39 +282,54 @@ def without_spans(texts: DataFrame) -> DataFrame:
                 rows = np.flatnonzero(stays) + a
                 kept.append(" ".join(raw[begin[i] : begin[i + 1] - 1].decode() for i in rows))
                 removed.append(b - a - len(rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["d", "twin", "removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["d", "t", "removed", "kept"])
+
+    return texts.select("d", "t", "text", "spans").mapInArrow(run, "d long, t long, removed long, kept string")
+
 
-    return texts.select("d", "twin", "text", "spans").mapInArrow(run, "d long, twin int, removed long, kept string")
+def _met(big: DataFrame, keys: DataFrame, how: str, most_rows: int) -> DataFrame:
+    """``big`` joined with staged keys, broadcast up to ``most_rows``."""
+    return big.join(F.broadcast(keys) if keys.count() <= most_rows else keys, ["d", "t"], how)
 
 
-def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 20, gram: int = 6, shard_words: int = 40_000, task_words: int = 400_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 20, gram: int = 6, shard_windows: int = 30_000, task_words: int = 300_000, most_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per row: words go that a window of ``size`` words covers whose sequence starts earlier.
 
     Earlier is a smaller id, or a smaller start in the same text; windows are judged on the input. Rows with a NULL id come after all
     others; rows that share an id come in the order of a hash of their texts, and equal rows are one document and get equal results.
     NULL, empty and short texts lose nothing. A text whose word sequence an earlier one has goes as a whole without being matched
-    word by word. An empty table gives an empty result. Only ``id`` (a whole number) and ``text`` are read.
+    word by word. An empty table gives an empty result. Only ``id`` (a whole number) and ``text`` are read. Lists of up to
+    ``most_rows`` texts to look at, or to leave out, are broadcast; longer ones are met by a shuffle.
     """
-    own = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
-    keyed = own.select("d", "t", "text")
-    profile = stage(profiles(keyed), "profiles")
-    order = Window.partitionBy("d").orderBy("t")
-    numbered = profile.withColumn("twin", F.dense_rank().over(order) - 1)
+    own = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
+    profile = stage(profiles(own), "profiles")
+    # the hash of the text tells rows of one id apart; where ids are unique it need not travel
+    total = profile.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("d").alias("ids")).first()
+    if total["rows"] == total["ids"]:
+        own, profile = (x.withColumn("t", F.lit(0).cast("long")) for x in (own, profile))
     # the first text of each word sequence stands for all
-    first = profile.groupBy("h1", "h2", "n").agg(F.min(F.struct("d", "t")).alias("x"))
-    leads = first.select("x.*").withColumn("leads", F.lit(True))
-    rows = stage(numbered.join(leads, ["d", "t"], "left"), "rows")
-
-    places = anchors(keyed, size, gram)
-    again = places.groupBy("anchor").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("twice").alias("twice")).where("low <> high OR twice").select("anchor")
-    hits = places.select("d", "t", "anchor", "place").join(again, "anchor").groupBy("d", "t").agg(F.collect_set("place").alias("places"))
-    wanted = rows.where("leads").select("d", "t", "twin").distinct().join(hits, ["d", "t"])
-    texts = stage(keyed.join(wanted, ["d", "t"]).dropDuplicates(["d", "t"]), "texts")
-
-    spans = repeated_spans(texts, size, gram, shard_words, task_words)
-    changed = without_spans(texts.join(spans, ["d", "twin"])).select("d", "twin", "removed", F.sha2("kept", 256).alias("kept"))
-    met = rows.join(changed, ["d", "twin"], "left")
-    whole = F.col("leads").isNull() & (F.col("n") >= size)
+    first = profile.groupBy("h1", "h2", "n").agg(F.min(F.struct("d", "t")).alias("lead"))
+    rows = stage(profile.join(first, ["h1", "h2", "n"]).withColumn("leads", F.struct("d", "t") == F.col("lead")).drop("lead", "h1", "h2"), "rows")
+    copies = stage(rows.where("NOT leads").select("d", "t").distinct(), "copies")
+    leads = _met(own, copies, "left_anti", most_rows)
+
+    again = stage(anchors(leads, size, gram).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
+    sieve = Sieve(again)
+    place = F.struct("d", "t", "start")
+    firsts = windows(leads, sieve, size, gram).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")).where("n > 1").select("w", "at")
+    firsts = stage(firsts, "firsts")
+    shards = firsts.count() // shard_windows + 1
+    shard = F.pmod(F.xxhash64("at.d", "at.t"), F.lit(shards)).cast("int").alias("shard")
+    later = windows(leads, sieve, size, gram).join(firsts, "w").where(place != F.col("at")).select("d", "t", "start", shard, F.lit(False).alias("first"))
+    every = later.unionByName(firsts.select("at.d", "at.t", "at.start", shard, F.lit(True).alias("first")))
+    places = stage(every.groupBy("d", "t").agg(F.collect_list(F.struct("shard", "start", "first")).alias("places")), "places")
+    touched = _met(leads, places.select("d", "t"), "left_semi", most_rows).join(places, ["d", "t"])
+    texts = stage(touched if total["rows"] == total["ids"] else touched.dropDuplicates(["d", "t"]), "texts")
+
+    spans = repeated_spans(texts, size, task_words)
+    changed = without_spans(texts.drop("places").join(spans, ["d", "t"])).select("d", "t", "removed", F.sha2("kept", 256).alias("kept"))
+    met = rows.join(changed, ["d", "t"], "left")
+    whole = ~F.col("leads") & (F.col("n") >= size)
     removed = F.when(whole, F.col("n")).otherwise(F.coalesce("removed", F.lit(0)))
     sha = F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha"))
     doc_id = F.when(F.col("d") != LAST, F.col("d")).alias("doc_id")
