@@ -62,6 +62,7 @@ COMPONENTS = {
     "Dihydroartemisinin–Piperaquine": ["dihydroartemisinin", "piperaquine"],
     "Sulfadoxine–Pyrimethamine": ["sulfadoxine", "pyrimethamine"],
 }
+# The drugs that make a combination an ACT.
 CORE_DRUGS = ["artemether", "artesunate", "dihydroartemisinin", "artemisinin"]
 PARTNER_DRUGS = ["lumefantrine", "amodiaquine", "piperaquine", "mefloquine", "naphthoquine"]
 
@@ -96,9 +97,16 @@ DETAILED_NAMES = {
     "SP": "Sulfadoxine–Pyrimethamine",
 }
 UNCLASSIFIED = "Other / Unclassified"
+
+# Classes of the codes, as published. A code in neither list is unknown.
+ACT_CODES = [
+    "AL", "AL_adult", "AL_child", "AL_PQ", "AL_unsupervised",
+    "AS+AQ", "AS+AQ-FDC", "AS+AQ(1)FDC", "AS+AQ(2)FDC",
+    "AS+SP", "AS3+AQ-FDC", "AS3+SP", "ASAQ",
+    "ASMQ", "ASMQ_adult", "ASMQ_child",
+    "ART+NQ", "DHA-PPQ", "DHAPQP", "DHAPQPa", "DHAPPQb", "DP",
+]
 NON_ACT_CODES = ["CQ", "CQ_double_dose", "SP", "AQ+SP"]
-UNKNOWN_CODES = ["AS"]
-ACT_CODES = [code for code in DETAILED_NAMES if code not in NON_ACT_CODES + UNKNOWN_CODES]
 
 # Arm texts of the combinations looked for, any letter case.
 ACT_ARM_TEXTS = [
