@@ -166,6 +166,25 @@ def quantiles_approximate(t: Tables):
     return approximate_quantiles(t.lineitem, "l_extendedprice", [0.25, 0.5, 0.75], ["q25", "q50", "q75"], ["l_returnflag"])
 
 
+@query(
+    "quantiles_approximate_rank",
+    """
+SELECT l_returnflag, p, true AS near FROM (SELECT DISTINCT l_returnflag FROM lineitem), (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS p)""",
+)
+def quantiles_approximate_rank(t: Tables):
+    """Whether the sketched quantiles stand within a thousandth of the wanted rank."""
+    probs = [0.25, 0.5, 0.75]
+    sketched = approximate_quantiles(t.lineitem, "l_extendedprice", probs, ["q25", "q50", "q75"], ["l_returnflag"])
+    x = left_join(t.lineitem.select("l_returnflag", "l_extendedprice"), sketched, ["l_returnflag"], na_match=False)
+    pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.col(q).alias("q")) for p, q in zip(probs, ["q25", "q50", "q75"], strict=True)])
+    met = x.select("l_returnflag", "l_extendedprice", F.explode(pairs).alias("e")).groupBy("l_returnflag", "e.p").agg(
+        F.avg((F.col("l_extendedprice") < F.col("e.q")).cast("double")).alias("below"),
+        F.avg((F.col("l_extendedprice") <= F.col("e.q")).cast("double")).alias("upto"),
+    )
+    near = (F.col("below") <= F.col("p") + 0.001) & (F.col("upto") >= F.col("p") - 0.001)
+    return met.select("l_returnflag", "p", near.alias("near"))
+
+
 @query(
     "study_characteristics",
     f"""

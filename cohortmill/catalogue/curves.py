@@ -242,6 +242,26 @@ def glm_fit(t: Tables):
     )
 
 
+# With one two-level factor the log odds are those of the counts.
+LOGIT_SQL = """
+WITH x AS (SELECT o_orderstatus = 'F' AS f, o_totalprice > 250000 AS y FROM orders),
+n AS (SELECT count(*) FILTER (WHERE f AND y)::DOUBLE AS f1, count(*) FILTER (WHERE f AND NOT y)::DOUBLE AS f0,
+             count(*) FILTER (WHERE NOT f AND y)::DOUBLE AS m1, count(*) FILTER (WHERE NOT f AND NOT y)::DOUBLE AS m0 FROM x),
+r AS (SELECT '(Intercept)' AS term, ln(f1 / f0) AS estimate, sqrt(1 / f1 + 1 / f0) AS std_error FROM n
+      UNION ALL SELECT 'sex_M', ln(m1 / m0) - ln(f1 / f0), sqrt(1 / m1 + 1 / m0 + 1 / f1 + 1 / f0) FROM n)
+SELECT term, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error FROM r"""
+
+
+@query("glm_fit_binomial_two_level", LOGIT_SQL)
+def glm_fit_binomial_two_level(t: Tables):
+    x = t.orders.select(
+        F.when(F.col("o_orderstatus") == "F", "F").otherwise("M").alias("sex"),
+        F.when(F.col("o_totalprice") > 250000, 1.0).otherwise(0.0).alias("recurrence"),
+    )
+    fit = glm(x, "recurrence ~ sex", "binomial")
+    return fit.select("term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"))
+
+
 @query("glm_fit_binomial", None)
 def glm_fit_binomial(t: Tables):
     x = left_join(t.orders, t.customer, [("o_custkey", "c_custkey")], na_match=False)
