@@ -173,14 +173,40 @@ def _raw_sql(code: str, kind: str) -> str:
 RAW_KEYS = ("studyid", "usubjid", "seq", "visit", "visitnum", "visitdy", "epoch")
 
 
-def _raw_step(i: int, code: str) -> str:
-    skip = "EXCLUDE (studyid, usubjid, seq, visit, visitnum, visitdy, epoch)"
+def _raw_step(i: int, code: str, keys=RAW_KEYS) -> str:
+    skip = f"EXCLUDE ({', '.join(keys)})"
     return (
-        f"w{i} AS (SELECT {X._keys('m', 'x', RAW_KEYS)}, m.* {skip}, x.* {skip} "
-        f"FROM w{i - 1} m FULL JOIN {code} x ON {X._same('m', 'x', RAW_KEYS)})"
+        f"w{i} AS (SELECT {X._keys('m', 'x', keys)}, m.* {skip}, x.* {skip} "
+        f"FROM w{i - 1} m FULL JOIN {code} x ON {X._same('m', 'x', keys)})"
     )
 
 
+def _supervised(df: DataFrame, every: int) -> DataFrame:
+    return df.withColumn("dotind", F.when(F.col("visitdy") % every == 0, "Y").otherwise("N"))
+
+
+@query(
+    "raw_domain_merge_extra_key",
+    f"""
+WITH {X.D_SQL}, {X.DM_SQL}, {_raw_sql("ds", "signup")}, {_raw_sql("pt0", "click")}, {_raw_sql("in0", "purchase")},
+pt AS (SELECT *, CASE WHEN visitdy % 2 = 0 THEN 'Y' ELSE 'N' END AS dotind FROM pt0),
+ix AS (SELECT *, CASE WHEN visitdy % 3 = 0 THEN 'Y' ELSE 'N' END AS dotind FROM in0),
+w0 AS (SELECT coalesce(ds.studyid, dm.studyid) AS studyid, coalesce(ds.usubjid, dm.usubjid) AS usubjid, seq, visit, visitnum, visitdy, epoch, ds_value, sex, arm
+       FROM ds FULL JOIN dm ON ds.studyid = dm.studyid AND ds.usubjid = dm.usubjid),
+{_raw_step(1, "pt")}, {_raw_step(2, "ix", (*RAW_KEYS, "dotind"))}
+SELECT * FROM w2""",
+)
+def raw_domain_merge_extra_key(t: Tables):
+    """Treatments and interventions of one visit that differ in supervision stay two rows."""
+    frames = {
+        "ds": _raw_domain(t, "ds", "signup"),
+        "pt": _supervised(_raw_domain(t, "pt0", "click"), 2),
+        "in": _supervised(_raw_domain(t, "in0", "purchase"), 3),
+    }
+    people = D.prepare_demographics(X.demographics(t)).select("studyid", "usubjid", "sex", "arm")
+    return D.merge_raw_domains(frames, people, {"in": ["dotind"]})
+
+
 @query(
     "raw_domain_merge",
     f"""

@@ -170,12 +170,17 @@ def merge_subject_days(
     return left_join(merged, disposition.drop("time_source"), KEYS)
 
 
-def merge_raw_domains(frames: Mapping[str, DataFrame], demographics: DataFrame) -> DataFrame:
+def merge_raw_domains(
+    frames: Mapping[str, DataFrame], demographics: DataFrame, extra_keys: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
     """All raw domains in full on subject, sequence and visit, with attributes per subject.
 
-    Subjects known only from the demographics keep one row.
+    ``extra_keys`` names, by domain, columns that its step compares as well, such as an indicator that the
+    domains merged before bring along. Subjects known only from the demographics keep one row.
     """
     keys = [*SUBJECT, "seq", "visit", "visitnum", "visitdy", "epoch"]
-    first, *rest = frames.values()
-    started = full_merge([first, demographics], SUBJECT)
-    return full_merge([started, *rest], keys)
+    first, *rest = frames
+    merged = full_merge([frames[first], demographics], SUBJECT)
+    for domain in rest:
+        merged = full_merge([merged, frames[domain]], [*keys, *(extra_keys or {}).get(domain, ())])
+    return merged
