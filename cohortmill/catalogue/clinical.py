@@ -420,6 +420,20 @@ def trial_cohort(t: Tables):
     return _shown(_trials(t))
 
 
+@query(
+    "patient_set_payload",
+    X.OBSERVED_SQL
+    + f""", q AS (SELECT sid, pid, max(day) - 3 AS lastday, max(value) AS pfmicl0, min(day) AS recurparday, {S.pick(X.SITES, "(user_id + 1) % 3")} AS site
+  FROM d WHERE event_type = 'purchase' GROUP BY sid, pid, user_id)
+SELECT ob.pid, ob.sid, ob.site, ob.dayofobs + 1 AS dayofobs, ob.hourofobs, q.site AS site_y, pfmicl0, recurparday
+FROM ob LEFT JOIN q ON ob.sid = q.sid AND ob.pid = q.pid AND ob.dayofobs = q.lastday""",
+)
+def patient_set_payload(t: Tables):
+    merged = C.merge_observations(_observations(t))
+    joined = C.attach_outcome(merged, X.patient_set_measures(t), ["site", "pfmicl0", "recurparday"])
+    return joined.select(*C.OBSERVATION_KEYS, "site_y", "pfmicl0", "recurparday")
+
+
 @query(
     "observation_merge",
     X.OBSERVED_SQL

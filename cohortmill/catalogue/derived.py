@@ -318,6 +318,13 @@ def patient_set(t: Tables) -> DataFrame:
     )
 
 
+def patient_set_measures(t: Tables) -> DataFrame:
+    """The patient set with more of its columns: a site of its own, a density and a day."""
+    rows = days(t).filter(F.col("event_type") == "purchase").groupBy("sid", "pid", "user_id")
+    measured = rows.agg((F.max("day") - 3).alias("lastday"), F.max("value").alias("pfmicl0"), F.min("day").alias("recurparday"))
+    return measured.withColumn("site", pick(SITES, F.col("user_id") + 1))
+
+
 def _observed_sql(name: str, kind: str, columns: str) -> str:
     return (
         f"{name} AS (SELECT pid, sid, {S.pick(SITES, 'user_id % 3')} AS site, day - 3 AS dayofobs, {HOUR_SQL} AS hourofobs, "

@@ -149,9 +149,14 @@ def merge_observations(tables: Sequence[DataFrame], order: str = ROW) -> DataFra
 
 
 def attach_outcome(observations: DataFrame, patients: DataFrame, columns: Sequence[str] = ("outcome",)) -> DataFrame:
-    """Patient-level columns on the row of the patient's last day only; then day 0 becomes 1."""
+    """Patient-level columns on the row of the patient's last day only; then day 0 becomes 1.
+
+    The observations keep their own site; one that the patient set brings is called ``site_y``.
+    """
     payload = patients.select(*OBSERVED_SUBJECT, "lastday", *columns)
     joined = left_join(observations, payload, [*OBSERVED_SUBJECT, ("dayofobs", "lastday")])
+    if "site" in columns:
+        joined = joined.withColumnRenamed("site_x", "site")
     return joined.withColumn("dayofobs", F.col("dayofobs") + 1)
 
 
