@@ -147,3 +147,32 @@ def test_arm_names(frame, arm, code):
 @pytest.mark.parametrize("code, name", [("CIV", "Côte d’Ivoire"), ("ZMB", "Zambia"), ("XXX", None), (None, None)])
 def test_countries(frame, code, name):
     assert frame("c string", (code,)).select(country_name("c").alias("v")).first()["v"] == name
+
+
+# Published classes, written out here so that a changed list in the package cannot agree with itself.
+CLASS_OF_CODE = {
+    "AL": "ACT", "AL_adult": "ACT", "AL_child": "ACT", "AL_PQ": "ACT", "AL_unsupervised": "ACT", "AS": "Unknown",
+    "AS+AQ": "ACT", "AS+AQ-FDC": "ACT", "AS+AQ(1)FDC": "ACT", "AS+AQ(2)FDC": "ACT", "AS+SP": "ACT", "AS3+AQ-FDC": "ACT",
+    "AS3+SP": "ACT", "ASAQ": "ACT", "ASMQ": "ACT", "ASMQ_adult": "ACT", "ASMQ_child": "ACT", "AQ+SP": "Non-ACT",
+    "CQ": "Non-ACT", "CQ_double_dose": "Non-ACT", "ART+NQ": "ACT", "DHA-PPQ": "ACT", "DHAPQP": "ACT", "DHAPQPa": "ACT",
+    "DHAPPQb": "ACT", "DP": "ACT", "SP": "Non-ACT", "something else": "Unknown",
+}
+COUNTRY_OF_CODE = {
+    "AGO": "Angola", "BEN": "Benin", "BFA": "Burkina Faso", "CIV": "Côte d’Ivoire", "CMR": "Cameroon", "GAB": "Gabon", "KEN": "Kenya",
+    "MOZ": "Mozambique", "NER": "Niger", "NGA": "Nigeria", "RWA": "Rwanda", "SEN": "Senegal", "UGA": "Uganda", "ZMB": "Zambia", "XXX": None,
+}
+BAND_OF_DENSITY = [
+    (0.0, "0"), (1.0, "1-99"), (99.0, "1-99"), (100.0, "100-999"), (999.0, "100-999"), (1000.0, "1,000-9,999"), (9999.0, "1,000-9,999"),
+    (10000.0, "10,000-49,999"), (49999.0, "10,000-49,999"), (50000.0, "50,000-99,999"), (99999.0, "50,000-99,999"),
+    (100000.0, "100,000-499,999"), (499999.0, "100,000-499,999"), (500000.0, "500,000-499,999"), (999999.0, "500,000-499,999"),
+    (1000000.0, "> 1,000,000"), (2e7, "> 1,000,000"), (None, None),
+]
+
+
+def test_fixed_values_stand_as_published(frame):
+    codes = frame("k string", *[(k,) for k in CLASS_OF_CODE]).select("k", G.class_by_code("k"))
+    assert dict(map(tuple, codes.collect())) == CLASS_OF_CODE
+    countries = frame("k string", *[(k,) for k in COUNTRY_OF_CODE]).select("k", country_name("k"))
+    assert dict(map(tuple, countries.collect())) == COUNTRY_OF_CODE
+    bands = frame("x double", *[(x,) for x, _ in BAND_OF_DENSITY]).select("x", B.density_band("x"))
+    assert [tuple(r) for r in bands.collect()] == BAND_OF_DENSITY
