@@ -143,7 +143,7 @@ matched AS (
            string_split_regex(text, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?(?:[A-Za-z0-9+/_.=-]+)') AS gaps
     FROM texts
     UNION ALL SELECT doc_id, source, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), string_split_regex(text, 'AKIA[A-Z0-9]+') FROM texts
-    UNION ALL SELECT doc_id, source, 2, regexp_extract_all(text, '[0-9a-f]{24,}'), string_split_regex(text, '[0-9a-f]{24,}') FROM texts),
+    UNION ALL SELECT doc_id, source, 2, regexp_extract_all(text, '[0-9a-f]+'), string_split_regex(text, '[0-9a-f]+') FROM texts),
 turns AS (SELECT doc_id, source, rank, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS turn FROM matched),
 placed AS (
     SELECT doc_id, source, rank, hit, (sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY turn))::BIGINT AS stop,
@@ -170,7 +170,7 @@ per_text AS (
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM documents d LEFT JOIN per_text p ON d.doc_id = p.doc_id
-""".replace("\\\\", "\\")
+"""
 
 
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
