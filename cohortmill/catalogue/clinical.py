@@ -584,14 +584,16 @@ def density_by_arm_day_42(t: Tables):
 DAYS = [*range(1, 15), 21, 28]
 
 
-def _subjects_sql(columns, table: str, row: str, column: str, keep: str, other: str | None = None) -> str:
+def _subjects_sql(
+    columns, table: str, row: str, column: str, keep: str, other: str | None = None, start: str = f"WITH {X.D_SQL}, {X.WIDE_SQL}"
+) -> str:
     """Distinct subjects per cell; ``other`` adds the cells whose category has no column, each counted for itself."""
     cells = [f'CAST(sum(n) FILTER (WHERE {column} IS NOT DISTINCT FROM {S.quote(v)}) AS BIGINT) AS "{n}"' for n, v in columns.items()]
     if other:
         cells.append(f'CAST(sum(n) FILTER (WHERE {column} IS NULL OR {column} NOT IN ({", ".join(map(S.quote, columns.values()))})) AS BIGINT) AS "{other}"')
     names = [*columns, *([other] if other else [])]
     return f"""
-WITH {X.D_SQL}, {X.WIDE_SQL}, k AS (SELECT {row}, {column}, count(DISTINCT usubjid) AS n FROM {table} WHERE {keep} GROUP BY ALL),
+{start}, k AS (SELECT {row}, {column}, count(DISTINCT usubjid) AS n FROM {table} WHERE {keep} GROUP BY ALL),
 w AS (SELECT {row}, {", ".join(cells)} FROM k GROUP BY {row}),
 z AS (SELECT {row}, {", ".join(f'"{n}"' for n in names)}, {" + ".join(f'coalesce("{n}", 0)' for n in names)} AS "Total" FROM w)
 SELECT * FROM z UNION ALL SELECT 'Total', {", ".join(f'CAST(coalesce(sum("{n}"), 0) AS BIGINT)' for n in [*names, "Total"])} FROM z"""
@@ -624,6 +626,35 @@ def responses_by_day(t: Tables):
     return P.subjects_by(wide, "who", "time", values=[float(d) for d in DAYS], other="other days")
 
 
+CLASSIFIED = {**{c: c for c in sorted(X.CLASSIFIED)}, "NA": None}
+
+
+@query("merged_study_by_response", _subjects_sql(CLASSIFIED, "m4", "studyid", "who", "true", start=X.MERGED_SQL))
+def merged_study_by_response(t: Tables):
+    return P.subjects_by(merged_days(t), "studyid", "whomal01_na", values=list(CLASSIFIED.values()))
+
+
+FOUND = {**{g: g for g in sorted(X.GENOTYPES)}, "NA": None}
+
+
+@query("merged_response_by_genotype", _subjects_sql(FOUND, "m4", "who", "intp", "true", start=X.MERGED_SQL))
+def merged_response_by_genotype(t: Tables):
+    days = merged_days(t).withColumnRenamed("whomal01_na", "who")
+    return P.subjects_by(days, "who", "intp_na", values=list(FOUND.values()))
+
+
+STUDIES = {f"S{k}": f"S{k}" for k in range(5)}
+
+
+@query(
+    "decoded_disposition_by_study",
+    _subjects_sql(STUDIES, "(SELECT usubjid, studyid, disposition_2 AS disposition FROM ds)", "disposition", "studyid", "true"),
+)
+def decoded_disposition_by_study(t: Tables):
+    table = D.prepare_disposition(X.dispositions(t))
+    return P.subjects_by(table, "disposition", "studyid", values=list(STUDIES.values()))
+
+
 GENOTYPED = {"RECRUDESCENCE": "= 'RECRUDESCENCE'", "REINFECTION": "= 'REINFECTION'", "NA": "IS NULL"}
 
 
