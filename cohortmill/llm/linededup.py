@@ -13,7 +13,6 @@ from cohortmill.llm.staging import fresh, new_folder, stage
 #: The white space stripped from both ends of a line.
 BLANK = " \t\n\x0b\x0c\r"
 HASH = ["h1", "h2"]
-ROW = ["k1", "k2"]
 
 
 def lines_of(text: Column) -> Column:
@@ -94,20 +93,26 @@ class LineRuns:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
-    """Hashes (h1, h2) of the line keys found in at least ``min_docs`` rows of ``docs``, staged.
+def hashed_lines(docs: DataFrame, id: str, text: str, min_chars: int, batches: int) -> DataFrame:
+    """(k1, k2, hashes, batch) of each row, staged with a folder per batch: hashes of its id and text, and of its lines in order.
 
-    The rows are dealt into ``batches`` by a hash of their text, written once with a folder per batch, and taken in one after the other.
+    Rows are dealt into batches by a hash of their text. A line whose key is too short has a NULL in its place.
     """
-    found = F.array_distinct(F.transform(lines_of(F.col(text)), lambda line: line_hash(line, min_chars)))
-    hashes = docs.select(F.pmod(F.xxhash64(F.col(text), F.lit("batch")), F.lit(batches)).cast("int").alias("batch"), F.explode(found).alias("h")).where("h IS NOT NULL").select("batch", "h.h1", "h.h2")
-    spark = docs.sparkSession
-    folder = new_folder(spark, "line-hashes")
-    hashes.write.partitionBy("batch").parquet(folder)
-    staged = spark.read.schema("h1 long, h2 long, batch int").parquet(folder)
+    hashes = F.transform(lines_of(F.col(text)), lambda line: line_hash(line, min_chars))
+    batch = F.pmod(F.xxhash64(F.col(text), F.lit("batch")), F.lit(batches)).cast("int").alias("batch")
+    rows = docs.select(F.xxhash64(F.col(id)).alias("k1"), F.xxhash64(F.col(text)).alias("k2"), hashes.alias("hashes"), batch)
+    folder = new_folder(docs.sparkSession, "line-hashes")
+    rows.write.partitionBy("batch").parquet(folder)
+    return docs.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def frequent_lines(hashed: DataFrame, min_docs: int, batches: int) -> DataFrame:
+    """Hashes (h1, h2) of the line keys found in at least ``min_docs`` rows, staged; one batch is taken in after the other."""
+    spark = hashed.sparkSession
     runs = LineRuns(spark, min_docs)
     for batch in range(batches):
-        runs.add(staged.where(F.col("batch") == batch).select(*HASH))
+        own = hashed.where(F.col("batch") == batch).select(F.explode(F.array_distinct("hashes")).alias("h"))
+        runs.add(own.where("h IS NOT NULL").select("h.h1", "h.h2"))
     out = stage(runs.frequent(), "frequent-lines")
     runs.close()
     return out
@@ -116,16 +121,17 @@ def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
     """``docs`` with every line removed from ``text`` whose key is found in at least ``min_docs`` rows, plus n_lines and n_dropped.
 
-    Only hashes and positions of frequent lines are joined; a text moves once, to meet its positions. A NULL or empty text is one
-    empty line; keys under ``min_chars`` code points always stay; a text whose lines all go becomes empty, and its row stays. Each
-    row is a document: repeated rows count again and get the same result, and so do rows with a NULL id. Other columns pass
-    through, whatever their names; if ``docs`` has an n_lines or n_dropped, the new column gets underscores in front.
+    Lines are hashed once; only hashes and positions of frequent lines are joined, and a text moves once, to meet its positions. A
+    NULL or empty text is one empty line; keys under ``min_chars`` code points always stay; a text whose lines all go becomes
+    empty, and its row stays. Each row is a document: repeated rows count again and get the same result, and so do rows with a
+    NULL id. Other columns pass through, whatever their names; if ``docs`` has an n_lines or n_dropped, the new column gets
+    underscores in front.
     """
     n_lines, n_dropped, k1, k2, gone, done = fresh(docs, "n_lines", "n_dropped", "row_key_1", "row_key_2", "positions_gone", "lines_done")
-    frequent = frequent_lines(docs, text, min_docs, min_chars, batches)
+    hashed = hashed_lines(docs, id, text, min_chars, batches)
+    frequent = frequent_lines(hashed, min_docs, batches)
     keyed = docs.select("*", F.xxhash64(F.col(id)).alias(k1), F.xxhash64(F.col(text)).alias(k2))
-    hashes = F.transform(lines_of(F.col(text)), lambda line: line_hash(line, min_chars))
-    places = keyed.select(k1, k2, F.posexplode(hashes).alias("pos", "h")).where("h IS NOT NULL").select(k1, k2, "pos", "h.h1", "h.h2")
+    places = hashed.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.posexplode("hashes").alias("pos", "h")).where("h IS NOT NULL").select(k1, k2, "pos", "h.h1", "h.h2")
     dropped = places.join(frequent, HASH, "left_semi").groupBy(k1, k2).agg(F.collect_set("pos").alias(gone))
     lost = F.coalesce(F.col(gone), F.array().cast("array<int>"))
 
