@@ -308,8 +308,8 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", si
     if total["rows"] == total["ids"]:
         own, profile = (x.withColumn("t", F.lit(0).cast("long")) for x in (own, profile))
     # the first text of each word sequence stands for all
-    first = profile.groupBy("h1", "h2", "n").agg(F.min(F.struct("d", "t")).alias("lead"))
-    rows = stage(profile.join(first, ["h1", "h2", "n"]).withColumn("leads", F.struct("d", "t") == F.col("lead")).drop("lead", "h1", "h2"), "rows")
+    first = profile.groupBy("h1", "h2", "n").agg(F.min(F.struct("d", "t")).alias("lead")).select("lead.*", F.lit(True).alias("leads"))
+    rows = stage(profile.drop("h1", "h2").join(first, ["d", "t"], "left").withColumn("leads", F.col("leads").isNotNull()), "rows")
     copies = stage(rows.where("NOT leads").select("d", "t").distinct(), "copies")
     leads = _met(own, copies, "left_anti", most_rows)
 
