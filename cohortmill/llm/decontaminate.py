@@ -1,4 +1,4 @@
-"""Benchmark decontamination by templates: windows with typed placeholders, hash-joined, their slots checked for consistency."""
+"""Benchmark decontamination by templates: windows with typed placeholders find alignments, whose slots are checked for consistency."""
 
 from __future__ import annotations
 
@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill.llm.staging import fresh, stage
-from cohortmill.llm.words import U, Words, ascii_lower, blocks, mix, run_hashes
+from cohortmill.llm.words import BASE, U, Words, ascii_lower, blocks, mix, run_hashes, text_bytes
 
 #: Words that are units after a number, and words that are numbers.
 UNITS = ["cm", "mm", "m", "km", "meter", "meters", "metre", "metres", "kilometers", "kilometres", "mile", "miles", "inch", "inches", "feet", "foot", "g", "kg", "mg", "gram", "grams", "kilograms", "pound", "pounds", "ton", "tons", "l", "ml", "liter", "liters", "litre", "litres", "s", "ms", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "euro", "euros", "cent", "cents", "usd", "eur", "percent", "degrees", "celsius", "fahrenheit", "kelvin", "volts", "watts", "joules", "newtons", "hz", "mph"]
 NUMBERS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million"]
+#: Words that open sentences and are no names.
+OPENERS = ["a", "an", "the", "this", "that", "these", "those", "there", "here", "it", "its", "he", "she", "they", "we", "you", "i", "his", "her", "their", "our", "my", "your", "what", "which", "who", "whose", "whom", "when", "where", "why", "how", "if", "in", "on", "at", "to", "of", "for", "from", "by", "with", "after", "before", "during", "while", "as", "and", "or", "but", "so", "then", "because", "since", "each", "every", "all", "some", "no", "not", "is", "are", "was", "were", "do", "does", "did", "has", "have", "had", "der", "die", "das", "ein", "eine", "es", "er", "sie", "wir", "ich", "was", "wer", "wie", "wo", "wann", "warum", "wenn", "und", "oder", "aber", "auf", "mit", "von", "zu", "le", "la", "les", "un", "une", "il", "elle", "nous", "vous", "ils", "que", "qui", "quel", "quelle", "comment", "quand", "pourquoi", "si", "et", "ou", "mais", "dans", "avec", "pour", "el", "los", "las", "una", "ella", "ellos", "cual", "como", "cuando", "donde", "y", "o", "pero", "en", "con", "por", "para"]
 
 NUMBER, UNIT, NAME = (mix(np.array([k], U))[0] for k in (101, 102, 103))
+SALT = U(0x5851F42D4C957F2D)
 ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 DIGIT = np.array([48 <= b <= 57 for b in range(256)])
@@ -49,14 +52,14 @@ def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 class Templates:
-    """Canonical tokens of a block of texts: ``canon`` with placeholders, ``value`` as written, and where each text begins (``first``).
+    """Tokens of a block of texts: ``canon`` with placeholders, ``value`` as written, ``kind`` of placeholder (0 for none), and where each text begins (``first``).
 
     A token is a word without punctuation at its ends, in lower case; a word of punctuation alone is none. Numbers (figures, or
-    number words), units after a number, and capitalised words within a sentence become placeholders. A text of fewer than
-    ``size`` tokens is filled up with empty ones, so that it has one window.
+    number words), units after a number, and capitalised words within a sentence become placeholders. A capitalised word at the start
+    of a text or sentence is a literal and may be a name as well (``maybe``), unless it is one of OPENERS.
     """
 
-    def __init__(self, words: Words, size: int):
+    def __init__(self, words: Words):
         data = words.data
         solid = np.flatnonzero(ALNUM[data])
         edge = np.searchsorted(solid, words.start)
@@ -77,87 +80,205 @@ class Templates:
         unit = after_number & _in(value, _known(UNITS)) & ~number
         small = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122) | (data >= 128) & (low == data))])
         capital &= small[end] > small[start]  # a word in capitals throughout is not a name
-        name = capital & ~new_text & ~after_stop & ~number & ~unit
-        canon = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value)))
-        counts = np.bincount(text, minlength=len(words.first) - 1)
-        filled = np.where(counts > 0, np.maximum(counts, size), 0)
-        self.first = np.concatenate([[0], np.cumsum(filled)])
-        at = np.repeat(self.first[:-1], counts) + np.arange(len(real)) - np.repeat(np.concatenate([[0], np.cumsum(counts)])[:-1], counts)
-        self.canon, self.value, self.slot = (np.zeros(self.first[-1], kind) for kind in (U, U, bool))
-        self.canon[at], self.value[at], self.slot[at] = canon, value, number | unit | name
-        self.text = np.repeat(np.arange(len(filled)), filled)
-
-    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each window begins, its hash, and whether it is a template.
-
-        Every window is there as written, and once more as a template if it has placeholders and at least ``literals`` other words.
+        capital &= ~number & ~unit
+        opening = new_text | after_stop
+        self.maybe = capital & opening & ~_in(value, _known(OPENERS))
+        self.slot = number | unit | capital & ~opening
+        self.kind = np.where(number, NUMBER, np.where(unit, UNIT, np.where(self.maybe | capital & ~opening, NAME, U(0))))
+        self.canon, self.value, self.text = np.where(self.slot, self.kind, value), value, text
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(words.first) - 1))]).astype(np.int64)
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each window begins, its hash, how many of its words are literal, and whether it is a template.
+
+        Every window is there as written, and as a template in each of its forms that has a placeholder: words that may be names count once
+        as literal and once as names, each for itself.
         """
-        n = len(self.canon) - size + 1
+        n = len(self.value) - size + 1
         if n <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, bool)
+            return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, bool)
         at = np.flatnonzero(self.text[:n] == self.text[size - 1 :])
         total = np.concatenate([[0], np.cumsum(self.slot)])
-        slots = total[at + size] - total[at]
-        form = at[(slots > 0) & (size - slots >= literals)]
-        h = np.concatenate([run_hashes(self.value, size)[at], run_hashes(self.canon ^ U(0x5851F42D4C957F2D), size)[form]])
-        return np.concatenate([at, form]), h, np.arange(len(h)) >= len(at)
-
-
-def template_windows(rows: DataFrame, size: int, literals: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """(k1, k2, w, place, slots) of each window of rows (k1, k2, text), or of those whose hash is in the sorted array ``wanted``.
-
-    slots holds, for each word of a template, a hash of the value in a placeholder and 0 for a literal word; as written, it is all 0.
+        literal = size - (total[at + size] - total[at])
+        salted = self.canon ^ SALT
+        form = np.flatnonzero(literal < size)
+        found = [(at, run_hashes(self.value, size)[at], np.full(len(at), size)), (at[form], run_hashes(salted, size)[at[form]], literal[form])]
+        bits = np.zeros(len(at), np.int64)
+        for k in range(size):
+            bits |= self.maybe[at + k].astype(np.int64) << k
+        some = np.flatnonzero(bits)
+        for names in range(1, 1 << size):
+            hit = some[(bits[some] & names) == names]
+            if len(hit):
+                h = np.zeros(len(hit), U)
+                for k in range(size):
+                    h = h * BASE + (NAME ^ SALT if names >> k & 1 else salted[at[hit] + k])
+                found.append((at[hit], mix(h), literal[hit] - names.bit_count()))
+        places, hashes, literals = (np.concatenate(x) for x in zip(*found, strict=True))
+        return places, hashes, literals, np.arange(len(places)) >= len(at)
+
+
+class Questions:
+    """The items of a benchmark as tokens, and the windows (``seeds``) by which texts are aligned with them.
+
+    All windows as written are seeds. Templates are if ``literals`` words are literal; where too few windows of an item have that many, the
+    windows with the most literal words are too, so many that a text with ``share`` of the windows holds one. An item
+    with fewer than ``literals`` words that can be literal is found as written only.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in blocks(batches, "text"):
-            found = Templates(words, size)
-            at, h, template = found.windows(size, literals)
-            if wanted is not None:
-                keep = _in(h, wanted)
-                at, h, template = at[keep], h[keep], template[keep]
-            text = found.text[at] if len(at) else at
-            index = at[:, None] + np.arange(size)
-            slots = np.where(found.slot[index] & template[:, None], found.value[index], U(0)) if len(at) else np.zeros((0, size), U)
-            k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * size, pa.int32()), pa.array(slots.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(k1[text]), pa.array(k2[text]), pa.array(h.view(np.int64)), pa.array((at - found.first[text]).astype(np.int32)), lists], ["k1", "k2", "w", "place", "slots"])
-
-    return rows.mapInArrow(run, "k1 long, k2 long, w long, place int, slots array<long>")
+    def __init__(self, texts: list[str], size: int, share: float, literals: int):
+        found = Templates(Words(*text_bytes(pa.array(texts, pa.string()))))
+        self.value, self.kind, self.maybe, self.first = found.value, found.kind, found.maybe, found.first
+        self.share, self.literals, self.full = share, literals, size
+        n = np.diff(self.first)
+        self.size = np.minimum(size, n)
+        self.windows = np.where(n > 0, n - self.size + 1, 0)
+        need = np.ceil(share * self.windows - 1e-9).astype(np.int64)
+        plain = np.concatenate([[0], np.cumsum(~found.slot & ~found.maybe)])
+        open_words = np.concatenate([[0], np.cumsum(~found.slot)])
+        self.template = open_words[self.first[1:]] - open_words[self.first[:-1]] >= literals
+        hidden = np.zeros(len(n), np.int64)
+        self.seeds = {}
+        for length in np.unique(self.size[self.size > 0]).tolist():
+            at, h, literal, template = found.windows(length)
+            mine = self.size[found.text[at]] == length
+            at, h, literal, template = at[mine], h[mine], literal[mine], template[mine]
+            item = found.text[at]
+            each = at[~template]
+            sure = plain[each + length] - plain[each]
+            order = np.lexsort((each, -sure, found.text[each]))
+            turn = np.arange(len(each)) - np.searchsorted(found.text[each[order]], found.text[each[order]])
+            owner = found.text[each[order]]
+            chosen = np.zeros(len(found.value), bool)
+            chosen[each[order][(turn <= self.windows[owner] - need[owner]) & (sure[order] > 0)]] = True
+            seed = ~template | self.template[item] & ((literal >= literals) | chosen[at])
+            dropped = np.unique(at[~seed & self.template[item]])
+            hidden += np.bincount(found.text[dropped], minlength=len(n))
+            at, h, item = at[seed], h[seed], item[seed]
+            order = np.argsort(h, kind="stable")
+            keys, begin = np.unique(h[order], return_index=True)
+            self.seeds[length] = keys, np.append(begin, len(order)), item[order], (at - self.first[item])[order]
+        self.least = need - hidden
+
+    def aligned(self, found: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, start): alignments of texts with items that share a seed, if the seeds met and the windows without seeds can make the share."""
+        out = []
+        for length, (keys, begin, items, places) in self.seeds.items():
+            at, h, _, _ = found.windows(length)
+            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = np.flatnonzero(keys[k] == h)
+            hit = hit[np.argsort(at[hit], kind="stable")]
+            sizes = begin[k[hit] + 1] - begin[k[hit]]
+            so_far = np.cumsum(sizes)
+            text = found.text[at[hit]]
+            low = 0
+            while low < len(hit):  # texts by the million entries, or one
+                high = int(np.searchsorted(so_far, so_far[low] - sizes[low] + 1_000_000, "right"))
+                high = max(int(np.searchsorted(text, text[min(high, len(hit) - 1)], "left")), int(np.searchsorted(text, text[low], "right"))) if high < len(hit) else high
+                n = sizes[low:high]
+                entry = np.repeat(begin[k[hit[low:high]]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                of, item, place = np.repeat(text[low:high], n), items[entry], places[entry]
+                start = np.repeat(at[hit[low:high]], n) - place
+                pair, inverse = np.unique(of * len(self.size) + item, return_inverse=True)
+                met = np.unique(inverse * (int(places.max()) + 1) + place) // (int(places.max()) + 1)
+                enough = np.bincount(met, minlength=len(pair)) >= self.least[pair % len(self.size)]
+                out.append(np.unique(np.stack([of, item, start], 1)[enough[inverse]], axis=0))
+                low = high
+        return tuple(np.concatenate(out).T) if out else (np.zeros(0, np.int64),) * 3
+
+    def held(self, item: int, found: Templates, text: int, starts: np.ndarray) -> int:
+        """How many windows of the item the text holds, as written or as templates, with the item's first word at any of ``starts``."""
+        size, first, last = int(self.size[item]), int(self.first[item]), int(self.first[item + 1])
+        got = np.zeros(self.windows[item], bool)
+
+        def whole(fits: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(fits)])
+            return total[size:] - total[:-size] == size
+
+        for start in starts.tolist():
+            low, high = max(0, int(found.first[text]) - start), min(last - first, int(found.first[text + 1]) - start)
+            mine, theirs = slice(first + low, first + high), slice(start + low, start + high)
+            same = self.value[mine] == found.value[theirs]
+            slot = (self.kind[mine] == found.kind[theirs]) & (self.kind[mine] != 0) & ~(same & (self.maybe[mine] | found.maybe[theirs]))
+            written = whole(same)
+            got[low : low + len(written)] |= written
+            fits = whole(same | slot)
+            if not self.template[item] or not (fits & ~written).any():
+                continue
+            edges = np.zeros(high - low + 1, np.int64)
+            edges[: len(fits)] += fits
+            edges[size : size + len(fits)] -= fits
+            inside = np.cumsum(edges[:-1]) > 0
+            if (inside & same & ~slot).sum() < self.literals:
+                continue
+            at = np.flatnonzero(inside & slot)
+            pairs, place, inverse, count = np.unique(np.stack([self.value[mine][at], found.value[theirs][at]], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+            agreed = np.zeros(len(pairs), bool)
+            there, back = set(), set()
+            for p in np.lexsort((place, -count)).tolist():
+                a, b = pairs[p].tolist()
+                if a not in there and b not in back:
+                    agreed[p] = True
+                    there.add(a)
+                    back.add(b)
+            right = same | slot
+            right[at[~agreed[inverse.ravel()]]] = False
+            got[low : low + len(fits)] |= whole(right)
+        return int(got.sum())
+
+    def met(self, found: Templates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, share) of the items of which a text holds the share."""
+        text, item, start = self.aligned(found)
+        order = np.lexsort((start, item, text))
+        text, item, start = text[order], item[order], start[order]
+        heads = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0))
+        out = []
+        for low, high in zip(heads.tolist(), [*heads[1:].tolist(), len(text)], strict=False):
+            part = self.held(int(item[low]), found, int(text[low]), start[low:high]) / int(self.windows[item[low]])
+            if part >= self.share and not self._apart(int(item[low]), found, int(text[low])):
+                out.append((text[low], item[low], part))
+        return tuple(np.array([o[k] for o in out], kind) for k, kind in enumerate((np.int64, np.int64, float)))
+
+    def _apart(self, item: int, found: Templates, text: int) -> bool:
+        """Whether the item is shorter than a window of others and the text has other words too."""
+        return bool(self.size[item] < self.full and found.first[text + 1] - found.first[text] != self.size[item])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", size: int = 5, share: float = 0.8, literals: int = 3, most_windows: int = 2_000_000) -> DataFrame:
-    """(k1, k2, item_id, share): documents that hold at least ``share`` of the template windows of a benchmark item.
+    """(k1, k2, item_id, share): documents that hold at least ``share`` of the windows of a benchmark item, as written or as templates.
 
-    k1 and k2 are hashes of the document's id and text. Windows of a document and an item at one distance count if their slots agree:
-    each value of the item stands for one value of the document and the other way round, so an item with other numbers or names is
-    found and a chance meeting of placeholders is not. Up to ``most_windows`` hashes of the benchmark are sent along to leave out
-    the windows that no item has; beyond that all windows are joined, with the same result.
+    k1 and k2 are hashes of the document's id and text. Windows with enough literal words find alignments of documents and items; along
+    each, every window is compared, those full of placeholders too. A window counts as written, or if its placeholders agree with the map of the
+    alignment, in which each value of the item stands for one value of the document and the other way round (the commoner pair, then
+    the earlier, wins) and for which ``literals`` words are the same. So an item with other numbers or names is found and a chance meeting
+    of placeholders is not. The items are sent along in parts of about ``most_windows`` words, the documents passed once for each part.
     """
-    items = benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("text")).where("text IS NOT NULL").distinct()
-    keyed_items = items.select(F.xxhash64("item_id").alias("k1"), F.xxhash64("text").alias("k2"), "text")
-    asked = template_windows(keyed_items, size, literals)
-    names = items.select("item_id", F.xxhash64("item_id").alias("k1"), F.xxhash64("text").alias("k2"))
-    sought = asked.join(names, ["k1", "k2"]).select("w", "item_id", F.col("k1").alias("i1"), F.col("k2").alias("i2"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    sought = stage(sought, "benchmark-windows")
-    hashes = sought.select("w").distinct()
-    few = hashes.limit(most_windows + 1).count() <= most_windows
-    wanted = np.sort(np.array([r[0] for r in hashes.collect()], np.int64).view(U)) if few else None
+    items = benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("text")).where("text IS NOT NULL").distinct().withColumn("i", F.xxhash64("text"))
+    names = stage(items, "benchmark-items")
+    distinct = names.select("i", "text").distinct()
+    total = distinct.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    n_parts = max(1, -(-total // max(1, most_windows)))
+    part = F.pmod(F.col("i"), F.lit(n_parts))
     rows = docs.select(F.xxhash64(F.col(id)).alias("k1"), F.xxhash64(F.col(text)).alias("k2"), F.col(text).alias("text"))
-    met = template_windows(rows, size, literals, wanted).join(F.broadcast(sought) if few else sought, "w")
-    pair = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: x["a"] != 0)
-    key = ["k1", "k2", "item_id", "i1", "i2"]
-    aligned = met.withColumn("distance", F.col("place") - F.col("item_place")).groupBy(*key, "distance").agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_list(pair))).alias("pairs")
-    )
-
-    def one_to_one(side: str):
-        return F.size(F.array_distinct(F.transform("pairs", lambda x: x[side]))) == F.size("pairs")
-
-    held = aligned.where(one_to_one("a") & one_to_one("b")).select(*key, F.explode("places").alias("place")).groupBy(*key).agg(F.count_distinct("place").alias("found"))
-    totals = sought.groupBy("i1", "i2").agg(F.count_distinct("item_place").alias("windows"))
-    rated = held.join(totals, ["i1", "i2"]).withColumn("share", F.col("found") / F.col("windows"))
-    return rated.where(F.col("share") >= share).groupBy("k1", "k2", "item_id").agg(F.max("share").alias("share"))
+    schema = "k1 long, k2 long, i long, share double"
+    found = docs.sparkSession.createDataFrame([], schema)
+    for k in sorted(r[0] for r in distinct.select(part).distinct().collect()):
+        asked = distinct.where(part == k).orderBy("i", "text").collect()
+        keys = np.array([r["i"] for r in asked], np.int64)
+        questions = Questions([r["text"] for r in asked], size, share, literals)
+        found = found.unionByName(rows.mapInArrow(_search(questions, keys), schema))
+    named = found.join(F.broadcast(names.select("item_id", "i")) if n_parts == 1 else names.select("item_id", "i"), "i")
+    return named.groupBy("k1", "k2", "item_id").agg(F.max("share").alias("share"))
+
+
+def _search(questions: Questions, keys: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words in blocks(batches, "text"):
+            text, item, share = questions.met(Templates(words))
+            k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(k1[text]), pa.array(k2[text]), pa.array(keys[item]), pa.array(share)], ["k1", "k2", "i", "share"])
+
+    return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -123,6 +123,28 @@ def test_reparameterised_questions(spark):
     assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, found.collect()))
 
 
+@pytest.mark.parametrize("most_windows", [2_000_000, 3])
+def test_questions_dense_in_numbers_or_with_a_name_first(spark, most_windows):
+    items = {
+        1: "A train covers 120 km in 2 hours and 180 km in 3 hours. What is its speed?",
+        2: "What is 15 plus 27 minus 8 times 3 ?",
+        3: "John has 12 apples. John gives 5 apples to his sister and eats 2.",
+        4: "12 15 18 21 24 27",
+        5: "What is the capital of France?",
+    }
+    docs = {
+        1: "See: A train covers 90 km in 5 hours and 70 km in 4 hours. What is its speed? Think.",
+        2: "What is 31 plus 64 minus 9 times 7 ?",
+        3: "Well, Mary has 31 apples. Mary gives 7 apples to his sister and eats 4. Done",
+        4: "A train covers 90 km in 5 hours and 90 km in 90 hours. What is its speed?",
+        5: "1 2 3 4 5 6 7 8 9 10",
+        6: "This is the capital of Germany.",
+        7: "The row is 12 15 18 21 24 27 here",
+    }
+    found = decontaminate.find_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"), most_windows=most_windows)
+    assert {r.doc_id: r["items"] for r in found.collect()} == {1: "1", 2: "2", 3: "3", 4: "", 5: "", 6: "", 7: "4"}
+
+
 def test_weak_labels_find_the_bad_texts(spark, larger):
     docs, labels = table(spark, larger, "documents"), table(spark, larger, "labels")
     _, model = quality.fit_quality(docs)
