@@ -129,7 +129,7 @@ class Questions:
     def __init__(self, texts: list[str], size: int, share: float, literals: int):
         found = Templates(Words(*text_bytes(pa.array(texts, pa.string()))))
         self.value, self.kind, self.maybe, self.first = found.value, found.kind, found.maybe, found.first
-        self.share, self.literals, self.full = share, literals, size
+        self.share, self.literals = share, literals
         n = np.diff(self.first)
         self.size = np.minimum(size, n)
         self.windows = np.where(n > 0, n - self.size + 1, 0)
@@ -235,14 +235,10 @@ class Questions:
         out = []
         for low, high in zip(heads.tolist(), [*heads[1:].tolist(), len(text)], strict=False):
             part = self.held(int(item[low]), found, int(text[low]), start[low:high]) / int(self.windows[item[low]])
-            if part >= self.share and not self._apart(int(item[low]), found, int(text[low])):
+            if part >= self.share:
                 out.append((text[low], item[low], part))
         return tuple(np.array([o[k] for o in out], kind) for k, kind in enumerate((np.int64, np.int64, float)))
 
-    def _apart(self, item: int, found: Templates, text: int) -> bool:
-        """Whether the item is shorter than a window of others and the text has other words too."""
-        return bool(self.size[item] < self.full and found.first[text + 1] - found.first[text] != self.size[item])
-
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", size: int = 5, share: float = 0.8, literals: int = 3, most_windows: int = 2_000_000) -> DataFrame:
     """(k1, k2, item_id, share): documents that hold at least ``share`` of the windows of a benchmark item, as written or as templates.
@@ -284,8 +280,8 @@ def _search(questions: Questions, keys: np.ndarray):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, contaminated, n_items, items, share) for each row of ``docs``: the items found, by id and joined by commas, and the best share.
 
-    NULL and empty texts hold nothing. An item without words is never found; one with fewer words than a window is found only
-    in a document with the same words and no others. Repeated rows get equal results; an empty table or an empty benchmark gives no leak. Only the id and
+    NULL and empty texts hold nothing. An item without words is never found; one with fewer words than a window is
+    one window of its own length, found wherever a document has these words in a row. Repeated rows get equal results; an empty table or an empty benchmark gives no leak. Only the id and
     the text are read.
     """
     found = leaks(docs, benchmark, **options).groupBy("k1", "k2").agg(F.array_join(F.transform(F.sort_array(F.collect_set("item_id")), lambda x: x.cast("string")), ",").alias("items"), F.count_distinct("item_id").alias("n"), F.max("share").alias("share"))

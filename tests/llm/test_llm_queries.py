@@ -145,6 +145,13 @@ def test_questions_dense_in_numbers_or_with_a_name_first(spark, most_windows):
     assert {r.doc_id: r["items"] for r in found.collect()} == {1: "1", 2: "2", 3: "3", 4: "", 5: "", 6: "", 7: "4"}
 
 
+def test_questions_shorter_than_a_window(spark):
+    items = [(1, "Who wrote Faust?"), (2, "Add 3 to it"), (3, "yes")]
+    docs = {1: "Quiz: who wrote Faust? Goethe did", 2: "Now add 7 to it and go on", 3: "who wrote that Faust", 4: "add it to 3", 5: "Yes, add 3 to it. Who wrote Faust", 6: ""}
+    found = decontaminate.find_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: r["items"] for r in found.collect()} == {1: "1", 2: "2", 3: "", 4: "", 5: "1,2,3", 6: ""}
+
+
 def test_weak_labels_find_the_bad_texts(spark, larger):
     docs, labels = table(spark, larger, "documents"), table(spark, larger, "labels")
     _, model = quality.fit_quality(docs)
