@@ -1,7 +1,8 @@
-"""Toxicity by a subsequence string kernel: a support vector machine over Nyström landmarks, trained on words of labelled texts.
+"""Toxicity by a subsequence string kernel: a support vector machine over Nyström landmarks, trained on spans of labelled texts.
 
-Two strings are alike as far as they share subsequences of four signs, each worth less the more signs lie between. So a word with
-signs put in or left out stays close to the word itself. The machine is linear in the kernel values with the landmarks, and
+A string is a span of one to three words; an end and a start sign between two words stand for the space. Two strings are alike as
+far as they share subsequences of four signs, each worth less the more signs lie between, up to three. So a word with
+signs put in or left out, or split by a space, stays close to the word itself, and a phrase is known as one string. The machine is linear in the kernel values with the landmarks, and
 these are sums over subsequences; so the trained machine is one weight per subsequence, and scoring is a sum along the text.
 """
 
@@ -18,13 +19,20 @@ from pyspark.sql import functions as F
 
 from cohortmill.llm.decontaminate import LETTER, lower
 from cohortmill.llm.staging import stage
-from cohortmill.llm.words import U, Words, blocks, mix, text_bytes
+from cohortmill.llm.words import Words, blocks, text_bytes
 
-SIZE, REACH, DECAY = 4, 6, 0.6
-BUCKETS = 1 << 18
+SIZE, REACH, DECAY = 4, 7, 0.6
+BUCKET_BITS = 20
+BUCKETS = 1 << BUCKET_BITS
+SPAN = 3
 STEPS = [(0, *rest) for rest in combinations(range(1, REACH), SIZE - 1)]
 
 
+def bucket_of(code: np.ndarray) -> np.ndarray:
+    """The bucket of four signs in 32 bits."""
+    return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKET_BITS)
+
+
 @dataclass
 class Strings:
     """Words reduced to their small letters between a start and an end sign, with the number of the text of each."""
@@ -37,7 +45,7 @@ class Strings:
         """For each shape of a subsequence: where it begins, its bucket, and its worth."""
         n = len(self.data)
         last = np.repeat(self.begin[1:], np.diff(self.begin))
-        data = self.data.astype(U)
+        data = self.data.astype(np.uint32)
         for step in STEPS:
             reach = step[-1]
             if n <= reach:
@@ -45,24 +53,48 @@ class Strings:
             at = np.flatnonzero(np.arange(n - reach) + reach < last[: n - reach])
             code = data[at]
             for k in step[1:]:
-                code = code * U(256) + data[at + k]
-            yield at, (mix(code) % U(BUCKETS)).astype(np.int64), DECAY ** (reach + 1 - SIZE)
+                code = (code << np.uint32(8)) | data[at + k]
+            yield at, bucket_of(code).astype(np.int64), DECAY ** (reach + 1 - SIZE)
 
     def norms(self) -> np.ndarray:
         """The length of each string's vector of subsequences, if none comes twice."""
-        size = np.diff(self.begin)
-        total = np.zeros(len(size))
-        for step in STEPS:
-            total += np.maximum(size - step[-1], 0) * DECAY ** (2 * (step[-1] + 1 - SIZE))
-        return np.sqrt(np.maximum(total, 1e-9))
+        return norms_of(np.diff(self.begin))
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """For each string the weights of its subsequences, over its norm."""
-        value = np.zeros(len(self.data))
-        for at, bucket, worth in self.terms():
-            value[at] += worth * weights[bucket]
-        total = np.concatenate([[0.0], np.cumsum(value)])
-        return (total[self.begin[1:]] - total[self.begin[:-1]]) / self.norms()
+        return self.span_sums(weights, [(self.begin[:-1], self.begin[1:])])[0]
+
+    def span_sums(self, weights: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The same for any parts of ``data``, given by where they begin and end. Each subsequence is looked up once for all parts."""
+        totals = [np.zeros(len(begin)) for begin, _ in spans]
+        n = len(self.data)
+        signs = [self.data.astype(np.uint32) << np.uint32(8 * k) for k in range(SIZE)]
+        for reach in range(SIZE - 1, min(REACH, n)):
+            m = n - reach
+            value = np.zeros(m)
+            ends = signs[3][:m] | signs[0][reach:]
+            for a in range(1, reach - 1):
+                start = ends | signs[2][a : a + m]
+                for b in range(a + 1, reach):
+                    value += weights[bucket_of(start | signs[1][b : b + m])]
+            so_far = np.concatenate([[0.0], np.cumsum(value)]) * DECAY ** (reach + 1 - SIZE)
+            for total, (begin, end) in zip(totals, spans, strict=True):
+                first = np.minimum(begin, m)
+                total += so_far[np.maximum(end - reach, first)] - so_far[first]
+        return [total / norms_of(end - begin) for total, (begin, end) in zip(totals, spans, strict=True)]
+
+    def spans(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each run of ``size`` strings of one text begins and ends, and its text."""
+        n = len(self.text) - size + 1
+        at = np.flatnonzero(self.text[: max(0, n)] == self.text[size - 1 :]) if n > 0 else np.zeros(0, np.int64)
+        return self.begin[at], self.begin[at + size], self.text[at]
+
+
+def norms_of(size: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(size))
+    for step in STEPS:
+        total += np.maximum(size - step[-1], 0) * DECAY ** (2 * (step[-1] + 1 - SIZE))
+    return np.sqrt(np.maximum(total, 1e-9))
 
 
 def strings(words: Words) -> Strings:
@@ -91,8 +123,10 @@ def strings(words: Words) -> Strings:
 
 
 def as_strings(texts: list[str]) -> Strings:
-    """One string per text, each of which is a word."""
-    return strings(Words(*text_bytes(pa.array(texts, pa.string()))))
+    """One string per text, with all its words."""
+    found = strings(Words(*text_bytes(pa.array(texts, pa.string()))))
+    heads = np.flatnonzero(np.diff(found.text, prepend=-1))
+    return Strings(found.data, np.append(found.begin[heads], found.begin[-1]), found.text[heads])
 
 
 @dataclass
@@ -157,16 +191,21 @@ def fit_machine(words: list[str], toxic: np.ndarray, clean: np.ndarray, n_landma
 
 
 def pooled(machine: Machine, words: Words) -> np.ndarray:
-    """What a text's words say together (a row per text): the highest margin, how many are positive and by how much, and their share."""
+    """What a text's words, and its spans of more words, say together (a row per text): of either the highest margin, how many are positive
+    and by how much, and their share."""
     found = strings(words)
-    margin = machine.margins(found)
     n = len(words.first) - 1
-    top = np.full(n, -2.0)
-    np.maximum.at(top, found.text, margin)
-    count = np.bincount(found.text, margin > 0, n)
-    total = np.bincount(found.text, np.maximum(margin, 0), n)
-    size = np.maximum(np.bincount(found.text, minlength=n), 1)
-    return np.stack([top, np.log1p(count), np.log1p(total), np.log1p(1000 * total / size)], axis=1)
+    spans = [found.spans(size) for size in range(1, SPAN + 1)]
+    margins = [x + machine.bias for x in found.span_sums(machine.weights, [x[:2] for x in spans])]
+    out = []
+    for text, margin in ((spans[0][2], margins[0]), (np.concatenate([x[2] for x in spans[1:]]), np.concatenate(margins[1:]))):
+        top = np.full(n, -2.0)
+        np.maximum.at(top, text, margin)
+        count = np.bincount(text, margin > 0, n)
+        total = np.bincount(text, np.maximum(margin, 0), n)
+        size = np.maximum(np.bincount(text, minlength=n), 1)
+        out += [top, np.log1p(count), np.log1p(total), np.log1p(1000 * total / size)]
+    return np.stack(out, axis=1)
 
 
 @dataclass
@@ -201,7 +240,8 @@ def held_out(id: Column) -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", train_rows: int = 4_000, train_words: int = 20_000, n_landmarks: int = 300) -> ToxicityModel:
     """Learn from at most ``train_rows`` labelled rows outside the held-out fifth, half of each class if there are enough.
 
-    The words of those rows are counted in Spark; the ``train_words`` most common go to the machine, and its pooled margins on the same rows to
+    The spans of one to three words of those rows are counted in Spark; ``train_words`` of them go to the machine, half those that tell
+    toxic texts best and half the most common others, and its pooled margins on the same rows to
     the last regression. Conflicting labels of one id count by majority, a tie as clean.
     """
     vote = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") > 0.5).alias("toxic")).where(~held_out(F.col("doc_id")))
@@ -209,20 +249,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
     ids = turn.where("toxic").orderBy("turn", "doc_id").limit(train_rows // 2).unionByName(turn.where("NOT toxic").orderBy("turn", "doc_id").limit(train_rows // 2)).select("doc_id", "toxic")
     own = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     sample = stage(own.join(F.broadcast(ids), "doc_id").select("toxic", "text"), "toxicity-sample")
-    word = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")
-    counts = sample.select("toxic", word).where(F.length("word").between(2, 40)).groupBy("word").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
-    table = counts.orderBy(F.desc(F.col("toxic") + F.col("clean")), "word").limit(train_words).collect()
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w).between(1, 40))
+    split = sample.select("toxic", words.alias("words"))
+
+    def span(size: int) -> Column:
+        places = F.sequence(F.lit(1), F.size("words") - size + 1)
+        return F.when(F.size("words") >= size, F.transform(places, lambda k: F.array_join(F.slice("words", k, size), " "))).otherwise(F.array().cast("array<string>"))
+
+    strings_of = F.explode(F.array_distinct(F.concat(*[span(size) for size in range(1, SPAN + 1)]))).alias("word")
+    counts = split.select("toxic", strings_of).where(F.length("word") >= 2).groupBy("word").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
+    counts = stage(counts.where("toxic + clean > 1 OR word NOT LIKE '% %'"), "toxicity-strings")
+    evidence = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) * F.sqrt("toxic")
+    telling = counts.orderBy(evidence.desc(), "word").limit(train_words // 2)
+    common = counts.orderBy(F.desc(F.col("toxic") + F.col("clean")), "word").limit(train_words)
+    table = list({r["word"]: r for r in [*telling.collect(), *common.collect()]}.values())[:train_words]
     if not any(r["toxic"] for r in table) or not any(r["clean"] for r in table):
-        return ToxicityModel(Machine(np.zeros(BUCKETS), -1.0), np.zeros(5))
+        return ToxicityModel(Machine(np.zeros(BUCKETS), -1.0), np.zeros(9))
     toxic, clean = (np.array([r[c] for r in table], float) for c in ("toxic", "clean"))
     machine = fit_machine([r["word"] for r in table], toxic, clean, n_landmarks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in blocks(batches, "text"):
             x = pooled(machine, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T)], ["toxic", "a", "b", "c", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T)], ["toxic", *"abcdefgh"])
 
-    rows = sample.mapInArrow(run, "toxic boolean, a double, b double, c double, d double").orderBy("a", "b", "c", "d", "toxic").collect()
+    rows = sample.mapInArrow(run, "toxic boolean, " + ", ".join(f"{c} double" for c in "abcdefgh")).orderBy(*"abcdefgh", "toxic").collect()
     x, y = np.array([r[1:] for r in rows], float), np.array([r[0] for r in rows], float)
     return ToxicityModel(machine, calibrate(x, y, np.ones(len(y))))
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -202,6 +203,25 @@ def test_the_string_kernel_tolerates_gaps():
     assert abs(found.sums(vector)[0] * found.norms()[0] - naive(f"\x01{a}\x02", f"\x01{b}\x02")) < 1e-6
 
 
+def test_insults_split_spread_or_made_of_harmless_words(spark):
+    random.seed(4)
+    fine = ["garden", "window", "reading", "teacher", "other", "winter", "go", "back", "home", "to", "your", "hole", "the", "crawl", "bread"]
+    rows = []
+    for k in range(600):
+        w = random.choices(fine, k=12)
+        if k % 3 == 0:
+            w[4:5] = ["idiot"] if k % 2 else ["crawl", "back", "home"]
+        elif any(w[j : j + 3] == ["crawl", "back", "home"] for j in range(12)):
+            continue
+        rows.append((k, " ".join(w), int(k % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"), n_landmarks=100)
+    base = "garden window reading {} teacher other winter bread the"
+    asked = ["idiot", "idi ot", "idxiot", "crawl back home", "home", "back crawl", "to your home"]
+    score = dict(zip(asked, model.scores(words.Words(*words.text_bytes(pa.array([base.format(a) for a in asked])))), strict=True))
+    assert min(score[a] for a in ("idiot", "idi ot", "idxiot", "crawl back home")) > 0.5 > max(score[a] for a in ("home", "back crawl", "to your home")), score
+
+
 def subsequences(s):
     out = []
     for k in range(len(s)):
