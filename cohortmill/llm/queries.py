@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.llm.decontaminate import find_leaks
+from cohortmill.llm.importance import importance_resample
 from cohortmill.llm.licences import scan_licences
 from cohortmill.llm.linededup import dedup_lines
 from cohortmill.llm.mixing import mix_sources
@@ -193,5 +194,11 @@ FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op5_licence_scan, op6_quality_classifier, op7_toxicity, op8_secret_scan, op9_substring_dedup, op10_quality_rules)}
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    drawn = importance_resample(docs, table(spark, folder, "benchmark"), percent=5, min_words=20, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op5_licence_scan, op6_quality_classifier, op7_toxicity, op8_secret_scan, op9_substring_dedup, op10_quality_rules, op11_importance_resampling)}
 SQL = {"op1_source_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_substring_dedup": OP9_SQL}

@@ -34,24 +34,28 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Parts of the batches with at most ``most`` bytes of text, or one row, each with its words."""
+def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = BLOCK_BYTES, space: np.ndarray = SPACE, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Parts of the batches with at most ``most`` bytes of text, or one row, each with its words (A-Z in lower case if ``lower``)."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-            yield batch.slice(at, to - at), Words(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            part = data[offsets[at] : offsets[to]]
+            yield batch.slice(at, to - at), Words(ascii_lower(part) if lower else part, offsets[at : to + 1] - offsets[at], space)
             at = to
 
 
 class Words:
-    """``start`` and ``end`` of each word in ``data``, and ``first``: the number of the first word of each text."""
+    """``start`` and ``end`` of each word in ``data``, and ``first``: the number of the first word of each text.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    ``space`` says of each byte whether it separates words.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE):
         self.data, self.offsets = data, offsets
         solid = np.zeros(len(data) + 2, bool)
-        solid[1:-1] = ~SPACE[data]
+        solid[1:-1] = ~space[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         self.start = np.flatnonzero(solid[1:-1] & (~solid[:-2] | edge[:-1]))
