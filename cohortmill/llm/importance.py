@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortmill.llm.crc import crc32, joined
-from cohortmill.llm.staging import fresh, stage
+from cohortmill.llm.staging import stage
 from cohortmill.llm.words import Words, blocks
 from cohortmill.operators.ranges import number_rows
 
@@ -92,7 +92,7 @@ def distinct_lines(texts: DataFrame, text: str) -> DataFrame:
             found = as_binary(*run_buckets(words, words.text_of), rows.num_rows)
             yield pa.RecordBatch.from_arrays([rows.column(k) for k in range(3)] + [found], names=["h1", "h2", "n", "buckets"])
 
-    return stage(lines.select(*_line_hash(F.col("line")), "n", "line").mapInArrow(hashed, "h1 long, h2 long, n long, buckets binary"), "lines")
+    return stage(lines.select(*_line_hash(F.col("line")), "n", "line").mapInArrow(hashed, "h1 long, h2 long, n long, buckets binary"), "lines", "zstd")
 
 
 def texts_across(texts: DataFrame, id: str, text: str) -> DataFrame:
@@ -162,8 +162,8 @@ def noise(id: Column, seed: int) -> Column:
     return F.floor(-1000 * F.log(-F.log((h + 0.5) / F.lit(4294967296.0)))).cast("long")
 
 
-def importance_resample(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text", target_text: str = "text", percent: int = 5, min_words: int = 20, seed: int = 42) -> DataFrame:
-    """``docs`` with n_features, weight, score and rank (all long).
+def rank_by_importance(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text", target_text: str = "text", percent: int = 5, min_words: int = 20, seed: int = 42) -> DataFrame:
+    """(doc_id, n_words, n_features, weight, score, rank) of each row of ``docs``.
 
     A text's features are its runs of one to three words (runs of digits, letters and characters beyond ASCII, A-Z in lower case),
     hashed into 10,000 buckets. A bucket's gain is the logarithm, in thousandths, of how much more frequent it is in ``target``
@@ -171,33 +171,32 @@ def importance_resample(docs: DataFrame, target: DataFrame, id: str = "doc_id",
     ``min_words`` words the floor(percent * N / 100) highest scores are drawn, ties to the smaller id; rank numbers them, and is
     NULL for all other rows. NULL and empty texts have no features and weight 0; a NULL id counts as empty text and comes before
     others in ties; repeated rows count again and get equal scores, and ranks next to each other. Empty tables on either side
-    have zero counts; an empty ``docs`` gives an empty result. Other columns pass through; a name that is taken gets
-    underscores in front.
+    have zero counts; an empty ``docs`` gives an empty result. Only the columns named are read.
     """
-    names = fresh(docs, "n_features", "weight", "score", "rank")
-    n_features, weight, score, rank = names
-    k1, k2, r1, r2, n_words, copies, n = fresh(docs.select("*", *[F.lit(0).alias(c) for c in names]), "row_key_1", "row_key_2", "their_key_1", "their_key_2", "word_count", "copies", "n")
     lines, texts = distinct_lines(docs, text), texts_across(docs, id, text)
-    every = lines.select("n", "buckets").unionByName(texts.select(F.lit(1).cast("long").alias("n"), "buckets"))
+    once = F.lit(1).cast("long").alias("n")
     asked = target.select(F.lit(None).cast("string").alias("id"), F.col(target_text).alias("text"))
-    wanted = distinct_lines(asked, "text").select("n", "buckets").unionByName(texts_across(asked, "id", "text").select(F.lit(1).cast("long").alias("n"), "buckets"))
+    every = lines.select("n", "buckets").unionByName(texts.select(once, "buckets"))
+    wanted = distinct_lines(asked, "text").select("n", "buckets").unionByName(texts_across(asked, "id", "text").select(once, "buckets"))
     gains = bucket_gains(bucket_counts(every), bucket_counts(wanted))
 
     places = docs.select(*_row_key(id, text), F.explode(_lines(F.col(text))).alias("line")).select("k1", "k2", *_line_hash(F.col("line")))
-    from_lines = places.join(weighed(lines, gains, "h1", "h2"), ["h1", "h2"]).select("k1", "k2", "weight", F.lit(0).alias("rows"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_features"))
+    of_lines = places.join(weighed(lines, gains, "h1", "h2"), ["h1", "h2"]).select("k1", "k2", "weight", F.lit(0).alias("rows"))
+    own = weighed(texts, gains, "doc_id", "k1", "k2", "n_words", "n_features")
     # equal rows have equal keys: each has its share of what all of them have
-    own = weighed(texts, gains, "k1", "k2", "n_words", "n_features").select("k1", "k2", "weight", F.lit(1).alias("rows"), "n_words", "n_features")
-    totals = from_lines.unionByName(own).groupBy("k1", "k2").agg(*[F.expr(f"sum({c}) div sum(rows)").alias(c) for c in ("weight", "n_words", "n_features")])
-    met = docs.withColumns({k1: F.xxhash64(F.col(id)), k2: F.xxhash64(F.col(text))}).join(totals.select(F.col("k1").alias(r1), F.col("k2").alias(r2), F.col("weight").alias(weight), F.col("n_words").alias(n_words), F.col("n_features").alias(n_features)), (F.col(k1) == F.col(r1)) & (F.col(k2) == F.col(r2)))
-    scored = met.withColumn(score, F.col(weight) + noise(F.col(id), seed)).drop(k1, k2, r1, r2)
-    return _drawn(scored, id, n_words, score, rank, percent, min_words).select(*[f"`{c}`" for c in docs.columns], *names)
-
-
-def _drawn(scored: DataFrame, id: str, n_words: str, score: str, rank: str, percent: int, min_words: int) -> DataFrame:
-    """``scored`` with ``rank`` for the share of the highest scores among texts of ``min_words`` words."""
-    scored = stage(scored, "scored")
-    asked = scored.where(F.col(n_words) >= min_words)
-    most = asked.count() * percent // 100
-    numbered = number_rows(asked, [F.col(score).desc(), F.col(id).asc_nulls_first()], rank)
-    drawn = numbered.withColumn(rank, F.when(F.col(rank) <= most, F.col(rank)))
-    return drawn.unionByName(scored.where(F.col(n_words) < min_words).withColumn(rank, F.lit(None).cast("long")))
+    totals = of_lines.unionByName(own.select("k1", "k2", "weight", F.lit(1).alias("rows"))).groupBy("k1", "k2").agg(F.expr("sum(weight) div sum(rows)").alias("weight"))
+    scored = stage(own.drop("weight").join(totals, ["k1", "k2"]).select("doc_id", "n_words", "n_features", "weight", (F.col("weight") + noise(F.col("doc_id"), seed)).alias("score")), "scored")
+
+    able = scored.where(F.col("n_words") >= min_words)
+    most = able.count() * percent // 100
+    drawn = number_rows(able, [F.col("score").desc(), F.col("doc_id").asc_nulls_first()], "rank").withColumn("rank", F.when(F.col("rank") <= most, F.col("rank")))
+    return drawn.unionByName(scored.where(F.col("n_words") < min_words).withColumn("rank", F.lit(None).cast("long")))
+
+
+def importance_resample(docs: DataFrame, target: DataFrame, id: str = "doc_id", text: str = "text", target_text: str = "text", percent: int = 5, min_words: int = 20, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` that ``rank_by_importance`` draws, with all their columns, for ids that do not repeat.
+
+    Only the ids drawn meet the texts. A row whose id is NULL is not returned.
+    """
+    ranked = rank_by_importance(docs, target, id, text, target_text, percent, min_words, seed)
+    return docs.join(ranked.where("rank IS NOT NULL").select(F.col("doc_id").alias(id)), id, "left_semi")

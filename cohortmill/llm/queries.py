@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortmill.llm.decontaminate import find_leaks
-from cohortmill.llm.importance import importance_resample
+from cohortmill.llm.divergence import source_divergence
+from cohortmill.llm.importance import rank_by_importance
 from cohortmill.llm.licences import scan_licences
 from cohortmill.llm.linededup import dedup_lines
 from cohortmill.llm.mixing import mix_sources
@@ -195,10 +196,47 @@ FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
 
 
 def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    drawn = importance_resample(docs, table(spark, folder, "benchmark"), percent=5, min_words=20, seed=42)
-    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+    ranked = rank_by_importance(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=5, min_words=20, seed=42)
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(table(spark, folder, "documents"), min_docs=10, top=10)
+
+
+OP12_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+hits AS (
+    SELECT doc_id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM docs),
+per_doc AS (SELECT doc_id, lang, source, term, count(*) AS n FROM hits GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS lang_n FROM per_doc GROUP BY lang, term HAVING count(*) >= 10),
+per_group AS (SELECT lang, source, term, sum(n) AS n FROM per_doc GROUP BY lang, source, term),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (
+    SELECT g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) AS n
+    FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN per_group c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+totals AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY lang, source),
+shares AS (
+    SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)::HUGEINT) // (t.total + 2 * l.v)::HUGEINT AS p,
+           1 + (1000000000::HUGEINT * (lang_n + 2)::HUGEINT) // (l.total + 2 * l.v)::HUGEINT AS q
+    FROM cells JOIN totals t USING (lang, source) JOIN langs l USING (lang)),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+every_pair AS (
+    SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(p.value, 0) AS value
+    FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source),
+marks AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM (SELECT * FROM every_pair UNION ALL SELECT * FROM marks))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op5_licence_scan, op6_quality_classifier, op7_toxicity, op8_secret_scan, op9_substring_dedup, op10_quality_rules, op11_importance_resampling)}
-SQL = {"op1_source_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_substring_dedup": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op5_licence_scan, op6_quality_classifier, op7_toxicity, op8_secret_scan, op9_substring_dedup, op10_quality_rules, op11_importance_resampling, op12_source_divergence)}
+SQL = {"op1_source_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op12_source_divergence": OP12_SQL}

@@ -13,11 +13,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet and read again: computed once, and safe against lost executors."""
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    df.write.parquet(folder)
+    df.write.option("compression", compression).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 

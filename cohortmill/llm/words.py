@@ -91,6 +91,13 @@ class Words:
         text = self.text_of
         return np.flatnonzero(text[: len(self) - size + 1] == text[size - 1 :])
 
+    def strings(self, at: np.ndarray) -> pa.Array:
+        """The words of the given numbers as text."""
+        size = self.end[at] - self.start[at]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        source = np.repeat(self.start[at] - begin[:-1], size) + np.arange(begin[-1])
+        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(begin.astype(np.int32).tobytes()), pa.py_buffer(self.data[source].tobytes())])
+
     def joined(self, data: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All words, each followed by one space, and where each begins there (with the end of the last)."""
         data = self.data if data is None else data
