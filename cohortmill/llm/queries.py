@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortmill.llm.bilinear import score_texts
 from cohortmill.llm.decontaminate import find_leaks
 from cohortmill.llm.divergence import source_divergence
 from cohortmill.llm.importance import rank_by_importance
@@ -238,5 +239,9 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op5_licence_scan, op6_quality_classifier, op7_toxicity, op8_secret_scan, op9_substring_dedup, op10_quality_rules, op11_importance_resampling, op12_source_divergence)}
+def op13_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"), n_words=512, n_endings=255, n_known=200_000, rounds=2, seed=42)
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op5_licence_scan, op6_quality_classifier, op7_toxicity, op8_secret_scan, op9_substring_dedup, op10_quality_rules, op11_importance_resampling, op12_source_divergence, op13_language_model)}
 SQL = {"op1_source_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op12_source_divergence": OP12_SQL}

@@ -1,6 +1,9 @@
 """Plain versions of the operators, for small tables."""
 
+import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -99,3 +102,70 @@ def ownership(values):
         if owner is not None:
             owners[value].add(owner)
     return {v: (len(docs[v]), len(owners[v])) for v in docs}
+
+
+def letters(text, digits):
+    """Runs of letters A to Z (and digits) and of characters beyond ASCII, A-Z in lower case."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+" if digits else r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", ascii_lower(text or ""))
+
+
+def run_buckets(text, most=3, n=10_000):
+    w = letters(text, True)
+    return [zlib.crc32(" ".join(w[i : i + k]).encode()) % n for k in range(1, most + 1) for i in range(len(w) - k + 1)]
+
+
+def importance(rows, target, percent=5, min_words=20, seed=42, n=10_000):
+    """(n_features, weight, score, rank) of each (id, text), by position."""
+    found = [run_buckets(t) for _, t in rows]
+    s, t = Counter(b for f in found for b in f), Counter(b for x in target for b in run_buckets(x))
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (big_s + n) / ((s[b] + 1) * (big_t + n)))) for b in range(n)]
+    out = []
+    for (id, _), f in zip(rows, found, strict=True):
+        h = int(hashlib.sha256(f"{seed}:{'' if id is None else id}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f)
+        out.append([len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    able = sorted((k for k, (_, t) in enumerate(rows) if len(letters(t, True)) >= min_words), key=lambda k: (-out[k][2], rows[k][0] is not None, rows[k][0] or 0))
+    for place, k in enumerate(able[: percent * len(able) // 100]):
+        out[k][3] = place + 1
+    return [tuple(x) for x in out]
+
+
+def divergence(rows, min_docs=10, top=10):
+    """(lang, source, part, item, value, rank) of (text, lang, source)."""
+    rows = [tuple(x or "" for x in r) for r in rows]
+    docs, used, whole = Counter(), defaultdict(Counter), defaultdict(Counter)
+    for text, lang, source in rows:
+        terms = Counter(letters(text, False))
+        docs.update((lang, t) for t in terms)
+        used[lang, source].update(terms)
+        whole[lang].update(terms)
+    out = []
+    for lang in {lang for _, lang, _ in rows}:
+        kept = [t for t in whole[lang] if docs[lang, t] >= min_docs]
+
+        def shares(counts):
+            total = sum(counts[t] for t in kept)
+            return {t: 1 + 1_000_000_000 * (counts[t] + 2) // (total + 2 * len(kept)) for t in kept}
+
+        def apart(p, q):
+            return (p - q) ** 2 // (p + q)
+
+        p = {source: shares(used[k]) for k in used if k[0] == lang for source in [k[1]]}
+        q = shares(whole[lang])
+        for a in p:
+            pairs = [(b, sum(apart(p[a][t], p[b][t]) for t in kept)) for b in p if b != a]
+            marks = [(t, apart(p[a][t], q[t])) for t in kept if used[lang, a][t] and p[a][t] > q[t]]
+            for part, items, most in (("pair", pairs, len(pairs)), ("term", marks, top)):
+                for k, (item, value) in enumerate(sorted(items, key=lambda x: (-x[1], x[0].encode()))[:most]):
+                    out.append((lang, a, part, item, value, k + 1))
+    return out
+
+
+def unigram_scores(rows):
+    """(held_out, n_tokens, n_known, train_tokens, base_score) of each (id, text)."""
+    held = [zlib.crc32(("" if id is None else str(id)).encode()) % 10 == 0 for id, _ in rows]
+    tokens = [[*words(ascii_lower(text or "")), ""] for _, text in rows]
+    c = Counter(t for h, ts in zip(held, tokens, strict=True) if not h for t in ts)
+    n, v = sum(c.values()), len(c)
+    return [(h, len(ts), sum(c[t] > 0 for t in ts), n, sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts)) for h, ts in zip(held, tokens, strict=True)]
