@@ -24,7 +24,7 @@ BETWEEN[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 ONE = 1_000_000_000
 #: Rows of counts that a task gathers before it sums them up, and counts that a task compares at a time.
 MOST_ROWS = 2_000_000
-MOST_CELLS = 4_000_000
+MOST_CELLS = 250_000
 #: Sources compared with all others in one task.
 PANEL = 512
 
