@@ -50,17 +50,24 @@ def _sums(weights: Column, places: Column, n: int) -> Column:
 
 
 def _goals(mass: Column, targets: Targets) -> Column:
-    """What each place should weigh: the rest keeps its share, and the targets present divide what remains in proportion."""
+    """What each place should weigh: the rest keeps its share, and the targets present divide what remains in proportion.
+
+    If no row meets a target above zero, every place keeps its weight.
+    """
     want = F.array(*[F.lit(float(x)) for x in targets.values()], F.lit(0.0))
     here = F.transform(want, lambda x, k: F.when(F.get(mass, k) > 0, x).otherwise(0.0))
-    all_mass = F.aggregate(mass, F.lit(0.0), lambda a, x: a + x)
-    part = _bind(here, lambda h: F.transform(h, lambda x: x / F.aggregate(h, F.lit(0.0), lambda a, y: a + y)))
-    rest = F.get(mass, F.lit(len(targets)))
-    return _bind(F.struct(part.alias("part"), all_mass.alias("all"), rest.alias("rest")), lambda b: F.transform(b["part"], lambda x, k: F.when(k == len(targets), b["rest"]).otherwise(F.coalesce(x, F.lit(0.0)) * (b["all"] - b["rest"]))))
+    known = F.struct(here.alias("here"), F.aggregate(here, F.lit(0.0), lambda a, x: a + x).alias("met"), F.aggregate(mass, F.lit(0.0), lambda a, x: a + x).alias("all"), F.get(mass, F.lit(len(targets))).alias("rest"), mass.alias("mass"))
+
+    def goal(b: Column) -> Column:
+        return F.transform(b["here"], lambda x, k: F.when((k == len(targets)) | (b["met"] <= 0), F.get(b["mass"], k)).otherwise(F.try_divide(x, b["met"]) * (b["all"] - b["rest"])))
+
+    return _bind(known, goal)
 
 
 def rake(cells: DataFrame, margins: list[tuple[str, Targets]], rounds: int) -> DataFrame:
-    """(places, tokens, weight) of the cells, with weights whose sums over each margin come to meet its targets.
+    """(places, tokens, weight, residual) of the cells, with weights whose sums over each margin come to meet its targets.
+
+    The residual is how far the place that is furthest from its goal still is from it, over all weight; each row has it.
 
     ``cells`` has a column of places per margin and ``tokens``. There are at most as many cells as the targets and their rests
     multiply to, so they fit in one row, in which every round of every margin is an expression on arrays.
@@ -86,7 +93,10 @@ def rake(cells: DataFrame, margins: list[tuple[str, Targets]], rounds: int) -> D
         return weights
 
     raked = row.withColumn("weight", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("start"), step))
-    return raked.select(F.explode(F.arrays_zip("cell", "weight")).alias("x")).select("x.cell.*", F.col("x.weight").alias("weight"))
+    off = [F.array_max(F.zip_with(_sums(F.col("weight"), F.col(m), len(t)), F.col(f"goal_{m}"), lambda a, b: F.abs(a - b))) for m, t in margins]
+    whole = F.aggregate("start", F.lit(0.0), lambda a, x: a + x)
+    raked = raked.withColumn("residual", F.coalesce(F.try_divide(F.greatest(*off) if len(off) > 1 else off[0], whole), F.lit(0.0)))
+    return raked.select("residual", F.explode(F.arrays_zip("cell", "weight")).alias("x")).select("x.cell.*", F.col("x.weight").alias("weight"), "residual")
 
 
 def uniform(id: Column, seed: int) -> Column:
@@ -96,26 +106,29 @@ def uniform(id: Column, seed: int) -> Column:
 
 
 def mix_sources(docs: DataFrame, sources: Targets, langs: Targets, topics: Targets, id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", rate: float = 1.0, rounds: int = 50, seed: int = 42) -> DataFrame:
-    """``docs`` with topic, n_tokens, expected_copies and copies.
+    """``docs`` with raking_residual, topic, n_tokens, expected_copies and copies.
 
     Token weights are raked to the three margins over the whole table. A document of a cell is expected in the sample as often as its
     cell's weight is to its tokens, times ``rate``: it gets the whole part of that and one more with the chance of the fraction, by a
     hash of seed and id, so equal ids fare alike. With a rate of 1 the sample has as many tokens as the table, on average.
-    Values without a target, NULL included, keep their share of the tokens. A target that no document meets is spread over the others in proportion. NULL and empty
+    Values without a target, NULL included, keep their share of the tokens. A target that no document meets is spread over the others in proportion; a
+    margin none of whose targets is met leaves all weights as they are. raking_residual says how far the shares still are from the targets
+    after the last round (the largest gap of any margin; every row has it). NULL and empty
     texts have no tokens and fare like their cell, or get no copy if the cell has no tokens. An empty table gives an empty result. Other
     columns pass through; a name that is taken gets underscores in front.
     """
-    out = dict(zip(("topic", "n_tokens", "expected_copies", "copies"), fresh(docs, "topic", "n_tokens", "expected_copies", "copies"), strict=True))
+    named = ("raking_residual", "topic", "n_tokens", "expected_copies", "copies")
+    out = dict(zip(named, fresh(docs, *named), strict=True))
     p_source, p_lang, p_topic, tokens, weight = fresh(docs.select("*", *[F.lit(0).alias(c) for c in out.values()]), "place_source", "place_lang", "place_topic", "cell_tokens", "cell_weight")
     margins = [(p_source, sources), (p_lang, langs), (p_topic, topics)]
     told = docs.select("*", topic(F.col(text)).alias(out["topic"]), n_tokens(F.col(text)).alias(out["n_tokens"]))
     placed = told.select("*", category(F.col(source), sources).alias(p_source), category(F.col(lang), langs).alias(p_lang), category(F.col(out["topic"]), topics).alias(p_topic))
     places = [name for name, _ in margins]
     cells = placed.groupBy(*places).agg(F.sum(out["n_tokens"]).alias("tokens"))
-    raked = rake(cells, margins, rounds).select(*places, F.col("tokens").alias(tokens), F.col("weight").alias(weight))
+    raked = rake(cells, margins, rounds).select(*places, F.col("tokens").alias(tokens), F.col("weight").alias(weight), F.col("residual").alias(out["raking_residual"]))
     met = placed.join(F.broadcast(raked), places)  # as many rows as declared categories multiply to
     expected = F.when(F.col(tokens) > 0, rate * F.col(weight) / F.col(tokens)).otherwise(0.0)
     rated = met.withColumn(out["expected_copies"], expected)
     whole = F.floor(out["expected_copies"])
     more = (uniform(F.col(id), seed) < F.col(out["expected_copies"]) - whole).cast("long")
-    return rated.select(*[f"`{c}`" for c in docs.columns], out["topic"], out["n_tokens"], out["expected_copies"], (whole + more).alias(out["copies"]))
+    return rated.select(*[f"`{c}`" for c in docs.columns], out["raking_residual"], out["topic"], out["n_tokens"], out["expected_copies"], (whole + more).alias(out["copies"]))
