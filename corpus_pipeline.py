@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.llm.decontaminate import decontaminate
 from cohortmill.llm.linededup import dedup_lines
-from cohortmill.llm.mixing import mix_sources
+from cohortmill.llm.mixing import Targets, mix_sources
 from cohortmill.llm.quality import keep_good
 from cohortmill.llm.queries import LANGS, MIX_TOPICS, SOURCES, table
 from cohortmill.llm.simhash import drop_near_duplicates
@@ -35,9 +35,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), size=5, share=0.8)
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents whose tokens meet the target shares; ``copies`` says how often a document is in it."""
-    return mix_sources(docs, SOURCES, LANGS, MIX_TOPICS, rounds=50, seed=42).where("copies > 0")
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str, sources: Targets = SOURCES, langs: Targets = LANGS, topics: Targets = MIX_TOPICS) -> DataFrame:
+    """A sample of the documents whose tokens meet the target shares; ``copies`` says how often a document is in it.
+
+    Sources, languages and topics without a target keep their share of the tokens.
+    """
+    return mix_sources(docs, sources, langs, topics, rounds=50, seed=42).where("copies > 0")
 
 
 STAGES = [
