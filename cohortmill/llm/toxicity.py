@@ -25,6 +25,8 @@ SIZE, REACH, DECAY = 4, 7, 0.6
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 SPAN = 3
+#: Longer spans do not train the machine; they are scored.
+MOST_BYTES = 128
 STEPS = [(0, *rest) for rest in combinations(range(1, REACH), SIZE - 1)]
 
 
@@ -122,6 +124,22 @@ def strings(words: Words) -> Strings:
     return Strings(data, begin, text[head])
 
 
+def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, word): the distinct spans of each text of (toxic, text) as text, without those of one or more than MOST_BYTES bytes."""
+    for batch, words in blocks(batches, "text"):
+        found = strings(words)
+        flag = batch.column(0).to_numpy(zero_copy_only=False)
+        flat = found.data.copy()
+        flat[flat == 2] = 32  # between two words stands their end, and then the start of the next
+        for size in range(1, SPAN + 1):
+            begin, end, text = found.spans(size)
+            some = np.flatnonzero((end - begin > 3) & (end - begin <= MOST_BYTES))
+            spans = {(int(text[k]), flat[begin[k] + 1 : end[k] - 1].tobytes().replace(b"\x01", b"")) for k in some}
+            rows = [(bool(flag[t]), s.decode("utf-8", "replace")) for t, s in sorted(spans)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string())], ["toxic", "word"])
+
+
 def as_strings(texts: list[str]) -> Strings:
     """One string per text, with all its words."""
     found = strings(Words(*text_bytes(pa.array(texts, pa.string()))))
@@ -240,41 +258,38 @@ def held_out(id: Column) -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", train_rows: int = 4_000, train_words: int = 20_000, n_landmarks: int = 300) -> ToxicityModel:
     """Learn from at most ``train_rows`` labelled rows outside the held-out fifth, half of each class if there are enough.
 
-    The spans of one to three words of those rows are counted in Spark; ``train_words`` of them go to the machine, half those that tell
-    toxic texts best and half the most common others, and its pooled margins on the same rows to
-    the last regression. Conflicting labels of one id count by majority, a tie as clean.
+    A quarter of these rows, by a hash of the id, stays apart. The spans of one to three words of the others are counted in Spark, cut as
+    they are when texts are scored; ``train_words`` of them go to the machine, half those that tell
+    toxic texts best and half the most common others. The last regression is fitted to its pooled margins on the rows kept apart (on all
+    rows if those are not of both kinds). Conflicting labels of one id count by majority, a tie as clean.
     """
     vote = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") > 0.5).alias("toxic")).where(~held_out(F.col("doc_id")))
     turn = vote.withColumn("turn", F.xxhash64("doc_id"))
     ids = turn.where("toxic").orderBy("turn", "doc_id").limit(train_rows // 2).unionByName(turn.where("NOT toxic").orderBy("turn", "doc_id").limit(train_rows // 2)).select("doc_id", "toxic")
     own = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    sample = stage(own.join(F.broadcast(ids), "doc_id").select("toxic", "text"), "toxicity-sample")
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w).between(1, 40))
-    split = sample.select("toxic", words.alias("words"))
-
-    def span(size: int) -> Column:
-        places = F.sequence(F.lit(1), F.size("words") - size + 1)
-        return F.when(F.size("words") >= size, F.transform(places, lambda k: F.array_join(F.slice("words", k, size), " "))).otherwise(F.array().cast("array<string>"))
-
-    strings_of = F.explode(F.array_distinct(F.concat(*[span(size) for size in range(1, SPAN + 1)]))).alias("word")
-    counts = split.select("toxic", strings_of).where(F.length("word") >= 2).groupBy("word").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
+    # a quarter of the texts does not train the machine, and calibrates it
+    part = (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0).alias("apart")
+    sample = stage(own.join(F.broadcast(ids), "doc_id").select("toxic", part, "text"), "toxicity-sample")
+    counts = sample.where("NOT apart").select("toxic", "text").mapInArrow(span_rows, "toxic boolean, word string").groupBy("word").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
     counts = stage(counts.where("toxic + clean > 1 OR word NOT LIKE '% %'"), "toxicity-strings")
     evidence = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) * F.sqrt("toxic")
     telling = counts.orderBy(evidence.desc(), "word").limit(train_words // 2)
     common = counts.orderBy(F.desc(F.col("toxic") + F.col("clean")), "word").limit(train_words)
     table = list({r["word"]: r for r in [*telling.collect(), *common.collect()]}.values())[:train_words]
     if not any(r["toxic"] for r in table) or not any(r["clean"] for r in table):
-        return ToxicityModel(Machine(np.zeros(BUCKETS), -1.0), np.zeros(9))
+        return ToxicityModel(Machine(np.zeros(BUCKETS), -1.0), np.append(np.zeros(8), -1.0))
     toxic, clean = (np.array([r[c] for r in table], float) for c in ("toxic", "clean"))
     machine = fit_machine([r["word"] for r in table], toxic, clean, n_landmarks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in blocks(batches, "text"):
             x = pooled(machine, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T)], ["toxic", *"abcdefgh"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in x.T)], ["toxic", "apart", *"abcdefgh"])
 
-    rows = sample.mapInArrow(run, "toxic boolean, " + ", ".join(f"{c} double" for c in "abcdefgh")).orderBy(*"abcdefgh", "toxic").collect()
-    x, y = np.array([r[1:] for r in rows], float), np.array([r[0] for r in rows], float)
+    rows = sample.mapInArrow(run, "toxic boolean, apart boolean, " + ", ".join(f"{c} double" for c in "abcdefgh")).orderBy(*"abcdefgh", "toxic").collect()
+    if {r["toxic"] for r in rows if r["apart"]} == {True, False}:
+        rows = [r for r in rows if r["apart"]]
+    x, y = np.array([r[2:] for r in rows], float), np.array([r[0] for r in rows], float)
     return ToxicityModel(machine, calibrate(x, y, np.ones(len(y))))
 
 
@@ -282,7 +297,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
     """(doc_id, held_out, score, predicted) for each row of ``docs``: the chance that the text is toxic, from the text alone.
 
     NULL and empty texts get the score of a text without words. Rows with a NULL id are not held out, and teach nothing. Repeated rows
-    score alike; without labels of both kinds every score is one half at most; an empty table gives an empty result.
+    score alike; without labels of both kinds no text is called toxic, and every score is the same; an empty table gives an empty result.
     """
     model = fit_toxicity(docs, labels, id, text, **options)
     own = docs.select(F.col(id).alias("doc_id"), held_out(F.col(id)).alias("held_out"), F.col(text).alias("text"))
