@@ -42,7 +42,7 @@ def _values(targets: dict[str, float]) -> str:
 def _goal(place: str, targets: str, n: int) -> str:
     """SQL for what each place of a margin should weigh."""
     return f"""
-    SELECT m.{place}, CASE WHEN m.{place} = {n} THEN m.mass
+    SELECT m.{place}, CASE WHEN m.{place} = {n} OR coalesce((SELECT sum(share) FROM {targets} WHERE k IN (SELECT {place} FROM mass_{place} WHERE mass > 0)), 0) <= 0 THEN m.mass
         ELSE coalesce(g.share, 0) / (SELECT sum(share) FROM {targets} WHERE k IN (SELECT {place} FROM mass_{place} WHERE mass > 0))
              * ((SELECT sum(mass) FROM mass_{place}) - coalesce((SELECT mass FROM mass_{place} WHERE {place} = {n}), 0)) END AS goal_{place}
     FROM mass_{place} m LEFT JOIN {targets} g ON g.k = m.{place}"""
@@ -132,7 +132,7 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_secrets(table(spark, folder, "documents"), min_owners=3, min_chars=16, min_distinct=8)
+    return scan_secrets(table(spark, folder, "documents"), min_owners=3, min_repositories=20, most_repositories=5, min_spread=0.65)
 
 
 OP8_SQL = r"""
@@ -156,8 +156,10 @@ base AS (
     SELECT doc_id, source, p.rank, kind, stop - length(hit) AS start, stop, value
     FROM placed p JOIN patterns q ON p.rank = q.rank WHERE length(value) >= least),
 judged AS (
-    SELECT value, count(DISTINCT source) >= 3 AS example,
-           length(value) >= 16 AND regexp_matches(value, '[0-9]') AND len(list_distinct(string_split(value, ''))) >= 8 AS live
+    SELECT value, count(DISTINCT source) >= 3 OR count(DISTINCT doc_id) >= 20 AS example,
+           count(DISTINCT source) <= 1 AND count(DISTINCT doc_id) <= 5
+           AND round((log2(length(value)::DOUBLE) - list_sum(list_transform(list_sort(list_transform(list_distinct(string_split(value, '')), lambda c: (length(value) - length(replace(value, c, '')))::DOUBLE)),
+                                                                           lambda k: k * log2(k))) / length(value)) / log2(least(length(value), 16)::DOUBLE), 6) >= 0.65 AS live
     FROM base GROUP BY value),
 extra AS (
     SELECT DISTINCT doc_id, CASE WHEN example THEN 4 ELSE 3 END AS rank, CASE WHEN example THEN 'example' ELSE 'live' END AS kind,

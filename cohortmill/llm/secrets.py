@@ -50,9 +50,12 @@ def ownership(spans: DataFrame) -> DataFrame:
     return of_owner.groupBy("value_hash").agg(F.sum("n").alias("repositories"), F.count("owner").alias("owners"))
 
 
-def looks_live(value: Column, min_chars: int, min_distinct: int) -> Column:
-    """Long enough, with enough different characters and a digit."""
-    return (F.length(value) >= min_chars) & value.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) >= min_distinct)
+def spread(value: Column) -> Column:
+    """How evenly a value uses its characters: their entropy over the most that so many characters, or 16, can have."""
+    n = F.length(value).cast("double")
+    times = F.transform(F.array_distinct(F.split(value, "")), lambda c: (F.length(value) - F.length(F.replace(value, c, F.lit("")))).cast("double"))
+    bits = F.log2(n) - F.aggregate(F.array_sort(times), F.lit(0.0), lambda a, k: a + k * F.log2(k)) / n
+    return F.round(bits / F.log2(F.least(n, F.lit(16.0))), 6)
 
 
 def listed(spans: Column) -> Column:
@@ -61,19 +64,21 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda x: F.concat_ws(":", F.get(name, x["rank"]), x["start"], x["end"])), ",")
 
 
-def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", min_owners: int = 3, min_chars: int = 16, min_distinct: int = 8) -> DataFrame:
+def scan_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", min_owners: int = 3, min_repositories: int = 20, most_repositories: int = 5, min_spread: float = 0.65) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example) for each row of ``docs``.
 
-    A base value found with at least ``min_owners`` distinct owners is a widely copied example; one with fewer that looks random is a
-    live-looking credential of its owners. Both add a span over the value (once where several base spans hold the same value); other
-    values add none. Documents are the repositories. NULL texts are empty; a row without spans has zero counts and empty text in
+    A document is a repository. A base value found with at least ``min_owners`` owners, or in at least ``min_repositories`` distinct
+    repositories whoever owns them, is a widely copied example. One found in at most ``most_repositories``, with one owner or none known,
+    whose characters are spread like those of a secret, is a live-looking credential of its owner. Both add a span over the value (once where several base
+    spans hold the same value); other values add none. NULL texts are empty; a row without spans has zero counts and empty text in
     spans; a NULL owner counts as no owner; repeated rows get equal results and count once; an empty table gives an empty result.
     Only the three columns named are read.
     """
-    spans = stage(base_spans(docs, id, text, owner).withColumn("value_hash", F.sha2("value", 256)).withColumn("live", looks_live(F.col("value"), min_chars, min_distinct)).withColumn("from", F.col("end") - F.length("value")).drop("value"), "spans")
-    judged = ownership(spans).select("value_hash", (F.col("owners") >= min_owners).alias("example"))
-    known = spans.join(judged, "value_hash")
-    extra = known.where("example OR live").select("k1", "k2", F.when(F.col("example"), F.lit(4)).otherwise(F.lit(3)).alias("rank"), F.col("from").alias("start"), "end").distinct()
+    spans = stage(base_spans(docs, id, text, owner).withColumn("value_hash", F.sha2("value", 256)).withColumn("random", spread(F.col("value")) >= min_spread).withColumn("from", F.col("end") - F.length("value")).drop("value"), "spans")
+    example = (F.col("owners") >= min_owners) | (F.col("repositories") >= min_repositories)
+    own = (F.col("owners") <= 1) & (F.col("repositories") <= most_repositories)
+    known = spans.join(ownership(spans).select("value_hash", example.alias("example"), own.alias("own")), "value_hash")
+    extra = known.where("example OR (own AND random)").select("k1", "k2", F.when(F.col("example"), F.lit(4)).otherwise(F.lit(3)).alias("rank"), F.col("from").alias("start"), "end").distinct()
     every = known.select("k1", "k2", "rank", "start", "end").unionByName(extra)
     entry = F.struct("start", "rank", "end")
 
