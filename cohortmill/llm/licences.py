@@ -72,8 +72,9 @@ def pairs(words: Column) -> Column:
 
 def terms(words: Column) -> Column:
     """Words that are not too common, and pairs of neighbours with such a word, once each."""
-    common = "^(?:" + "|".join(COMMON) + ")(?: (?:" + "|".join(COMMON) + "))?$"
-    return F.filter(F.array_distinct(F.concat(words, pairs(words))), lambda t: ~t.rlike(common))
+    first, second = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(0)))
+    telling = F.zip_with(first, second, lambda a, b: F.when(~(a.isin(COMMON) & b.isin(COMMON)), F.concat_ws(" ", a, b)))
+    return F.array_distinct(F.array_compact(F.concat(F.array_except(words, F.array(*[F.lit(w) for w in COMMON])), telling)))
 
 
 def literal_rows(spark: SparkSession, kinds: str, rows: list[dict]) -> DataFrame:
@@ -134,7 +135,7 @@ class LicenceModel:
         """
         count, classify = self.stages.stages
         weights, constants = classify.coefficientMatrix.toArray(), classify.interceptVector.toArray()
-        none, out = FAMILIES.index(NONE), set()
+        vocabulary, none, out = count.vocabulary, FAMILIES.index(NONE), set()
         for k in range(len(FAMILIES)):
             if k == none:
                 continue
@@ -144,7 +145,7 @@ class LicenceModel:
             order = np.argsort(gain)
             order = order[gain[order] > 0]
             out.update(order[np.cumsum(gain[order]) > short].tolist())
-        return sorted({max((w for w in count.vocabulary[k].split() if w not in COMMON), key=len) for k in out})
+        return sorted({max((w for w in vocabulary[k].split() if w not in COMMON), key=len) for k in out})
 
     def may_hold_notice(self) -> str:
         """A pattern for lower-case text that every such paragraph matches."""
@@ -173,7 +174,7 @@ def most_likely(df: DataFrame, temperature: Column) -> DataFrame:
 
 def _fitted(rows: DataFrame) -> PipelineModel:
     count = CountVectorizer(inputCol="terms", outputCol="features", binary=True, minDF=1.0).fit(rows)
-    return PipelineModel([count, LogisticRegression(family="multinomial", regParam=0.001, elasticNetParam=0.3, maxIter=60, standardization=False).fit(count.transform(rows))])
+    return PipelineModel([count, LogisticRegression(family="multinomial", regParam=0.001, elasticNetParam=0.3, maxIter=30, standardization=False).fit(count.transform(rows))])
 
 
 def fit_licences(spark: SparkSession, false_share: float = 0.05) -> LicenceModel:
@@ -224,7 +225,8 @@ def scan_licences(docs: DataFrame, id: str = "doc_id", text: str = "text", overl
     # repeated rows yield the same passages; each counts once
     passages = stage(passages.withColumn("passage", F.sha2("line", 256)).groupBy("k1", "k2", "pos").agg(F.first("passage").alias("passage"), F.first("line").alias("line")), "licence-passages")
     distinct = passages.groupBy("passage").agg(F.first("line").alias("line")).select("passage", tokens(F.col("line")).alias("words"))
-    rated = stage(model.rated(distinct).where(F.col("family") != NONE), "licence-rated")
+    # written before it is filtered: a filter on the family would work it out twice
+    rated = stage(model.rated(distinct), "licence-rated").where(F.col("family") != NONE)
     agreed = rated.select("passage", "family", "chance").join(confirmed(rated, spark, overlap), "passage", "left")
     sure = F.col("agrees").isNotNull() & (F.col("family") != UNKNOWN) & (F.col("chance") >= model.least)
     judged = agreed.select("passage", F.when(sure, F.col("family")).alias("licence"), "chance")
