@@ -8,6 +8,7 @@ from cohortmill.catalogue import Tables, query
 from cohortmill.catalogue import sqltext as S
 from cohortmill.catalogue.derived import EVENT_DAY_SQL, event_day
 from cohortmill.functions.bands import Band, band_label, band_rank, labels
+from cohortmill.functions.factors import factor, level_rank
 from cohortmill.functions.missing import na_if
 from cohortmill.operators import tables as T
 from cohortmill.operators.aggregates import n_distinct, n_rows
@@ -164,3 +165,49 @@ def first_value_pivot_query(t: Tables):
         "event_id",
     )
     return first_value_pivot(d, ["user_id", "day"], "event_type", "value", F.col("event_id"), FIRST_KINDS)
+
+
+#: One level never occurs, and one priority is no level.
+LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "9-NEVER"]
+
+
+def _ranked_orders(t: Tables):
+    return factor(t.orders, "o_orderpriority", LEVELS)
+
+
+@query(
+    "factor_columns",
+    f"""
+SELECT o_orderstatus, {_counts("o_orderpriority", LEVELS)}, count(*) FILTER (WHERE o_orderpriority NOT IN ({", ".join(map(S.quote, LEVELS))})) AS "NA_"
+FROM orders GROUP BY o_orderstatus""",
+)
+def factor_columns(t: Tables):
+    """The columns of the table are the declared levels, which came through a join and a filter."""
+    x = left_join(_ranked_orders(t), t.customer, [("o_custkey", "c_custkey")], na_match=False).filter("o_orderkey IS NOT NULL")
+    return T.cross_frequency(x, "o_orderstatus", "o_orderpriority")
+
+
+@query(
+    "factor_rows",
+    f"""
+WITH x AS (SELECT o_orderstatus, CASE WHEN o_orderpriority IN ({", ".join(map(S.quote, LEVELS))}) THEN o_orderpriority END AS p, o_custkey % 2 AS half FROM orders),
+l AS (SELECT unnest([{", ".join(map(S.quote, LEVELS))}, NULL]) AS p)
+SELECT g.o_orderstatus, l.p AS o_orderpriority, count(x.half) FILTER (WHERE half = 0) AS "0", count(x.half) FILTER (WHERE half = 1) AS "1"
+FROM (SELECT DISTINCT o_orderstatus FROM x) g CROSS JOIN l LEFT JOIN x ON x.o_orderstatus = g.o_orderstatus AND x.p IS NOT DISTINCT FROM l.p
+GROUP BY g.o_orderstatus, l.p""",
+)
+def factor_rows(t: Tables):
+    x = _ranked_orders(t).withColumn("half", F.col("o_custkey") % 2)
+    return T.layered_frequency(x, "o_orderpriority", "half", "o_orderstatus", [0, 1])
+
+
+@query(
+    "factor_frequency",
+    f"""
+WITH x AS (SELECT CASE WHEN o_orderpriority IN ({", ".join(map(S.quote, LEVELS))}) THEN o_orderpriority ELSE 'other' END AS p FROM orders),
+l AS (SELECT unnest([{", ".join(map(S.quote, [*LEVELS, "other"]))}]) AS p, unnest(range(1, {len(LEVELS) + 2})) AS place)
+SELECT l.p AS o_orderpriority, l.place::INT AS place, count(x.p) AS n, round(count(x.p) / (SELECT count(*) FROM x), 10) AS percent FROM l LEFT JOIN x ON x.p = l.p GROUP BY l.p, l.place""",
+)
+def factor_frequency(t: Tables):
+    table = T.frequency(factor(t.orders, "o_orderpriority", LEVELS, missing="other"), "o_orderpriority")
+    return table.select("o_orderpriority", level_rank(table, "o_orderpriority").alias("place"), "n", F.round("percent", 10).alias("percent"))

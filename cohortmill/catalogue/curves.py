@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.catalogue import Tables, query
 from cohortmill.catalogue.derived import EVENT_DAY_SQL, event_day
+from cohortmill.functions.factors import factor
 from cohortmill.functions.missing import na_if
 from cohortmill.operators import distributions as D
 from cohortmill.operators import survival as K
@@ -55,6 +56,26 @@ def log_axis_dropped(t: Tables):
     return D.dropped_by_log(t.customer, "c_acctbal")
 
 
+# A third of the values are NaN or infinite; both dialects make them from the same rule.
+ODD_SQL = "CASE event_id % 9 WHEN 0 THEN 'NaN'::DOUBLE WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN '-Infinity'::DOUBLE ELSE value END"
+
+
+def _odd_value():
+    case = F.col("event_id") % 9
+    odd = F.when(case == 0, F.lit(float("nan"))).when(case == 1, F.lit(float("inf"))).when(case == 2, F.lit(float("-inf")))
+    return F.coalesce(odd, F.col("value"))
+
+
+@query("hist_not_finite", _histogram_sql("events", f"CASE WHEN isfinite({ODD_SQL}) THEN value END", 12))
+def hist_not_finite(t: Tables):
+    return _edges(D.histogram(t.events, _odd_value(), 12))
+
+
+@query("hist_log10_not_finite", _histogram_sql("events", f"CASE WHEN isfinite({ODD_SQL}) AND value > 0 THEN log10(value) END", 12))
+def hist_log10_not_finite(t: Tables):
+    return _edges(D.histogram(t.events, _odd_value(), 12, log10=True))
+
+
 POINTS = 64
 
 
@@ -77,6 +98,19 @@ def kde_binned(t: Tables):
     return curve.select("grid", F.round("x", 6).alias("x"), F.round("y", 4).alias("y"))
 
 
+@query(
+    "kde_constant",
+    f"""
+WITH p AS (SELECT count(*) AS n, 0.9 * 5 * pow(count(*), -0.2) AS bw FROM events WHERE event_id % 9 > 2),
+g AS (SELECT unnest(range(9)) AS grid)
+SELECT CAST(grid AS INTEGER) AS grid, round(5 - 3 * bw + grid * 6 * bw / 8, 6) AS x, round(n * exp(-0.5 * pow((grid - 4) * 6 / 8.0, 2)) / (bw * sqrt(2 * pi())), 4) AS y FROM g, p""",
+)
+def kde_constant(t: Tables):
+    """The curve of one value, NaN and infinite ones left out."""
+    value = F.when(_odd_value() == F.col("value"), 5.0).otherwise(_odd_value())
+    return D.density_curve(t.events, value, 9).select("grid", F.round("x", 6).alias("x"), F.round("y", 4).alias("y"))
+
+
 @query(
     "box_summary",
     """
@@ -185,6 +219,19 @@ def km_fine_times(t: Tables):
     return _rounded(K.kaplan_meier(x.toDF("arm", "time", "event"), "time", "event", ["arm"], block_width=20))
 
 
+@query(
+    "km_odd_times",
+    f"""
+WITH i AS (SELECT event_id % 4 AS arm, round(value, 1) AS time, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS event FROM events WHERE event_id % 9 > 0), {FINE_SQL}
+SELECT arm, {KM_COLUMNS} FROM k""",
+)
+def km_odd_times(t: Tables):
+    """Times that are NaN are missing; the curves are taken over ranges of time."""
+    time = F.when(F.col("event_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.round("value", 1))
+    x = t.events.select((F.col("event_id") % 4).alias("arm"), time, F.col("event_type") == "purchase")
+    return _rounded(K.kaplan_meier(x.toDF("arm", "time", "event"), "time", "event", ["arm"]))
+
+
 TIMES = [0, 7, 14, 21, 28, 42]
 
 
@@ -209,6 +256,24 @@ def km_survival_at(t: Tables):
     return K.survival_at(curve, 20, ["arm"]).withColumn("surv", F.round("surv", 8))
 
 
+# With three groups the covariance of two of them is inverted by hand, and a chi-square of two degrees has a closed tail.
+LOG_RANK_SQL = f"""
+WITH i AS ({INPUT_SQL}),
+c AS (SELECT time, arm, sum(event)::DOUBLE AS d, count(*)::DOUBLE AS m FROM i GROUP BY time, arm),
+t AS (SELECT time, sum(d) AS d, {", ".join(f"sum(CASE WHEN arm = {g} THEN d ELSE 0 END) AS d{g}, sum(CASE WHEN arm = {g} THEN m ELSE 0 END) AS m{g}" for g in range(3))} FROM c GROUP BY time),
+r AS (SELECT *, {", ".join(f"sum(m{g}) OVER (ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n{g}" for g in range(3))} FROM t),
+w AS (SELECT *, n0 + n1 + n2 AS n, CASE WHEN n0 + n1 + n2 > 1 THEN d * (n0 + n1 + n2 - d) / (n0 + n1 + n2 - 1) ELSE 0 END AS w FROM r),
+s AS (SELECT sum(d0 - d * n0 / n) AS z0, sum(d1 - d * n1 / n) AS z1, sum(w * n0 / n * (1 - n0 / n)) AS a, sum(-w * n0 / n * n1 / n) AS b,
+             sum(w * n1 / n * (1 - n1 / n)) AS e FROM w),
+x AS (SELECT (z0 * z0 * e - 2 * z0 * z1 * b + z1 * z1 * a) / (a * e - b * b) AS chi FROM s)
+SELECT round(chi, 6) AS chi_square, 2::INT AS degrees, round(exp(-chi / 2), 8) AS p_value FROM x"""
+
+
+@query("km_logrank", LOG_RANK_SQL)
+def km_logrank(t: Tables):
+    return K.log_rank(_input(t), "time", "event", "arm").withColumns({"chi_square": F.round("chi_square", 6), "p_value": F.round("p_value", 8)})
+
+
 # With one two-level factor and one number, least squares has a closed form: the slope from
 # the deviations within levels, then the level means.
 GLM_SQL = """
@@ -262,6 +327,15 @@ def glm_fit_binomial_two_level(t: Tables):
     return fit.select("term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"))
 
 
+@query("glm_fit_factor", LOGIT_SQL.replace("sex_M", "sex_other"))
+def glm_fit_factor(t: Tables):
+    """Declared levels give the indicator columns, and the fit works on the counted patterns."""
+    x = factor(t.orders, "o_orderstatus", ["F"], missing="other").withColumnRenamed("o_orderstatus", "sex")
+    x = x.select("sex", F.when(F.col("o_totalprice") > 250000, 1.0).otherwise(0.0).alias("recurrence"))
+    fit = glm(x, "recurrence ~ sex", "binomial")
+    return fit.select("term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"))
+
+
 @query("glm_fit_binomial", None)
 def glm_fit_binomial(t: Tables):
     x = left_join(t.orders, t.customer, [("o_custkey", "c_custkey")], na_match=False)

@@ -85,6 +85,17 @@ def as_number(column: ColumnLike) -> Column:
     )
 
 
+def present_number(column: ColumnLike) -> Column:
+    """A number column as double, with NaN as missing."""
+    return F.nullif(as_column(column).try_cast("double"), F.lit(float("nan")))
+
+
+def finite(column: ColumnLike) -> Column:
+    """A number column as double; NaN and the infinities, which have no place on an axis, are missing."""
+    x = as_column(column).try_cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def round_half_even(column: ColumnLike, digits: int = 0) -> Column:
     """Round to the nearer of the two neighbouring decimals, ties to the even one.
 
@@ -102,8 +113,8 @@ def round_half_even(column: ColumnLike, digits: int = 0) -> Column:
 
 
 def positive_log10(column: ColumnLike) -> Column:
-    """log10 of positive values; zero and negative values have no place on a log axis."""
-    x = as_column(column)
+    """log10 of positive finite values; all others have no place on a log axis."""
+    x = finite(column)
     return F.when(x > 0, F.log10(x))
 
 

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortmill.functions.missing import ColumnLike, as_column, positive_log10
-from cohortmill.operators.quantiles import attach, exact_quantiles, value_counts
+from cohortmill.functions.missing import ColumnLike, finite, positive_log10, present_number
+from cohortmill.operators.quantiles import attach, quantiles_of_counts, ranged_counts
 
 
 def _scalar_struct(stats: DataFrame) -> Column:
@@ -20,10 +20,10 @@ def histogram(
     """Counts in equal bins shared by all facets; every facet lists all bins, empty ones with 0.
 
     The first and last bin are centred on the smallest and the largest value, and a value
-    on an edge belongs to the lower bin. ``log10`` bins the logarithm and leaves out values
-    that have none. One row per (facet, bin) leaves each map task.
+    on an edge belongs to the lower bin. NaN and infinite values are left out. ``log10`` bins the
+    logarithm and leaves out values that have none. One row per (facet, bin) leaves each map task.
     """
-    x = positive_log10(as_column(value).cast("double")) if log10 else as_column(value).cast("double")
+    x = positive_log10(value) if log10 else finite(value)
     rows = df.select(*facets, x.alias("__x")).filter(F.col("__x").isNotNull())
     span = _scalar_struct(rows.agg(F.min("__x").alias("lo"), F.max("__x").alias("hi")))
     lo, hi = F.col("__span.lo"), F.col("__span.hi")
@@ -49,42 +49,40 @@ def histogram(
 
 
 def dropped_by_log(df: DataFrame, value: ColumnLike) -> DataFrame:
-    """How many present values a log axis cannot show."""
-    x = as_column(value)
-    return df.agg(F.count_if(x <= 0).alias("n_dropped"))
+    """How many present values a log axis cannot show; NaN is not present."""
+    x = present_number(value)
+    return df.agg(F.count_if(x.isNotNull() & positive_log10(x).isNull()).alias("n_dropped"))
 
 
 def density_curve(df: DataFrame, value: ColumnLike, points: int = 512, scale_to_count: bool = True) -> DataFrame:
     """Gaussian kernel density on an even grid over the data range.
 
-    Each value is split linearly between its two neighbouring grid points, so the kernel
-    sums run over at most ``points`` weights, never over the data. The bandwidth is the
-    usual rule of thumb, 0.9 min(sd, IQR/1.34) n^(-1/5).
+    The values are counted in one read, and all that follows works on the counts. Each value is split linearly between
+    its two neighbouring grid points, so the kernel sums run over at most ``points`` weights, never over the data. The
+    bandwidth is the usual rule of thumb, 0.9 s n^(-1/5), with s the least of sd and IQR/1.34; where that is zero, the sd,
+    else the size of the smallest value, else 1. Data without spread get a grid of three bandwidths on either side.
+    NaN and infinite values are left out; without values there is no curve.
     """
-    rows = df.select(as_column(value).cast("double").alias("__x")).filter("__x IS NOT NULL")
-    spread = exact_quantiles(rows, "__x", [0.25, 0.75], ["q1", "q3"])
-    basic = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("__x").alias("lo"),
-        F.max("__x").alias("hi"),
-        F.stddev_samp("__x").alias("sd"),
-    )
-    sized = attach(basic, spread, ())
-    tail = F.least(F.col("sd"), F.when(F.col("q3") > F.col("q1"), (F.col("q3") - F.col("q1")) / 1.34))
-    sized = sized.select(
-        "n",
-        "lo",
-        ((F.col("hi") - F.col("lo")) / (points - 1)).alias("step"),
-        (0.9 * tail * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"),
-    )
-    stats = _scalar_struct(sized)
-    at = (F.col("__x") - F.col("s.lo")) / F.col("s.step")
+    counts = ranged_counts(df, finite(value))
+    x, k = F.col("__x"), F.col("__k")
+    basic = counts.agg(F.sum("__k").alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi"), (F.sum(x * k) / F.sum(k)).alias("mean"))
+    basic = basic.withColumn("q", quantiles_of_counts(counts, [0.25, 0.75], ["q1", "q3"]).select(F.struct("q1", "q3").alias("q")).scalar())
+    square = counts.withColumn("m", _scalar_struct(basic)).agg(F.sum(k * (x - F.col("m.mean")) * (x - F.col("m.mean"))).alias("ss"))
+    n = F.col("n").cast("double")
+    sized = attach(basic, square, ()).withColumn("sd", F.when(n > 1, F.sqrt(F.col("ss") / (n - 1))))
+    spread = F.least("sd", (F.col("q.q3") - F.col("q.q1")) / 1.34)
+    scale = F.coalesce(*[F.when(x > 0, x) for x in (spread, F.col("sd"), F.abs("lo"))], F.lit(1.0))
+    sized = sized.withColumn("bw", 0.9 * scale * F.pow(n, F.lit(-0.2)))
+    wide = F.col("hi") > F.col("lo")
+    low, high = (F.when(wide, F.col(c)).otherwise(F.col(c) + side * F.col("bw")) for c, side in (("lo", -3), ("hi", 3)))
+    stats = _scalar_struct(sized.select("n", low.alias("lo"), ((high - low) / (points - 1)).alias("step"), "bw"))
+    at = (x - F.col("s.lo")) / F.col("s.step")
     node = F.least(F.floor(at), F.lit(points - 2))
     halves = (
-        rows.withColumn("s", stats)
-        .select(node.alias("node"), (at - node).alias("up"))
+        counts.withColumn("s", stats)
+        .select(node.alias("node"), (at - node).alias("up"), "__k")
         .groupBy("node")
-        .agg(F.sum(1 - F.col("up")).alias("here"), F.sum("up").alias("next"))
+        .agg(F.sum((1 - F.col("up")) * k).alias("here"), F.sum(F.col("up") * k).alias("next"))
     )
     pair = F.array(
         F.struct(F.col("node").alias("node"), F.col("here").alias("w")),
@@ -109,13 +107,17 @@ def density_curve(df: DataFrame, value: ColumnLike, points: int = 512, scale_to_
 
 
 def box_summary(df: DataFrame, value: ColumnLike, by: Sequence[str] = ()) -> DataFrame:
-    """Quartiles, whiskers at the last points within 1.5 IQR, and the number beyond them."""
+    """Quartiles, whiskers at the last points within 1.5 IQR, and the number beyond them.
+
+    The values are counted in one read, and the rest works on the counts.
+    """
     by = list(by)
-    quartiles = exact_quantiles(df, value, [0.25, 0.5, 0.75], ["q1", "med", "q3"], by, "linear", "n")
+    counts = ranged_counts(df, value, by)
+    quartiles = quantiles_of_counts(counts, [0.25, 0.5, 0.75], ["q1", "med", "q3"], by, "linear", "n")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("__x").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        attach(value_counts(df, value, by), quartiles, by)
+        attach(counts, quartiles, by)
         .groupBy(*by, "n", "q1", "med", "q3")
         .agg(
             F.min(F.when(inside, F.col("__x"))).alias("__low"),

@@ -1,16 +1,13 @@
 """Exact quantiles without gathering a group's values in one task.
 
 Spark's ``percentile`` and ``median`` keep all distinct values of a group in one
-aggregation buffer. Here a mergeable sketch only narrows the search:
+aggregation buffer. Here the values are selected in parallel:
 
-1. per group, count the rows and sketch a bracket around every wanted rank;
-2. count the rows per (group, value) and sort the values into cells, a cell being the
-   stretch between two bracket edges;
-3. from the exact cell totals, keep only the cells in which the wanted ranks fall;
-4. order the values of those cells and read the ranks off.
+1. count the rows per (group, value), and deal the counts into ranges of value;
+2. from the totals of the ranges, find those in which the wanted ranks fall;
+3. order the values of these ranges, one range per task, and read the ranks off.
 
-The cells cover the whole line and their totals are exact, so the answer does not depend
-on how good the sketch is; a poor sketch would only make step 4 larger.
+A range is as large as a task, whatever the size of a group, and the data are read once.
 """
 
 from __future__ import annotations
@@ -19,11 +16,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortmill.functions.missing import ColumnLike, as_column
+from cohortmill.functions.missing import ColumnLike, as_column, present_number
 from cohortmill.operators.joins import inner_join
+from cohortmill.operators.ranges import in_ranges
 
 ACCURACY = 10_000
-BRACKET = 5.0 / ACCURACY
 
 
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -56,12 +53,8 @@ def value_counts(df: DataFrame, value: ColumnLike, by: Sequence[str] = ()) -> Da
     Equal values are combined before the shuffle, and the shuffle key holds the value, so a
     large group is spread over all tasks.
     """
-    return _present(df, value, by).groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__k"))
-
-
-def _present(df: DataFrame, value: ColumnLike, by: Sequence[str]) -> DataFrame:
-    rows = df.select(*by, as_column(value).cast("double").alias("__x"))
-    return rows.filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    rows = df.select(*by, present_number(value).alias("__x")).filter("__x IS NOT NULL")
+    return rows.groupBy(*by, "__x").agg(F.count(F.lit(1)).alias("__k"))
 
 
 def exact_quantiles(
@@ -77,19 +70,30 @@ def exact_quantiles(
 
     ``definition`` is "linear" (interpolate between neighbours) or "averaged" (a value of
     the data, or the mean of two where the rank falls between them). A group with no
-    present value has no row. ``df`` is read twice, for the sketch and for the values.
+    present value has no row. ``df`` is read once.
     """
-    by = list(by)
-    edges = sorted({min(1.0, max(0.0, p + side)) for p in probs for side in (-BRACKET, BRACKET)})
-    stats = _present(df, value, by).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"), F.percentile_approx("__x", edges, ACCURACY).alias("__edges")
-    )
-    cell = sum((F.get("__edges", F.lit(i)) < F.col("__x")).cast("int") for i in range(len(edges)))
-    counts = attach(value_counts(df, value, by), stats, by).select(*by, cell.alias("__cell"), "__x", "__k", "__n")
+    return quantiles_of_counts(ranged_counts(df, value, by), probs, names, by, definition, count_name)
+
+
+def ranged_counts(df: DataFrame, value: ColumnLike, by: Sequence[str] = ()) -> DataFrame:
+    """``value_counts`` written in ranges of (group, value), numbered by ``__block``."""
+    return in_ranges(value_counts(df, value, by), [*by, "__x"], "__block")
+
 
-    # At most 2 * len(probs) + 1 rows per group reach this window.
-    running = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy(*by, "__cell").agg(F.sum("__k").alias("__size"), F.max("__n").alias("__n"))
+def quantiles_of_counts(
+    counts: DataFrame,
+    probs: Sequence[float],
+    names: Sequence[str],
+    by: Sequence[str] = (),
+    definition: str = "linear",
+    count_name: str | None = None,
+) -> DataFrame:
+    """``exact_quantiles`` of ``ranged_counts``."""
+    by = list(by)
+    # A row per range, and one more for every group that begins within one.
+    running = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*by, "__block").agg(F.sum("__k").alias("__size"))
+    totals = totals.withColumn("__n", F.sum("__size").over(Window.partitionBy(*by)))
     totals = totals.withColumn("__before", F.coalesce(F.sum("__size").over(running), F.lit(0)))
     wanted = [_positions(p, definition) for p in probs]
     ranks = F.array(*[r.cast("long") for low, high, _ in wanted for r in (low, high)])
@@ -97,10 +101,10 @@ def exact_quantiles(
     def holds(start: str, size: str) -> Column:
         return F.exists(ranks, lambda r: (r > F.col(start)) & (r <= F.col(start) + F.col(size)))
 
-    needed = totals.filter(holds("__before", "__size")).select(*by, "__cell", "__before")
-    ordered = Window.partitionBy(*by, "__cell").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    needed = totals.filter(holds("__before", "__size")).select(*by, "__block", "__before", "__n")
+    ordered = Window.partitionBy(*by, "__block").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        inner_join(counts, needed, [*by, "__cell"])
+        inner_join(counts, needed, [*by, "__block"])
         .withColumn("__start", F.col("__before") + F.sum("__k").over(ordered) - F.col("__k"))
         .filter(holds("__start", "__k"))
     )

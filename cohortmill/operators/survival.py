@@ -1,19 +1,22 @@
 """Kaplan-Meier estimates.
 
-Subjects are first counted per (stratum, time). Only these counts are windowed, so a
-stratum is as long as its number of distinct follow-up times, not of its subjects. Where
-times are fine-grained and that is long too, ``block_width`` splits the time axis: running
-values are then taken within blocks and over block totals, never over a whole stratum.
+Subjects are first counted per (stratum, time). The counts are dealt into ranges of time, and
+running values are taken within ranges and over the totals of ranges, never over a whole
+stratum: first those at risk, from the last time backwards, then the curve.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortmill.functions.missing import ColumnLike, as_column, if_else
-from cohortmill.operators.joins import inner_join
+from cohortmill.functions.missing import ColumnLike, as_column, if_else, present_number
+from cohortmill.operators.ranges import in_ranges, product, running, total
+from cohortmill.operators.tables import categories
+from cohortmill.sources.files import stage
 
 # Fixed value: the 97.5 % point of the standard normal distribution.
 Z_95 = 1.959963984540054
@@ -22,61 +25,29 @@ Z_95 = 1.959963984540054
 def survival_input(
     df: DataFrame, subject: Sequence[str], time: str, outcome: ColumnLike, event: str, strata: Sequence[str] = ()
 ) -> DataFrame:
-    """Distinct (subject, time, event, strata) with the event known and the time present."""
+    """Distinct (subject, time, event, strata) with the event known and the time present.
+
+    A NaN time is missing.
+    """
     return (
         df.withColumn("event", if_else(as_column(outcome) == event, 1, 0))
         .select(*subject, F.col(time).alias("time"), "event", *strata)
         .distinct()
-        .filter(F.col("event").isNotNull() & F.col("time").isNotNull())
+        .filter(F.col("event").isNotNull() & present_number("time").isNotNull())
     )
 
 
 def event_counts(df: DataFrame, time: ColumnLike, event: ColumnLike, by: Sequence[str] = ()) -> DataFrame:
-    """Events and censorings per stratum and time."""
+    """Events and censorings per stratum and time; a NaN time is missing and left out."""
     happened = as_column(event).cast("int")
     return (
-        df.select(*by, as_column(time).cast("double").alias("time"), happened.alias("__e"))
+        df.select(*by, present_number(time).alias("time"), happened.alias("__e"))
         .filter("time IS NOT NULL AND __e IS NOT NULL")
         .groupBy(*by, "time")
         .agg(F.sum("__e").alias("n_event"), F.sum(1 - F.col("__e")).alias("n_censor"))
     )
 
 
-def _at_risk(counts: DataFrame, by: Sequence[str], block: Sequence[str]) -> DataFrame:
-    """Add ``n_risk``: everyone with this or a later time."""
-    everyone = F.col("n_event") + F.col("n_censor")
-    later = Window.partitionBy(*by, *block).orderBy("time").rowsBetween(0, Window.unboundedFollowing)
-    own = counts.withColumn("n_risk", F.sum(everyone).over(later))
-    if not block:
-        return own
-    after = Window.partitionBy(*by).orderBy("__block").rowsBetween(1, Window.unboundedFollowing)
-    blocks = counts.groupBy(*by, "__block").agg(F.sum(everyone).alias("__size"))
-    blocks = blocks.select(*by, "__block", F.coalesce(F.sum("__size").over(after), F.lit(0)).alias("__after"))
-    joined = inner_join(own, blocks, [*by, "__block"])
-    return joined.withColumn("n_risk", F.col("n_risk") + F.col("__after")).drop("__after")
-
-
-def _survived(risk: DataFrame, by: Sequence[str], block: Sequence[str]) -> DataFrame:
-    """Add ``surv``, the running product of survival, and ``__v``, the running variance term."""
-    d, n = F.col("n_event").cast("double"), F.col("n_risk").cast("double")
-    step, term = 1 - d / n, F.try_divide(d, n * (n - d))
-    to_here = Window.partitionBy(*by, *block).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    own = risk.withColumn("surv", F.product(step).over(to_here)).withColumn("__v", F.sum(term).over(to_here))
-    if not block:
-        return own
-    before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = risk.groupBy(*by, "__block").agg(F.product(step).alias("__s"), F.sum(term).alias("__t"))
-    blocks = blocks.select(
-        *by,
-        "__block",
-        F.coalesce(F.product("__s").over(before), F.lit(1.0)).alias("__s0"),
-        F.coalesce(F.sum("__t").over(before), F.lit(0.0)).alias("__v0"),
-    )
-    joined = inner_join(own, blocks, [*by, "__block"])
-    running = F.coalesce(F.col("__v"), F.lit(0.0)) + F.col("__v0")
-    return joined.withColumn("surv", F.col("surv") * F.col("__s0")).withColumn("__v", running)
-
-
 def kaplan_meier(
     df: DataFrame,
     time: ColumnLike,
@@ -87,13 +58,19 @@ def kaplan_meier(
 ) -> DataFrame:
     """Survival curve with its log-transformed confidence interval, per stratum.
 
-    Once the curve reaches zero, standard error and interval are missing.
+    Once the curve reaches zero, standard error and interval are missing. The counted times are dealt into ranges by
+    stratum and time, or into stretches of ``block_width`` where that is given, which saves the sampling of bounds.
     """
     counts = event_counts(df, time, event, by)
-    block = [] if block_width is None else ["__block"]
-    if block:
+    if block_width is None:
+        counts = in_ranges(counts, [*by, "time"], "__block")
+    else:
         counts = counts.withColumn("__block", F.floor(F.col("time") / float(block_width)))
-    curve = _survived(_at_risk(counts, by, block), by, block)
+    everyone = F.col("n_event") + F.col("n_censor")
+    risk = running(counts, by, ["time"], "__block", {"n_risk": total("n_risk", everyone)}, backwards=True)
+    d, n = F.col("n_event").cast("double"), F.col("n_risk").cast("double")
+    steps = {"surv": product("surv", 1 - d / n), "__v": total("__v", F.try_divide(d, n * (n - d)))}
+    curve = running(risk, by, ["time"], "__block", steps)
     alive = F.col("surv") > 0
     spread = F.sqrt("__v")
     return curve.select(
@@ -139,3 +116,67 @@ def survival_at(curve: DataFrame, time: float, by: Sequence[str] = ()) -> DataFr
     return curve.groupBy(*by).agg(
         F.lit(float(time)).alias("time"), F.coalesce(F.max_by("surv", reached), F.lit(1.0)).alias("surv")
     )
+
+
+def log_rank(df: DataFrame, time: ColumnLike, event: ColumnLike, group: str, strata: Sequence[str] = (), limit: int = 40) -> DataFrame:
+    """Whether the curves of the groups differ: (chi_square, degrees, p_value) in one row.
+
+    At each time the events are shared out over the groups by those at risk; observed less expected events and their covariance
+    are summed over all times, within strata where these are given. Subjects are counted per time first, those at risk are running
+    totals over ranges of time, and only the sums, of the size of the groups, reach the driver. A missing group, time or event is left
+    out. Groups without expected events do not count; with fewer than two others there is no test, and chi_square is missing.
+    """
+    strata = list(strata)
+    counts = event_counts(df.filter(F.col(group).isNotNull()), time, event, [*strata, group])
+    counts = stage(counts)
+    levels = categories(counts, group, limit)
+    if not levels:
+        return _tested(df, np.zeros(0), np.zeros(0), np.zeros((0, 0)))
+    own = [F.col(group) == F.lit(v) for v in levels]
+    wide = counts.groupBy(*strata, "time").agg(
+        F.sum("n_event").alias("__d"),
+        *[F.sum(F.when(g, F.col("n_event")).otherwise(0)).alias(f"__d{i}") for i, g in enumerate(own)],
+        *[F.sum(F.when(g, F.col("n_event") + F.col("n_censor")).otherwise(0)).alias(f"__m{i}") for i, g in enumerate(own)],
+    )
+    ranged = in_ranges(wide, [*strata, "time"], "__block")
+    at_risk = {f"__n{i}": total(f"__n{i}", F.col(f"__m{i}")) for i in range(len(levels))}
+    risk = running(ranged, strata, ["time"], "__block", at_risk, backwards=True)
+    here = [F.col(f"__n{i}").cast("double") for i in range(len(levels))]
+    risk = risk.withColumn("__n", sum(here[1:], here[0]))
+    d, n = F.col("__d").cast("double"), F.col("__n")
+    weight = F.when(n > 1, d * (n - d) / (n - 1)).otherwise(0.0)
+    pairs = [(i, j) for i in range(len(levels)) for j in range(i, len(levels))]
+    sums = risk.agg(
+        *[F.sum(f"__d{i}").alias(f"o{i}") for i in range(len(levels))],
+        *[F.sum(d * here[i] / n).alias(f"e{i}") for i in range(len(levels))],
+        *[F.sum(weight * here[i] / n * (float(i == j) - here[j] / n)).alias(f"v{i}_{j}") for i, j in pairs],
+    ).first()
+    covariance = np.zeros((len(levels), len(levels)))
+    for i, j in pairs:
+        covariance[i, j] = covariance[j, i] = sums[f"v{i}_{j}"]
+    observed, expected = (np.array([float(sums[f"{x}{i}"]) for i in range(len(levels))]) for x in "oe")
+    return _tested(df, observed, expected, covariance)
+
+
+def _tested(df: DataFrame, observed: np.ndarray, expected: np.ndarray, covariance: np.ndarray) -> DataFrame:
+    kept = np.flatnonzero(expected > 0)
+    row = (None, max(0, len(kept) - 1), None)
+    if len(kept) > 1:
+        some = kept[:-1]  # the last follows from the others
+        gap = (observed - expected)[some]
+        statistic = float(gap @ np.linalg.pinv(covariance[np.ix_(some, some)]) @ gap)
+        row = (statistic, len(some), chi_square_beyond(statistic, len(some)))
+    return df.sparkSession.createDataFrame([row], "chi_square double, degrees int, p_value double")
+
+
+def chi_square_beyond(x: float, degrees: int) -> float:
+    """The chance that a chi-square variable is greater than ``x``, as a finite sum."""
+    y = max(0.0, x / 2)
+    if degrees % 2:
+        term, out = math.sqrt(y) * math.exp(-y) / math.gamma(1.5), math.erfc(math.sqrt(y))
+    else:
+        term, out = math.exp(-y), 0.0
+    for k in range(degrees // 2):
+        out += term
+        term *= y / (k + 1.5 if degrees % 2 else k + 1)
+    return out

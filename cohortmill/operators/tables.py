@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
+from cohortmill.functions.factors import levels_of, may_be_missing
 from cohortmill.functions.missing import ColumnLike, as_column, round_half_even
 from cohortmill.sources.files import stage
 
@@ -38,8 +39,10 @@ def _q(name: str) -> Column:
 
 
 def frequency(df: DataFrame, column: str) -> DataFrame:
-    """One-way table: n, share of all rows, share of the rows with a value."""
+    """One-way table: n, share of all rows, share of the rows with a value. A factor lists all its levels."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    if levels_of(df, column) is not None:
+        counts = _every_level(counts, column)
     totals = counts.agg(
         F.sum("n").alias("all"), F.sum(F.when(F.col(column).isNotNull(), F.col("n"))).alias("valid")
     )
@@ -52,6 +55,10 @@ def frequency(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _every_level(counts: DataFrame, column: str) -> DataFrame:
+    return with_empty_rows(counts.withColumn("__all", F.lit(True)), ["__all"], [column]).drop("__all")
+
+
 def pivot_wider(
     cells: DataFrame,
     id_cols: Sequence[str],
@@ -66,11 +73,14 @@ def pivot_wider(
     """Spread a category over columns, in one shuffle.
 
     Each new column aggregates the cells of its category, so several cells of one id are
-    combined by ``aggregate`` and never dropped. ``values`` fixes the column order; without it
+    combined by ``aggregate`` and never dropped. ``values`` fixes the column order; a factor brings
+    its levels, and a column for missing values if it may have any. Without either
     the cells are written once, read for their categories, and spread from there. Cells of
     a category that ``values`` leaves out are gathered in the column ``other``; without
     that name the table fails when it meets one.
     """
+    if values is None and levels_of(cells, names_from) is not None:
+        values = [*levels_of(cells, names_from), *[None] * may_be_missing(cells, names_from)]
     if values is None:
         cells = stage(cells)
     known = categories(cells, names_from) if values is None else list(values)
@@ -124,23 +134,44 @@ def layered_frequency(df: DataFrame, row: str, column: str, layer: str, values:
     return with_empty_rows(table, [layer], [row])
 
 
-def with_empty_rows(table: DataFrame, groups: Sequence[str], levels: Sequence[str], fill=0) -> DataFrame:
-    """Complete a counted table: every group lists every level that any group has.
+def with_empty_rows(table: DataFrame, groups: Sequence[str], levels: Sequence[str], fill=0, limit: int | None = None) -> DataFrame:
+    """Complete a counted table: every group lists every level, and a missing one if any group has it.
 
-    Added rows hold ``fill`` in numeric columns and are missing elsewhere. Groups and levels
-    are those of a table shown; the levels travel as one array.
+    Added rows hold ``fill`` in numeric columns and are missing elsewhere. The levels of a factor are those declared. Others are
+    looked up in the table, which is written once for that; beyond ``limit``, by default Spark's
+    ``spark.sql.pivotMaxValues``, this fails: open-ended categories have no complete table.
     """
-    known = table.agg(F.collect_set(F.struct(*[_q(c) for c in levels])).alias("x")).scalar()
+    declared = levels_of(table, levels[0]) if len(levels) == 1 else None
+    table = stage(table)
+    kinds = [table.schema[c].dataType for c in levels]
+    if declared is None:
+        limit = int(table.sparkSession.conf.get("spark.sql.pivotMaxValues")) if limit is None else limit
+        found = table.select(*[_q(c) for c in levels]).distinct().limit(limit + 1).collect()
+        if len(found) > limit:
+            raise ValueError(f"{', '.join(levels)} has more than {limit} levels, too many for every group to list")
+    else:
+        found = [(v,) for v in declared]
+    if not found:
+        return table
+    known = F.array(*[F.struct(*[F.lit(v).cast(k).alias(f"l{i}") for i, (v, k) in enumerate(zip(row, kinds))]) for row in found])
+    if declared is not None:
+        lacking = table.agg(F.coalesce(F.bool_or(_q(levels[0]).isNull()), F.lit(False)).alias("x")).scalar()
+        none = F.array(F.struct(F.lit(None).cast(kinds[0]).alias("l0")))
+        known = F.when(lacking, F.concat(known, none)).otherwise(known)
     grid = table.select(*[_q(c) for c in groups]).distinct().withColumn("__level", F.explode(known))
     keys = [*groups, *levels]
-    grid = grid.select(*[_q(c).alias(f"__g{i}") for i, c in enumerate(groups)], *[F.col("__level").getField(c).alias(f"__g{i + len(groups)}") for i, c in enumerate(levels)])
+    grid = grid.select(*[_q(c).alias(f"__g{i}") for i, c in enumerate(groups)], *[F.col("__level").getField(f"l{i}").alias(f"__g{i + len(groups)}") for i in range(len(levels))])
     same = F.lit(True)
     for i, c in enumerate(keys):
         same = same & _q(c).eqNullSafe(F.col(f"__g{i}"))
     met = grid.join(table, same, "left")
     numeric = _numeric(table, skip=keys)
     columns = [
-        F.col(f"__g{keys.index(c)}").alias(c) if c in keys else F.coalesce(_q(c), F.lit(fill)).alias(c) if c in numeric else _q(c)
+        F.col(f"__g{keys.index(c)}").alias(c, metadata=table.schema[c].metadata)
+        if c in keys
+        else F.coalesce(_q(c), F.lit(fill)).alias(c)
+        if c in numeric
+        else _q(c)
         for c in table.columns
     ]
     return met.select(*columns)
