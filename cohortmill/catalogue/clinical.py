@@ -93,10 +93,44 @@ v AS (SELECT {SUBJECT}, {", ".join(f"{X.first_sql('value', f'event_id % 3 = {i}'
 SELECT {SUBJECT}, round(age_years, 8) AS age_years, sex, arm, country, weight_kg, height_cm, temp_c FROM dm LEFT JOIN v USING (studyid, usubjid)""",
 )
 def participant_table(t: Tables):
-    table = D.participant_table(X.demographics(t), X.vital_signs(t))
+    table = D.participant_table(X.demographics(t), X.vital_signs(t), other=None)
     return _numbers(table, *[v.lower() for v in VITALS]).withColumn("age_years", F.round("age_years", 8))
 
 
+ODD_UNITS = ["YEARS", "MONTHS", "HOURS", "DECADES", None, "FORTNIGHTS"]
+
+
+@query(
+    "participant_units",
+    f"""
+WITH {X.D_SQL}, dm AS (SELECT DISTINCT studyid, usubjid, user_id FROM d),
+v AS (SELECT {SUBJECT}, {X.first_sql('value', 'event_id % 3 = 0')} AS weight_kg,
+             string_agg(CASE event_id % 3 WHEN 1 THEN 'HEIGHT_m=' WHEN 2 THEN 'TEMP_NA=' END || (event_id % 50), '; ' ORDER BY event_id) FILTER (WHERE event_id % 3 > 0) AS vital_signs_other
+      FROM d WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT {SUBJECT}, round((user_id % 90) * CASE user_id % 6 WHEN 1 THEN 1 / 12.0::DOUBLE WHEN 2 THEN 1 / (365.25 * 24)::DOUBLE WHEN 3 THEN 10 WHEN 5 THEN NULL ELSE 1 END, 8) AS age_years,
+       weight_kg, vital_signs_other FROM dm LEFT JOIN v USING (studyid, usubjid)""",
+)
+def participant_units(t: Tables):
+    """Ages in odd units, and measurements in units without a column of their own, which are kept as text."""
+    user = F.col("usubjid").substr(2, 20).cast("long")
+    people = X.demographics(t).withColumn("ageu", X.pick(ODD_UNITS, user))
+    signs = X.vital_signs(t).withColumn("vsstresu", X.pick(["kg", "m", None], F.col("_row")))
+    signs = signs.withColumn("vsstresn", F.when(F.col("_row") % 3 == 0, F.col("vsstresn").cast("string")).otherwise((F.col("_row") % 50).cast("string")))
+    table = D.participant_table(people, signs, tests=["WEIGHT_kg"])
+    return _numbers(table.select("studyid", "usubjid", F.round("age_years", 8).alias("age_years"), "weight_kg", "vital_signs_other"), "weight_kg")
+
+
+@query(
+    "unknown_age_units",
+    f"""
+WITH {X.D_SQL}, dm AS (SELECT DISTINCT studyid, usubjid, user_id FROM d)
+SELECT 'FORTNIGHTS' AS ageu, count(*) AS n FROM dm WHERE user_id % 6 = 5""",
+)
+def unknown_age_units(t: Tables):
+    user = F.col("usubjid").substr(2, 20).cast("long")
+    return D.unknown_age_units(X.demographics(t).withColumn("ageu", X.pick(ODD_UNITS, user)))
+
+
 @query(
     "dispositions_and_interventions",
     f"""

@@ -5,10 +5,10 @@ suffixes that repeat until every name is unique, so chained joins never give two
 of one name. No side is hinted for broadcast: Spark compares its own size estimate, and
 with adaptive execution the measured shuffle size, with ``autoBroadcastJoinThreshold``.
 
-In left, semi and anti joins adaptive execution can split a hot key of the left side. It
-cannot split a full outer join. Where the first row per key is wanted, ``merge_first_rows``
-needs no join and holds no key; where every combination is, ``full_merge(hot_rows=...)``
-looks for hot keys and spreads them.
+In left, semi and anti joins adaptive execution can split a hot key of the left side, in
+inner joins of either side. It cannot split a full outer join, so full merges are put together
+from an inner join and the unmatched rows of both sides. Where the first row per key is wanted,
+``merge_first_rows`` needs no join and holds no key.
 """
 
 from __future__ import annotations
@@ -57,20 +57,25 @@ def _renamed(left: Sequence[str], right: Sequence[str], fixed: Sequence[str], su
     return assign(left, suffix[0], clash), assign(right, suffix[1], clash | low(fixed))
 
 
-def require_unique(df: DataFrame, keys: Sequence[str], side: str) -> None:
-    """Fail when a key repeats. This runs a job, so it is only done when asked for."""
-    repeated = df.groupBy(*[_quoted(k) for k in keys]).count().filter("count > 1").limit(1).collect()
-    if repeated:
-        raise ValueError(f"{side} side repeats the join key {list(keys)}: {repeated[0].asDict()}")
+def _once(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
+    """``df``, of which the query fails when it meets a key a second time; no job of its own."""
+    names = [_quoted(k) for k in keys]
+    payload = [c for c in df.columns if c not in keys]
+    row = F.struct(*[_quoted(c).alias(f"c{i}") for i, c in enumerate(payload)], F.lit(True).alias("known"))
+    met = df.groupBy(*names).agg(F.any_value(row).alias("__row"), F.count(F.lit(1)).alias("__times"))
+    shown = F.concat(F.lit(f"{side} side repeats the join key "), F.to_json(F.struct(*names)))
+    met = met.filter(F.when(F.col("__times") > 1, F.raise_error(shown).cast("boolean")).otherwise(F.lit(True)))
+    own = {c: F.col("__row").getField(f"c{i}") for i, c in enumerate(payload)}
+    return met.select(*[own[c].alias(c) if c in own else _quoted(c) for c in df.columns])
 
 
 def _join(left: DataFrame, right: DataFrame, on: Keys, how: str, suffix, expect: str, na_match: bool) -> DataFrame:
     pairs = _pairs(on)
     left_keys, right_keys = [p[0] for p in pairs], [p[1] for p in pairs]
     if expect.endswith(":1"):
-        require_unique(right, right_keys, "right")
+        right = _once(right, right_keys, "right")
     if expect.startswith("1:"):
-        require_unique(left, left_keys, "left")
+        left = _once(left, left_keys, "left")
 
     left_payload = [c for c in left.columns if c not in left_keys]
     right_payload = [c for c in right.columns if c not in right_keys]
@@ -95,7 +100,8 @@ def left_join(
     """Keep every left row; matches multiply it.
 
     ``on`` lists names, or (left name, right name) pairs, and the left name survives.
-    ``expect`` ("1:1", "m:1", "1:m", "m:m") checks the uniqueness it promises.
+    ``expect`` ("1:1", "m:1", "1:m", "m:m") checks the uniqueness it promises: the query fails
+    where a key repeats, found in the aggregate by key that the join is given for its side.
     ``na_match=False`` uses plain equality for keys known not to be missing, which lets
     Spark reuse a bucketing or an earlier shuffle on the same columns.
     ``hot_rows`` looks for left keys with more rows than that and deals them out over
@@ -221,24 +227,24 @@ def _dealt(frame: DataFrame, i: int, hot: DataFrame, keys: Sequence[str]) -> Dat
     return sized.select(*columns, part.alias("__part"))
 
 
-def _plain_full_join(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix) -> DataFrame:
+def _full_pair(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix, split: bool) -> DataFrame:
     left_payload = [c for c in left.columns if c not in keys]
     right_payload = [c for c in right.columns if c not in keys]
     new_left, new_right = _renamed(left_payload, right_payload, keys, suffix)
-    ours = left.select(
-        *[_quoted(k).alias(f"__left{i}") for i, k in enumerate(keys)],
-        *[_quoted(c).alias(new_left[c]) for c in left_payload],
-        F.lit(True).alias("__known"),
-    )
-    theirs = right.select(
-        *[_quoted(k).alias(f"__right{i}") for i, k in enumerate(keys)],
-        *[_quoted(c).alias(new_right[c]) for c in right_payload],
-    )
+    names = [_quoted(k) for k in keys]
+    ours = left.select(*names, *[_quoted(c).alias(new_left[c]) for c in left_payload])
+    theirs = right.select(*names, *[_quoted(c).alias(new_right[c]) for c in right_payload])
+    columns = [*names, *[_quoted(c) for c in (*new_left.values(), *new_right.values())]]
+    if split:
+        unmatched = [anti_join(ours, theirs, keys), anti_join(theirs, ours, keys)]
+        parts = [inner_join(ours, theirs, keys), *unmatched]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*columns)
+    theirs = theirs.withColumnsRenamed({k: f"__right{i}" for i, k in enumerate(keys)})
+    ours = ours.withColumnsRenamed({k: f"__left{i}" for i, k in enumerate(keys)})
     same = [F.col(f"__left{i}").eqNullSafe(F.col(f"__right{i}")) for i in range(len(keys))]
     joined = ours.join(theirs, reduce(lambda a, b: a & b, same), "full")
-    merged = [F.coalesce(f"__left{i}", f"__right{i}").alias(k) for i, k in enumerate(keys)]
-    payload = [*new_left.values(), *new_right.values()]
-    return joined.select(*merged, *[_quoted(c) for c in payload])
+    merged = {k: F.coalesce(f"__left{i}", f"__right{i}").alias(k) for i, k in enumerate(keys)}
+    return joined.select(*merged.values(), *columns[len(keys) :])
 
 
 def full_merge(
@@ -247,13 +253,14 @@ def full_merge(
     suffix=SUFFIX,
     order: str | None = None,
     hot_rows: int | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Full outer join of two or more tables on one list of keys, keys coalesced.
 
-    With ``hot_rows`` a first job counts rows per key. Keys with more rows than that in one
-    frame, if there are any, are merged apart: their rows are dealt out over several tasks
-    and joined by inner joins. All others go through Spark's full outer join. The result is
-    the same either way; ask for it when frames can hold a key very often.
+    Two tables are met in an inner join, to which the rows of either side without a match are added: all three joins
+    can be split where a key is hot, and no job looks for such keys. Of more tables each step is written before the next,
+    which would read it three times. For tables that hold a key once or nearly so, ``split=False`` takes Spark's own full outer
+    joins, in one query. ``hot_rows`` does the same, after a job that counts rows per key and deals out keys with more rows.
 
     With ``order``, the column of that name in every frame comes back as ``_order_0``,
     ``_order_1``, ..., for picking first rows (see ``merged_order``).
@@ -261,13 +268,15 @@ def full_merge(
     keys = list(on)
     if order is not None:
         frames = [f.withColumnRenamed(order, f"_order_{i}") for i, f in enumerate(frames)]
+    split = split and hot_rows is None
 
     def plain(parts):
-        return reduce(lambda a, b: _plain_full_join(a, b, keys, suffix), parts)
+        out = parts[0]
+        for i, part in enumerate(parts[1:]):
+            out = _full_pair(stage(out) if split and i else out, part, keys, suffix, split)
+        return out
 
-    if hot_rows is None:
-        return plain(frames)
-    hot = _hot_keys(frames, keys, hot_rows)
+    hot = None if hot_rows is None else _hot_keys(frames, keys, hot_rows)
     if hot is None:
         return plain(frames)
     dealt = [_dealt(f, i, hot, keys) for i, f in enumerate(frames)]

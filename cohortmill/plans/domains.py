@@ -15,7 +15,7 @@ from cohortmill.functions.text import snake_name
 from cohortmill.operators.dedup import first_per_key
 from cohortmill.operators.joins import full_merge, left_join, natural_left_join
 from cohortmill.operators.tables import categories
-from cohortmill.sources.files import ROW
+from cohortmill.sources.files import ROW, stage
 
 SUBJECT = ["studyid", "usubjid"]
 KEYS = [*SUBJECT, "time"]
@@ -24,6 +24,9 @@ KEYS = [*SUBJECT, "time"]
 PARASITE_TESTS = ["PFALCIPA", "PFALCIPS", "PFALCIP", "PVIVAXA", "PVIVAXS", "PVIVAX"]
 PARASITE_TIMING = ["mbhr", "mbdy", "mbstdy", "visitdy", "visitnum", "visit", "epoch", "mbevlint", "mbevintx"]
 
+# Units of age, by how they begin, in parts of a year.
+AGE_UNITS = {"YEAR": 1.0, "MONTH": 12.0, "WEEK": 365.25 / 7, "DAY": 365.25, "HOUR": 365.25 * 24, "MINUTE": 365.25 * 24 * 60, "DECADE": 0.1}
+
 
 def timing(variables: Sequence[str]) -> tuple[Column, Column]:
     """First timing variable that is present, as text, and the name of that variable."""
@@ -45,14 +48,27 @@ def first_value_pivot(
     order: Column,
     names: Sequence[str] | None = None,
     extra: Sequence[Column] = (),
+    other: str | None = None,
 ) -> DataFrame:
     """One column per name holding the first value in row order.
 
-    The first value is a mergeable aggregate, so map tasks send one row per key.
+    The first value is a mergeable aggregate, so map tasks send one row per key. With ``names``, values under another
+    name are listed as ``name=value`` in the column ``other``, in row order; without that column the query fails when it
+    meets one. A key has few of them, as many as it has findings that nobody declared.
     """
     known = [n for n in categories(df, names_from) if n is not None] if names is None else list(names)
     cells = [F.min_by(value, F.when(F.col(names_from) == n, order)).alias(snake_name(str(n))) for n in known]
-    return df.groupBy(*keys).agg(*cells, *extra)
+    if names is None:
+        return df.groupBy(*keys).agg(*cells, *extra)
+    stray = ~F.col(names_from).isin(known) & F.col(value).isNotNull()
+    if other is None:
+        met = F.max(F.when(stray, F.col(names_from)))
+        message = F.concat(F.lit(f"{names_from.strip('_')} has a value without a column: "), met)
+        out = df.groupBy(*keys).agg(*cells, *extra, F.when(met.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)).alias("__listed"))
+        return out.filter("__listed").drop("__listed")
+    entry = F.struct(order.alias("o"), F.concat_ws("=", names_from, value).alias("text"))
+    found = F.sort_array(F.collect_list(F.when(stray, entry)))
+    return df.groupBy(*keys).agg(*cells, *extra, F.nullif(F.array_join(F.transform(found, lambda x: x["text"]), "; "), F.lit("")).alias(other))
 
 
 def prepare_domain(
@@ -62,12 +78,13 @@ def prepare_domain(
     tests: Sequence[str] | None = None,
     order: str = ROW,
     by_method: bool = False,
+    other: str | None = None,
 ) -> DataFrame:
     """Findings domain to one row per subject and time, one column per test and unit.
 
     The value is the standardised result, or the original where there is none. A test
     without unit ends in ``_na``. ``tests`` lists the ``CODE_unit`` names when known, which
-    saves the job that finds them.
+    saves the job that finds them; any other name fails, or is gathered in the column ``other``.
     """
     dd = code.lower()
     value = _first_present(df, [f"{dd}stresn", f"{dd}stresc", f"{dd}orres"])
@@ -85,21 +102,33 @@ def prepare_domain(
         F.col(order).alias("__order"),
     )
     first_row = F.min("__order").alias(order)
-    return first_value_pivot(long, [*KEYS, "time_source"], "__name", "__value", F.col("__order"), tests, [first_row])
+    return first_value_pivot(long, [*KEYS, "time_source"], "__name", "__value", F.col("__order"), tests, [first_row], other)
 
 
 def numeric_time(df: DataFrame) -> DataFrame:
     return df.withColumn("time", as_number("time"))
 
 
+def units_per_year(unit: str) -> Column:
+    """How many of the unit make a year; an age without unit is in years, and one in another unit has none."""
+    text = F.coalesce(F.upper(F.trim(unit)), F.lit("YEARS"))
+    return F.coalesce(*[F.when(text.startswith(name), F.lit(n)) for name, n in AGE_UNITS.items()])
+
+
+def unknown_age_units(df: DataFrame) -> DataFrame:
+    """Rows with an age whose unit is not listed, by unit: these ages are lost."""
+    lost = df.filter(F.col("age").isNotNull() & units_per_year("ageu").isNull())
+    return lost.groupBy("ageu").agg(F.count(F.lit(1)).alias("n"))
+
+
 def prepare_demographics(df: DataFrame) -> DataFrame:
-    """One row per subject: age in years, sex with U as missing, arm, country."""
-    unit = F.upper(F.coalesce(F.col("ageu"), F.lit("YEARS")))
-    per_year = F.when(unit.startswith("MONTH"), 12.0).when(unit.startswith("DAY"), 365.25)
-    per_year = F.coalesce(per_year, F.when(unit.startswith("WEEK"), 365.25 / 7), F.lit(1.0))
+    """One row per subject: age in years, sex with U as missing, arm, country.
+
+    An age in a unit that is not listed is missing, and ``unknown_age_units`` counts such rows.
+    """
     return df.select(
         *SUBJECT,
-        (F.col("age") / per_year).alias("age_years"),
+        (F.col("age") / units_per_year("ageu")).alias("age_years"),
         na_if("sex", "U").alias("sex"),
         "arm",
         "country",
@@ -131,8 +160,11 @@ def parasite_table(mb: DataFrame, tests: Sequence[str] = PARASITE_TESTS, names=N
     return prepare_domain(kept, "mb", PARASITE_TIMING, names, order, by_method=True)
 
 
-def participant_table(dm: DataFrame, vs: DataFrame, tests=("WEIGHT_kg", "HEIGHT_cm", "TEMP_C"), order: str = ROW) -> DataFrame:
-    """Demographics with the first measurement of each vital sign."""
+def participant_table(dm: DataFrame, vs: DataFrame, tests=("WEIGHT_kg", "HEIGHT_cm", "TEMP_C"), order: str = ROW, other: str | None = "vital_signs_other") -> DataFrame:
+    """Demographics with the first measurement of each vital sign.
+
+    Signs or units that are not listed, such as a height in metres, are kept as text in ``other``; with None they fail.
+    """
     unit = F.coalesce(_first_present(vs, ["vsstresu", "vsorresu"]), F.lit("NA"))
     long = vs.select(
         *SUBJECT,
@@ -140,7 +172,7 @@ def participant_table(dm: DataFrame, vs: DataFrame, tests=("WEIGHT_kg", "HEIGHT_
         _first_present(vs, ["vsstresn", "vsstresc", "vsorres"]).alias("__value"),
         F.col(order).alias("__order"),
     )
-    signs = first_value_pivot(long, SUBJECT, "__name", "__value", F.col("__order"), list(tests))
+    signs = first_value_pivot(long, SUBJECT, "__name", "__value", F.col("__order"), list(tests), other=other)
     return left_join(prepare_demographics(dm), signs, SUBJECT)
 
 
@@ -166,7 +198,7 @@ def merge_subject_days(
     given = interventions.withColumnRenamed(order, "__given")
     treated = left_join(base, given, [("time", "visitdy"), *SUBJECT])
     treated = treated.withColumn(order, F.struct(order, "__given")).drop("__given")
-    merged = full_merge([treated, pf, rs, vs], KEYS, order=order, hot_rows=None)
+    merged = full_merge([treated, pf, rs, vs], KEYS, order=order, split=False)
     return left_join(merged, disposition.drop("time_source"), KEYS)
 
 
@@ -175,6 +207,7 @@ def merge_raw_domains(
 ) -> DataFrame:
     """All raw domains in full on subject, sequence and visit, with attributes per subject.
 
+    Raw domains can hold a key often, so each step can be split, and is written before the next one.
     ``extra_keys`` names, by domain, columns that its step compares as well, such as an indicator that the
     domains merged before bring along. Subjects known only from the demographics keep one row.
     """
@@ -182,5 +215,5 @@ def merge_raw_domains(
     first, *rest = frames
     merged = full_merge([frames[first], demographics], SUBJECT)
     for domain in rest:
-        merged = full_merge([merged, frames[domain]], [*keys, *(extra_keys or {}).get(domain, ())])
+        merged = full_merge([stage(merged), frames[domain]], [*keys, *(extra_keys or {}).get(domain, ())])
     return merged

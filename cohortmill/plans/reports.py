@@ -111,9 +111,14 @@ def _largest_first(counts: DataFrame, by: str, where: str) -> DataFrame:
 
 
 def genotype_by_study(data: DataFrame, genotype: str = "intp", by: str = "RECRUDESCENCE") -> DataFrame:
-    """Subjects per study and genotype, missing ones in their own column and zeros shown, with totals on both sides."""
+    """Subjects per study and genotype, missing ones in their own column and zeros shown, with totals on both sides.
+
+    The genotype to sort by has a column, of zeros where it does not occur.
+    """
     counts = count_table(data, ["studyid"], genotype, n_distinct("usubjid"))
-    return _largest_first(totals_column(counts), by if by in counts.columns else "Total", "both")
+    if by not in counts.columns:
+        counts = counts.withColumn(by, F.lit(0).cast("long"))
+    return _largest_first(totals_column(counts), by, "both")
 
 
 def outcome_shares(data: DataFrame, outcomes: Sequence[str] = SHOWN_OUTCOMES) -> DataFrame:

@@ -95,12 +95,50 @@ def test_right_payload_named_like_a_left_key(frame):
     assert out.columns == ["day", "v", "day_y"]
 
 
-def test_expected_uniqueness_is_checked(frame):
+def test_expected_uniqueness_is_checked(frame, rows):
     left, right = frame("k int", (1,), (1,)), frame("k int, v int", (1, 1), (1, 2))
-    with pytest.raises(ValueError, match="right side repeats"):
-        J.left_join(left, right, ["k"], expect="m:1")
-    with pytest.raises(ValueError, match="left side repeats"):
-        J.left_join(left, right.limit(1), ["k"], expect="1:1")
+    with pytest.raises(Exception, match="right side repeats"):
+        J.left_join(left, right, ["k"], expect="m:1").collect()
+    with pytest.raises(Exception, match="left side repeats"):
+        J.left_join(left, right.limit(1), ["k"], expect="1:1").collect()
+    once = frame("k int, v int", (1, 5), (None, 6), (3, None))
+    got = J.left_join(frame("k int", (1,), (1,), (None,), (2,)), once, ["k"], expect="m:1")
+    assert rows(got) == rows(J.left_join(frame("k int", (1,), (1,), (None,), (2,)), once, ["k"]))
+    assert rows(J.inner_join(once, once.withColumnRenamed("v", "w"), ["k"], expect="1:1")) == [(1, 5, 5), (3, None, None), (None, 6, 6)]
+
+
+def test_checking_a_promise_runs_no_job(spark, frame):
+    left, right = frame("k int", (1,)), frame("k int, v int", (1, 1), (1, 2))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("promise", "build the plan")
+    J.left_join(left, right, ["k"], expect="1:1")
+    assert list(tracker.getJobIdsForGroup("promise")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_full_joins_can_be_split_and_count_no_keys(spark):
+    """A key that holds most rows of both sides reaches many tasks, in the inner join that holds all its combinations."""
+    settings = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "20"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        n = 40_000
+        a = spark.range(n).select(F.when(F.col("id") % 10 < 8, -1).otherwise(F.col("id")).alias("k"), F.xxhash64("id").alias("a"))
+        b = spark.range(n).select(F.when(F.col("id") % 10_000 == 0, -1).otherwise(F.col("id")).alias("k"), F.xxhash64("id").alias("b"))
+        full = J.full_join(a, b, ["k"])
+        assert "FullOuter" not in plan(full)
+        tasks = full.groupBy(F.spark_partition_id().alias("task")).agg(F.count_if((F.col("k") == -1) & (F.col("a") != F.col("b"))).alias("hot"), F.max("a"), F.max("b")).where("hot > 0").collect()
+        assert sum(r["hot"] for r in tasks) > 127_000 and max(r["hot"] for r in tasks) < 40_000
+        want = 32_000 * 4 + (8_000 - sum(1 for i in range(n) if i % 10 >= 8 and i % 10_000 == 0)) + sum(1 for i in range(n) if i % 10_000 and i % 10 < 8)
+        assert full.count() == want
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_natural_join_needs_a_common_column(frame):
