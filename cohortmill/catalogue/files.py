@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from cohortmill.catalogue import Tables, query
-from cohortmill.sources.files import export, normalise_domain, read_latin1, read_lookup, read_table, shared_folder, stage, write_csv
+from cohortmill.sources.files import coercion_report, export, normalise_domain, read_latin1, read_lookup, read_table, shared_folder, stage, write_csv
 
 
 def _folder(t: Tables) -> str:
@@ -115,3 +115,23 @@ def lookup_table(t: Tables):
     folder = _folder(t)
     write_csv(rows, folder)
     return read_lookup(t.spark, folder, "StudyID string, `Country name` string")
+
+
+@query(
+    "coercion_report",
+    """
+SELECT field, (SELECT count(*) FROM customer) AS n_rows, n_rejected FROM (
+    SELECT 'balance' AS field, count(*) FILTER (WHERE c_custkey % 7 = 0 AND c_custkey % 3 <> 0) AS n_rejected FROM customer
+    UNION ALL SELECT 'nation', count(*) FILTER (WHERE c_custkey % 11 = 0) FROM customer
+    UNION ALL SELECT NULL, 0)""",
+)
+def coercion_report_query(t: Tables):
+    """Words in number columns, counted while the file is read; NA and empty text are missing and not lost."""
+    key = F.col("c_custkey")
+    balance = F.when(key % 3 == 0, F.lit(None)).when(key % 7 == 0, "not done").otherwise(F.col("c_acctbal").cast("string"))
+    nation = F.when(key % 11 == 0, "12,5").when(key % 5 == 0, "").otherwise(F.col("c_nationkey").cast("string"))
+    folder = _folder(t)
+    write_csv(t.customer.select(key.alias("id"), balance.alias("balance"), nation.alias("nation")), folder)
+    rejected = Observation()
+    stage(read_table(t.spark, folder, "id long, balance double, nation int", rejected=rejected), _folder(t))
+    return coercion_report(t.spark, rejected).filter("field IS NULL OR field <> 'id'")

@@ -15,13 +15,14 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
 from cohortmill.functions.missing import as_number
 from cohortmill.functions.text import clean_names
 
 ROW = "_row"
+MALFORMED, LOST, ROWS = "__malformed", "__lost", "__rows"
 
 
 def _null_text(column: str, keep_empty: bool) -> Column:
@@ -38,6 +39,7 @@ def read_table(
     na_policy: str = "na_only",
     row_order: bool = False,
     multiline: bool = False,
+    rejected: Observation | None = None,
 ) -> DataFrame:
     """Read the declared columns of CSV files with a header row, by name.
 
@@ -50,6 +52,10 @@ def read_table(
     "na_and_empty" makes both missing. ``row_order`` adds ``_row``, which sorts rows as
     they stand in the files whatever the partitioning: file, start of the split, and the
     reading order within the split.
+
+    ``rejected`` takes account, in the pass that reads the files anyway, of what was lost: rows, rows with another
+    number of fields than the header, and per number column the text that is no number. ``coercion_report`` shows
+    it after the first action on the table.
     """
     if na_policy not in ("na_only", "na_and_empty"):
         raise ValueError(f"unknown na_policy {na_policy!r}")
@@ -70,17 +76,51 @@ def read_table(
                 F.monotonically_increasing_id().alias("line"),
             ).alias(ROW)
         )
-    return reduce(DataFrame.unionByName, [_as_text(spark, p, declared, encoding, multiline).select(*columns) for p in paths])
+    if rejected is not None:
+        numbers = [f.name for f in declared if isinstance(f.dataType, NumericType)]
+        columns.append(F.struct(F.col(MALFORMED).isNotNull().alias(MALFORMED), *[_is_lost(f"`{n}`").alias(n) for n in numbers]).alias(LOST))
+    read = [_as_text(spark, p, declared, encoding, multiline, rejected is not None).select(*columns) for p in paths]
+    out = reduce(DataFrame.unionByName, read)
+    return out if rejected is None else _observed(out, rejected, [MALFORMED, *numbers])
+
+
+def _is_lost(column: str) -> Column:
+    text = F.nullif(F.nullif(F.trim(column), F.lit("")), F.lit("NA"))
+    return text.isNotNull() & as_number(column).isNull()
+
+
+def _observed(df: DataFrame, rejected: Observation, names: Sequence[str]) -> DataFrame:
+    counts = [F.coalesce(F.count_if(F.col(LOST).getField(n)), F.lit(0)).alias(n) for n in names]
+    return df.observe(rejected, F.count(F.lit(1)).alias(ROWS), *counts).drop(LOST)
 
 
-def _as_text(spark: SparkSession, path: str, declared: StructType, encoding: str, multiline: bool) -> DataFrame:
+def with_numbers(df: DataFrame, columns: Sequence[str], rejected: Observation | None = None) -> DataFrame:
+    """Text columns as numbers; text that is no number becomes missing, and ``rejected`` counts it in the same pass."""
+    numbers = {c: as_number(f"`{c}`") for c in columns}
+    if rejected is None:
+        return df.withColumns(numbers)
+    told = df.withColumn(LOST, F.struct(*[_is_lost(f"`{c}`").alias(c) for c in columns]))
+    return _observed(told.withColumns(numbers), rejected, columns)
+
+
+def coercion_report(spark: SparkSession, rejected: Observation) -> DataFrame:
+    """(field, n_rows, n_rejected) of an observed table, after an action on it; rows with a wrong number of fields are told under no field."""
+    found = rejected.get
+    rows = [(None if n == MALFORMED else n, found[ROWS], k) for n, k in found.items() if n != ROWS]
+    return spark.createDataFrame(rows, "field string, n_rows long, n_rejected long")
+
+
+def _as_text(
+    spark: SparkSession, path: str, declared: StructType, encoding: str, multiline: bool, malformed: bool = False
+) -> DataFrame:
     """The files of one path under the names of their header, every column as text."""
     options = {"header": True, "encoding": encoding, "emptyValue": "", "escape": '"', "multiLine": multiline}
     names = spark.read.options(**options).csv(path).columns
     missing = [f.name for f in declared if f.name not in names]
     if missing:
         raise ValueError(f"{path} has no column {', '.join(missing)}; its header names {', '.join(names)}")
-    as_text = StructType([StructField(n, StringType()) for n in names])
+    as_text = StructType([StructField(n, StringType()) for n in [*names, *[MALFORMED] * malformed]])
+    options["columnNameOfCorruptRecord"] = MALFORMED
     return spark.read.schema(as_text).options(**options, enforceSchema=False).csv(path)
 
 
