@@ -125,19 +125,19 @@ def strings(words: Words) -> Strings:
 
 
 def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, word): the distinct spans of each text of (toxic, text) as text, without those of one or more than MOST_BYTES bytes."""
+    """(toxic, apart, word): the distinct spans of each text of (toxic, apart, text) as text, without those of one or more than MOST_BYTES bytes."""
     for batch, words in blocks(batches, "text"):
         found = strings(words)
-        flag = batch.column(0).to_numpy(zero_copy_only=False)
         flat = found.data.copy()
         flat[flat == 2] = 32  # between two words stands their end, and then the start of the next
         for size in range(1, SPAN + 1):
             begin, end, text = found.spans(size)
             some = np.flatnonzero((end - begin > 3) & (end - begin <= MOST_BYTES))
             spans = {(int(text[k]), flat[begin[k] + 1 : end[k] - 1].tobytes().replace(b"\x01", b"")) for k in some}
-            rows = [(bool(flag[t]), s.decode("utf-8", "replace")) for t, s in sorted(spans)]
+            rows = sorted(spans)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.string())], ["toxic", "word"])
+                of = pa.array([t for t, _ in rows])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array([s.decode("utf-8", "replace") for _, s in rows], pa.string())], ["toxic", "apart", "word"])
 
 
 def as_strings(texts: list[str]) -> Strings:
@@ -258,19 +258,21 @@ def held_out(id: Column) -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", train_rows: int = 4_000, train_words: int = 20_000, n_landmarks: int = 300) -> ToxicityModel:
     """Learn from at most ``train_rows`` labelled rows outside the held-out fifth, half of each class if there are enough.
 
-    A quarter of these rows, by a hash of the id, stays apart. The spans of one to three words of the others are counted in Spark, cut as
-    they are when texts are scored; ``train_words`` of them go to the machine, half those that tell
-    toxic texts best and half the most common others. The last regression is fitted to its pooled margins on the rows kept apart (on all
+    The spans of one to three words of those rows are counted in Spark, cut as they are when texts are scored; ``train_words`` of them go
+    to the machine, half those that tell toxic texts best and half the most common others. The last regression is fitted to the pooled
+    margins that a machine trained on three quarters of the rows has on the last quarter, by a hash of the id (on all
     rows if those are not of both kinds). Conflicting labels of one id count by majority, a tie as clean.
     """
     vote = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") > 0.5).alias("toxic")).where(~held_out(F.col("doc_id")))
     turn = vote.withColumn("turn", F.xxhash64("doc_id"))
     ids = turn.where("toxic").orderBy("turn", "doc_id").limit(train_rows // 2).unionByName(turn.where("NOT toxic").orderBy("turn", "doc_id").limit(train_rows // 2)).select("doc_id", "toxic")
     own = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    # a quarter of the texts does not train the machine, and calibrates it
+    # a quarter of the texts calibrates a machine that was trained on the others
     part = (F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(4)) == 0).alias("apart")
     sample = stage(own.join(F.broadcast(ids), "doc_id").select("toxic", part, "text"), "toxicity-sample")
-    counts = sample.where("NOT apart").select("toxic", "text").mapInArrow(span_rows, "toxic boolean, word string").groupBy("word").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean"))
+    found = sample.select("toxic", "apart", "text").mapInArrow(span_rows, "toxic boolean, apart boolean, word string")
+    toxic, apart = F.col("toxic"), F.col("apart")
+    counts = found.groupBy("word").agg(F.count_if(toxic).alias("toxic"), F.count_if(~toxic).alias("clean"), F.count_if(toxic & ~apart).alias("part_toxic"), F.count_if(~toxic & ~apart).alias("part_clean"))
     counts = stage(counts.where("toxic + clean > 1 OR word NOT LIKE '% %'"), "toxicity-strings")
     evidence = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5)) * F.sqrt("toxic")
     telling = counts.orderBy(evidence.desc(), "word").limit(train_words // 2)
@@ -278,8 +280,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
     table = list({r["word"]: r for r in [*telling.collect(), *common.collect()]}.values())[:train_words]
     if not any(r["toxic"] for r in table) or not any(r["clean"] for r in table):
         return ToxicityModel(Machine(np.zeros(BUCKETS), -1.0), np.append(np.zeros(8), -1.0))
-    toxic, clean = (np.array([r[c] for r in table], float) for c in ("toxic", "clean"))
-    machine = fit_machine([r["word"] for r in table], toxic, clean, n_landmarks)
+
+    def trained(toxic: str, clean: str) -> Machine:
+        known = [r for r in table if r[toxic] + r[clean]]
+        return fit_machine([r["word"] for r in known], *(np.array([r[c] for r in known], float) for c in (toxic, clean)), n_landmarks)
+
+    whole = trained("toxic", "clean")
+    split = any(r["part_toxic"] for r in table) and any(r["part_clean"] for r in table)
+    machine = trained("part_toxic", "part_clean") if split else whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in blocks(batches, "text"):
@@ -287,10 +295,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in x.T)], ["toxic", "apart", *"abcdefgh"])
 
     rows = sample.mapInArrow(run, "toxic boolean, apart boolean, " + ", ".join(f"{c} double" for c in "abcdefgh")).orderBy(*"abcdefgh", "toxic").collect()
-    if {r["toxic"] for r in rows if r["apart"]} == {True, False}:
+    if split and {r["toxic"] for r in rows if r["apart"]} == {True, False}:
         rows = [r for r in rows if r["apart"]]
     x, y = np.array([r[2:] for r in rows], float), np.array([r[0] for r in rows], float)
-    return ToxicityModel(machine, calibrate(x, y, np.ones(len(y))))
+    return ToxicityModel(whole, calibrate(x, y, np.ones(len(y))))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
