@@ -8,22 +8,30 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
 class Tables:
-    """Lazy access to the parquet tables of one folder: ``tables.orders``."""
+    """Lazy access to the parquet tables of one folder: ``tables.orders``.
+
+    The columns of a table are looked up once, as each look is a job.
+    """
 
     spark: SparkSession
     folder: str
+    schemas: dict[str, StructType] = field(default_factory=dict)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if name not in self.schemas:
+            self.schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self.schemas[name]).parquet(path)
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortmill.operators.dedup import first_per_key
 from cohortmill.sources.files import stage
@@ -227,7 +227,7 @@ def _dealt(frame: DataFrame, i: int, hot: DataFrame, keys: Sequence[str]) -> Dat
     return sized.select(*columns, part.alias("__part"))
 
 
-def _full_pair(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix, split: bool) -> DataFrame:
+def _full_pair(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix) -> DataFrame:
     left_payload = [c for c in left.columns if c not in keys]
     right_payload = [c for c in right.columns if c not in keys]
     new_left, new_right = _renamed(left_payload, right_payload, keys, suffix)
@@ -235,16 +235,50 @@ def _full_pair(left: DataFrame, right: DataFrame, keys: Sequence[str], suffix, s
     ours = left.select(*names, *[_quoted(c).alias(new_left[c]) for c in left_payload])
     theirs = right.select(*names, *[_quoted(c).alias(new_right[c]) for c in right_payload])
     columns = [*names, *[_quoted(c) for c in (*new_left.values(), *new_right.values())]]
-    if split:
-        unmatched = [anti_join(ours, theirs, keys), anti_join(theirs, ours, keys)]
-        parts = [inner_join(ours, theirs, keys), *unmatched]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*columns)
-    theirs = theirs.withColumnsRenamed({k: f"__right{i}" for i, k in enumerate(keys)})
-    ours = ours.withColumnsRenamed({k: f"__left{i}" for i, k in enumerate(keys)})
-    same = [F.col(f"__left{i}").eqNullSafe(F.col(f"__right{i}")) for i in range(len(keys))]
-    joined = ours.join(theirs, reduce(lambda a, b: a & b, same), "full")
-    merged = {k: F.coalesce(f"__left{i}", f"__right{i}").alias(k) for i, k in enumerate(keys)}
-    return joined.select(*merged.values(), *columns[len(keys) :])
+    unmatched = [anti_join(ours, theirs, keys), anti_join(theirs, ours, keys)]
+    parts = [inner_join(ours, theirs, keys), *unmatched]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*columns)
+
+
+def _chain_names(payload: Sequence[Sequence[str]], keys: Sequence[str], suffix) -> list[dict[str, str]]:
+    """The names that the columns of each table have after joining them one after the other."""
+    names = [{c: c for c in payload[0]}]
+    for cols in payload[1:]:
+        left, right = _renamed([n for known in names for n in known.values()], cols, keys, suffix)
+        names = [{c: left[n] for c, n in known.items()} for known in names] + [{c: right[c] for c in cols}]
+    return names
+
+
+def stacked_merge(
+    frames: Sequence[DataFrame], on: Sequence[str], suffix=SUFFIX, needs: Mapping[int, Sequence[int]] | None = None
+) -> DataFrame:
+    """Full outer merge of tables that hold few rows per key, in one shuffle whatever the number of tables.
+
+    The tables are stacked and grouped by key, and the rows that each table has for a key are combined with those of the
+    others. ``needs`` turns tables into lookups, as in a left join: the rows of table i are taken for a key only if one
+    of the tables in ``needs[i]`` has it, and make no row by themselves. All rows of a key meet in one task.
+    """
+    keys, needs = list(on), needs or {}
+    names = [_quoted(k) for k in keys]
+    payload = [[c for c in f.columns if c not in keys] for f in frames]
+    shown = _chain_names(payload, keys, suffix)
+    parts = []
+    for i, (frame, cols) in enumerate(zip(frames, payload, strict=True)):
+        row = F.struct(F.lit(True).alias("known"), *[_quoted(c).alias(f"c{j}") for j, c in enumerate(cols)])
+        parts.append(frame.select(*names, row.alias(f"__{i}")))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    out = stacked.groupBy(*names).agg(*[F.collect_list(f"__{i}").alias(f"__{i}") for i in range(len(frames))])
+
+    def has(i: int) -> Column:
+        return F.size(f"__{i}") > 0
+
+    own = [has(i) for i in range(len(frames)) if i not in needs]
+    out = out.filter(reduce(lambda a, b: a | b, own))
+    out = out.withColumns({f"__{i}": F.when(reduce(lambda a, b: a | b, [has(j) for j in asked]), F.col(f"__{i}")) for i, asked in needs.items()})
+    for i in range(len(frames)):
+        out = out.withColumn(f"__{i}", F.explode_outer(f"__{i}"))
+    columns = [F.col(f"__{i}").getField(f"c{j}").alias(shown[i][c]) for i, cols in enumerate(payload) for j, c in enumerate(cols)]
+    return out.select(*names, *columns)
 
 
 def full_merge(
@@ -259,8 +293,8 @@ def full_merge(
 
     Two tables are met in an inner join, to which the rows of either side without a match are added: all three joins
     can be split where a key is hot, and no job looks for such keys. Of more tables each step is written before the next,
-    which would read it three times. For tables that hold a key once or nearly so, ``split=False`` takes Spark's own full outer
-    joins, in one query. ``hot_rows`` does the same, after a job that counts rows per key and deals out keys with more rows.
+    which would read it three times. Tables that hold few rows per key are better merged in one shuffle, with ``split=False`` (see
+    ``stacked_merge``). ``hot_rows`` does the same, after a job that counts rows per key and deals out keys with more rows.
 
     With ``order``, the column of that name in every frame comes back as ``_order_0``,
     ``_order_1``, ..., for picking first rows (see ``merged_order``).
@@ -271,9 +305,11 @@ def full_merge(
     split = split and hot_rows is None
 
     def plain(parts):
+        if not split:
+            return stacked_merge(parts, keys, suffix)
         out = parts[0]
         for i, part in enumerate(parts[1:]):
-            out = _full_pair(stage(out) if split and i else out, part, keys, suffix, split)
+            out = _full_pair(stage(out) if i else out, part, keys, suffix)
         return out
 
     hot = None if hot_rows is None else _hot_keys(frames, keys, hot_rows)
@@ -332,12 +368,17 @@ def fill_from_first_row(
     order: Sequence[Column],
     attributes: Mapping[str, str],
     hot_rows: int | None = None,
+    few_rows: bool = False,
 ) -> DataFrame:
     """Give every row of a key the attributes of that key's first row, missing ones included.
 
     ``attributes`` maps source column to new column. The first rows are picked before
-    the shuffle and joined back, many to one; ``hot_rows`` as in ``left_join``.
+    the shuffle and joined back, many to one; ``hot_rows`` as in ``left_join``. For keys that hold few rows each, such as the
+    subjects of a study, ``few_rows`` reads ``df`` once and shuffles it once, in a window over each key.
     """
+    if few_rows:
+        first = Window.partitionBy(*[_quoted(k) for k in keys]).orderBy(*order)
+        return df.withColumns({new: F.first(_quoted(c)).over(first) for c, new in attributes.items()})
     firsts = first_per_key(df, keys, order).select(
         *[_quoted(k) for k in keys], *[_quoted(c).alias(new) for c, new in attributes.items()]
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortmill.functions.bands import AGE_BANDS, band_label, band_rank, nominal_week
 from cohortmill.functions.missing import as_number, if_else, paste, str_c
@@ -22,7 +22,6 @@ from cohortmill.operators.joins import (
     left_join,
     lookup_with_fallback,
     merge_first_rows,
-    semi_join,
 )
 from cohortmill.plans.domains import KEYS, SUBJECT
 from cohortmill.plans.outcomes import adjudicate, outcome_class
@@ -34,7 +33,7 @@ from cohortmill.plans.regimens import (
     regimen_name,
     with_act_columns,
 )
-from cohortmill.sources.files import ROW, stage
+from cohortmill.sources.files import ROW
 
 # Country codes of the trials, and the two origins.
 COUNTRIES = {
@@ -92,8 +91,12 @@ def counted_at_baseline(time: str, density: str) -> Column:
 
 
 def select_subjects(df: DataFrame, keys: Sequence[str], condition: Column) -> DataFrame:
-    """All rows of every subject with at least one row that meets the condition."""
-    return semi_join(df, df.filter(condition), list(keys))
+    """All rows of every subject with at least one row that meets the condition.
+
+    A subject has few rows, so they are looked over together, in one read and one shuffle.
+    """
+    met = F.bool_or(F.coalesce(condition, F.lit(False))).over(Window.partitionBy(*keys))
+    return df.withColumn("__met", met).filter("__met").drop("__met")
 
 
 def select_act_subjects(days: DataFrame, arm: str = "arm", density: str = ASEXUAL) -> DataFrame:
@@ -117,12 +120,12 @@ def _to_cohort(df: DataFrame) -> DataFrame:
 def curate_trials(days: DataFrame, second_disposition: DataFrame) -> DataFrame:
     """Merged trial days to the cohort shape, with the outcome adjudicated.
 
-    Arm and country of a subject are those of its first row, missing ones included. The
-    merged days are read several times here, so they are written once.
+    Arm and country of a subject are those of its first row, missing ones included. All steps look at a subject's rows
+    together, so the merged days are read once and shuffled by subject once.
     """
-    known = stage(days.withColumn("country_name", country_name("country")))
+    known = days.withColumn("country_name", country_name("country"))
     order = [F.col(c).asc_nulls_last() for c in _order_columns(known)]
-    named = fill_from_first_row(known, SUBJECT, order, {"arm": "arm_2", "country_name": "country_name_2"})
+    named = fill_from_first_row(known, SUBJECT, order, {"arm": "arm_2", "country_name": "country_name_2"}, few_rows=True)
     second = second_disposition.withColumnRenamed("disposition", "disposition_2").drop("time_source")
     merged = left_join(select_act_subjects(named), second, KEYS)
     return _to_cohort(
@@ -161,8 +164,8 @@ def attach_outcome(observations: DataFrame, patients: DataFrame, columns: Sequen
 
 
 def classify_observations(df: DataFrame) -> DataFrame:
-    """Regimen, components and ACT class, written once for the steps that read it again."""
-    return stage(
+    """Regimen, components and ACT class."""
+    return (
         df.withColumn("treat_2", regimen_name("treat"))
         .withColumn("components", components("treat_2"))
         .withColumn("act_category", class_by_components("components"))
@@ -181,6 +184,7 @@ def curate_observations(observations: DataFrame) -> DataFrame:
         OBSERVED_SUBJECT,
         order,
         {"treat_2": "arm_2", "site": "country_name_2", "ageyears": "age_years"},
+        few_rows=True,
     )
     return _to_cohort(
         filled.filter(F.col("age_years") < 5)
@@ -215,7 +219,7 @@ def enrich(pooled: DataFrame) -> DataFrame:
     """Subject attributes, outcome class, age and week bands, and the named combination."""
     ordered = ["_order_side"] + [c for c in _order_columns(pooled) if c != "_order_side"]
     order = [F.col(c).asc_nulls_last() for c in ordered]
-    known = fill_from_first_row(stage(pooled), SUBJECT, order, {"age_years": "age", "sex": "gender"})
+    known = fill_from_first_row(pooled, SUBJECT, order, {"age_years": "age", "sex": "gender"}, few_rows=True)
     banded = (
         known.drop(*ordered)
         .withColumn("code_p", paste("studyid", "usubjid"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cohortmill.functions.missing import as_number, na_if
 from cohortmill.functions.text import snake_name
 from cohortmill.operators.dedup import first_per_key
-from cohortmill.operators.joins import full_merge, left_join, natural_left_join
+from cohortmill.operators.joins import full_merge, left_join, natural_left_join, stacked_merge
 from cohortmill.operators.tables import categories
 from cohortmill.sources.files import ROW, stage
 
@@ -186,20 +186,43 @@ def merge_subject_days(
     disposition: DataFrame,
     order: str = ROW,
 ) -> DataFrame:
-    """All prepared domains as one table per subject and day.
+    """The prepared domains of a trial as one table per subject and day, see ``merge_days``."""
+    return merge_days(mb, [pf, rs, vs], dm, interventions, disposition, order)
 
-    Counts carry the attributes and treatments of their subject, findings of other
+
+def merge_days(
+    base: DataFrame,
+    findings: Sequence[DataFrame],
+    attributes: DataFrame | None = None,
+    interventions: DataFrame | None = None,
+    disposition: DataFrame | None = None,
+    order: str = ROW,
+) -> DataFrame:
+    """Any number of prepared domains as one table per subject and day.
+
+    Rows of ``base`` carry the attributes of their subject and its treatments on their day, findings of other
     domains join in full, and the disposition comes last. Rows that only a finding
-    domain has keep no attributes, as they are filled from the subject later on. Prepared
-    domains hold a subject-day once, so no key can be hot here.
-    The row order columns come back as ``_order_0`` to ``_order_3``.
+    domain has keep no attributes, as they are filled from the subject later on. A subject has few rows for a day in any
+    prepared domain, so all domains are stacked and grouped by day, in one shuffle.
+    The row order columns come back as ``_order_0``, ``_order_1``, ..., for the base and each finding domain.
     """
-    base = numeric_time(natural_left_join(mb, dm))
-    given = interventions.withColumnRenamed(order, "__given")
-    treated = left_join(base, given, [("time", "visitdy"), *SUBJECT])
-    treated = treated.withColumn(order, F.struct(order, "__given")).drop("__given")
-    merged = full_merge([treated, pf, rs, vs], KEYS, order=order, split=False)
-    return left_join(merged, disposition.drop("time_source"), KEYS)
+    first = numeric_time(base if attributes is None else natural_left_join(base, attributes))
+    frames, needs = [first.withColumnRenamed(order, "_order_0")], {}
+    if interventions is not None:
+        given = interventions.withColumnsRenamed({"visitdy": "time", order: "__given"})
+        needs[len(frames)] = [0]
+        frames.append(given)
+    own = [0]
+    for i, domain in enumerate(findings):
+        own.append(len(frames))
+        frames.append(domain.withColumnRenamed(order, f"_order_{i + 1}"))
+    if disposition is not None:
+        needs[len(frames)] = own
+        frames.append(disposition.drop("time_source"))
+    merged = stacked_merge(frames, KEYS, needs=needs)
+    if interventions is None:
+        return merged
+    return merged.withColumn("_order_0", F.when(F.col("_order_0").isNotNull(), F.struct(F.col("_order_0").alias(order), "__given"))).drop("__given")
 
 
 def merge_raw_domains(
