@@ -15,13 +15,15 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
 from cohortmill.functions.missing import as_number
 from cohortmill.functions.text import clean_names
 
 ROW = "_row"
+#: Where a line stands: its file, the start of its split, and its place in the order of reading.
+LINE_PLACE = ("_metadata.file_path", "_metadata.file_block_start", "increasing")
 MALFORMED, LOST, ROWS = "__malformed", "__lost", "__rows"
 
 
@@ -46,7 +48,7 @@ def read_table(
     Each path may have its own column order and further columns, which are ignored; a
     declared column that a header lacks is an error. The files of one path share a layout: one whose
     header differs from the first fails the read. ``multiline`` allows line breaks within
-    quotes; a file is then read by one task.
+    quotes; a file is still read by several tasks, see ``csv_records``.
 
     ``na_policy``: "na_only" makes the word NA missing and keeps empty text as empty text;
     "na_and_empty" makes both missing. ``row_order`` adds ``_row``, which sorts rows as
@@ -69,13 +71,8 @@ def read_table(
         else:
             columns.append(_null_text(name, na_policy == "na_only").cast(f.dataType).alias(f.name))
     if row_order:
-        columns.append(
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("line"),
-            ).alias(ROW)
-        )
+        place = ("__file", "__split", "__line") if multiline else LINE_PLACE
+        columns.append(F.struct(*[_place(p).alias(n) for p, n in zip(place, ("file", "block", "line"))]).alias(ROW))
     if rejected is not None:
         numbers = [f.name for f in declared if isinstance(f.dataType, NumericType)]
         columns.append(F.struct(F.col(MALFORMED).isNotNull().alias(MALFORMED), *[_is_lost(f"`{n}`").alias(n) for n in numbers]).alias(LOST))
@@ -121,7 +118,55 @@ def _as_text(
         raise ValueError(f"{path} has no column {', '.join(missing)}; its header names {', '.join(names)}")
     as_text = StructType([StructField(n, StringType()) for n in [*names, *[MALFORMED] * malformed]])
     options["columnNameOfCorruptRecord"] = MALFORMED
-    return spark.read.schema(as_text).options(**options, enforceSchema=False).csv(path)
+    if not multiline:
+        return spark.read.schema(as_text).options(**options, enforceSchema=False).csv(path)
+    records = csv_records(spark, path, encoding)
+    parsed = F.from_csv("__record", as_text.simpleString(), {k: str(v) for k, v in options.items() if k not in ("header", "encoding")})
+    header = F.from_csv("__record", StructType(as_text.fields[: len(names)]).simpleString(), {"escape": '"', "multiLine": "true"})
+    other = reduce(lambda a, b: a | b, [~header.getField(n).eqNullSafe(F.lit(n)) for n in names])
+    fails = F.raise_error(F.concat(F.lit(f"a file of {path} has another header: "), "__record")).cast("boolean")
+    kept = F.when(F.col("__first") & other, fails).otherwise(~F.col("__first"))
+    rows = records.filter(kept & (F.col("__record") != ""))
+    return rows.select(parsed.alias("__row"), "__file", "__split", "__line").select("__row.*", "__file", "__split", "__line")
+
+
+def _place(name: str) -> Column:
+    return F.monotonically_increasing_id() if name == "increasing" else F.col(name)
+
+
+def csv_records(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """The records of CSV files in which quoted text holds line breaks: (__record, __file, __split, __line, __first).
+
+    Files are read line by line, in as many tasks as they have splits. A line break stands within quotes if an odd number of
+    quotes comes before it in the file: quotes are counted per split, summed over the splits before, and then along the lines of the
+    split. So each line knows whether a record begins with it, and which line began the record it goes on with; the lines of a
+    record are then put together. Nothing larger than a split or a record meets in one task. ``__first`` marks the first record of a file.
+    """
+    file, block, line = LINE_PLACE
+    raw = spark.read.option("lineSep", "\n").text(path)
+    text = F.decode(F.col("value").cast("binary"), encoding)
+    lines = raw.select(F.col(file).alias("__file"), F.col(block).alias("__split"), _place(line).alias("__line"), text.alias("__text"))
+    # the place of a line must not be given anew when a later step reads the lines again
+    lines = stage(lines.withColumn("__quotes", F.length("__text") - F.length(F.replace("__text", F.lit('"'), F.lit("")))))
+    within, order = Window.partitionBy("__file", "__split"), [F.col("__line")]
+    so_far = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    splits = Window.partitionBy("__file").orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    totals = lines.groupBy("__file", "__split").agg(F.sum("__quotes").alias("n"))
+    before = totals.select("__file", "__split", F.coalesce(F.sum("n").over(splits), zero).alias("__before"))
+    opened = lines.join(before, ["__file", "__split"]).withColumn("__before", F.col("__before") + F.coalesce(F.sum("__quotes").over(so_far), zero))
+    place = F.struct("__split", "__line")
+    begins = opened.withColumn("__begin", F.when(F.col("__before") % 2 == 0, place))
+    # the last beginning at or before the line, in its split or in one before
+    last = begins.groupBy("__file", "__split").agg(F.max("__begin").alias("b"))
+    earlier = last.select("__file", "__split", F.max("b").over(splits).alias("__earlier"))
+    own = F.max("__begin").over(within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    known = begins.withColumn("__own", own).join(earlier, ["__file", "__split"]).withColumn("__at", F.coalesce("__own", "__earlier"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("__split", "__line", "__text"))), lambda x: x["__text"])
+    records = known.groupBy("__file", "__at").agg(F.array_join(parts, "\n").alias("__record"))
+    first = records.groupBy("__file").agg(F.min("__at").alias("__head"))
+    met = records.join(first, "__file")
+    return met.select(F.regexp_replace("__record", "\r$", "").alias("__record"), "__file", F.col("__at.__split").alias("__split"), F.col("__at.__line").alias("__line"), (F.col("__at") == F.col("__head")).alias("__first"))
 
 
 def read_latin1(spark, path, schema, na_policy="na_and_empty", row_order=False) -> DataFrame:
