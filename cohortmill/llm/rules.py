@@ -247,10 +247,10 @@ def fit_rules(counts: DataFrame, labels: DataFrame, max_rows: int = 20_000, prec
     """
     vote = labels.where("quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("bad"))
     rows = counts.where(~base_failed()).join(vote, "doc_id").select("bad", F.xxhash64("doc_id").alias("turn"), *[statistic(k).alias(k) for k in RATIOS])
-    sample = rows.orderBy("turn", *RATIOS).limit(max_rows).collect()
-    values = {k: np.array([r[k] for r in sample], float) for k in RATIOS}
-    bad = np.array([r["bad"] for r in sample], bool)
-    grow = np.array([r["turn"] % 3 != 0 for r in sample], bool)
+    sample = rows.orderBy("turn", *RATIOS).limit(max_rows).toArrow()
+    values = {k: sample[k].to_numpy().astype(float) for k in RATIOS}
+    bad = sample["bad"].to_numpy().astype(bool)
+    grow = sample["turn"].to_numpy() % 3 != 0
     return learn_rules(values, bad, grow, precision)
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortmill.llm import licences, linededup, mixing, secrets, toxicity
+from cohortmill.llm import licences, linededup, mixing, rules, secrets, toxicity
 from cohortmill.llm.queries import LANGS, MIX_TOPICS, SOURCES, table
 
 MARGINS = {"source": SOURCES, "lang": LANGS, "topic": MIX_TOPICS}
@@ -265,3 +265,28 @@ def test_runs_that_last_meet_the_next_days_lines(spark, tmp_path):
     run = spark.table(again.levels[3])
     assert "Exchange" not in linededup.LineRuns._merged(run, run)._jdf.queryExecution().executedPlan().toString()
     again.close()
+
+
+# --- rules --------------------------------------------------------------------------------
+
+
+def test_learned_rules_hold_on_rows_they_were_not_learned_from(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels").where("quality IS NOT NULL")
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
+    found = rules.apply_rules(docs, labels.where(half)).where("NOT base_failed").join(labels.where(~half), "doc_id").select("kept", "quality").collect()
+    right = sum(r.kept == (r.quality == 1) for r in found)
+    print("held-out rows told", right, "of", len(found))
+    assert len(found) > 200 and right / len(found) > 0.9
+
+
+def test_verdicts_match_the_rules_by_hand(spark, documents, folder):
+    counts = rules.text_counts(documents)
+    learned = rules.fit_rules(counts, table(spark, "/root/testdata/sf0.1", "labels"))
+    rows = counts.select("doc_id", rules.decision_list(learned).alias("kept"), rules.which_rule(learned).alias("rule"), *[rules.statistic(k).alias(k) for k in rules.RATIOS]).collect()
+    values = {k: np.array([r[k] for r in rows], float) for k in rules.RATIOS}
+    hits = [rules.covers(rule, values) for rule in learned]
+    for i, r in enumerate(rows):
+        first = next((k for k, hit in enumerate(hits) if hit[i]), None)
+        assert r.kept == (first is None) and r.rule == (None if first is None else " and ".join(map(str, learned[first])))
+    assert learned and any(h.any() for h in hits)
