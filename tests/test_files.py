@@ -1,6 +1,7 @@
 """CSV files cut anywhere, and the account of what is lost in reading them."""
 
 import csv
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import Observation
@@ -12,15 +13,20 @@ TEXTS = ["plain", 'a "quoted" word', "two\nlines", "\n\n", 'ends with "', '"', "
 
 @pytest.fixture
 def splits_of(spark):
-    names = {"spark.sql.files.maxPartitionBytes": None, "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    """Files are read in splits of a size while the table is set up, which reads them; what it stages is read as ever."""
 
+    @contextmanager
     def cut(size):
-        for k, v in (names | {"spark.sql.files.maxPartitionBytes": str(size)}).items():
+        names = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+        for k, v in names.items():
             spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k in names:
+                spark.conf.unset(k)
 
-    yield cut
-    for k in names:
-        spark.conf.unset(k)
+    return cut
 
 
 def write(path, rows, encoding="utf-8"):
@@ -37,25 +43,25 @@ ROWS = [(k, t, k * 1.5) for k, t in enumerate(TEXTS)]
 def test_records_come_whole_wherever_the_file_is_cut(spark, splits_of, tmp_path, encoding, cut):
     path = str(tmp_path / "x.csv")
     write(path, ROWS, encoding)
-    splits_of(cut)
-    got = read_table(spark, path, "id int, text string, n double", encoding, multiline=True, row_order=True).orderBy(ROW).collect()
-    assert [(r["id"], r["text"], r["n"]) for r in got] == ROWS
+    with splits_of(cut):
+        got = read_table(spark, path, "id int, text string, n double", encoding, multiline=True, row_order=True)
+    assert [(r["id"], r["text"], r["n"]) for r in got.orderBy(ROW).collect()] == ROWS
 
 
 def test_a_cut_at_every_byte(spark, splits_of, tmp_path):
     path = str(tmp_path / "x.csv")
     with open(path, "w") as f:
         f.write('id,t\n1,"a\n"""\n2,b')
-    splits_of(1)
-    got = read_table(spark, path, "id int, t string", multiline=True)
+    with splits_of(1):
+        got = read_table(spark, path, "id int, t string", multiline=True)
     assert sorted((r["id"], r["t"]) for r in got.collect()) == [(1, 'a\n"'), (2, "b")]
 
 
 def test_several_files_and_their_headers(spark, splits_of, tmp_path):
     for k in range(3):
         write(str(tmp_path / f"{k}.csv"), [(10 * k + i, t, n) for i, t, n in ROWS])
-    splits_of(150)
-    got = read_table(spark, str(tmp_path), "id int, text string", multiline=True, row_order=True)
+    with splits_of(50):
+        got = read_table(spark, str(tmp_path), "id int, text string", multiline=True, row_order=True)
     assert [(r["id"], r["text"]) for r in got.orderBy(ROW).collect()] == [(10 * k + i, t) for k in range(3) for i, t, _ in ROWS]
     lines = csv_records(spark, str(tmp_path))
     assert lines.where("__first").count() == 3 and lines.count() == 36
@@ -68,9 +74,10 @@ def test_several_files_and_their_headers(spark, splits_of, tmp_path):
 def test_a_file_is_read_in_several_tasks(spark, splits_of, tmp_path):
     path = str(tmp_path / "x.csv")
     write(path, [(k, f"line {k}\nand one more", 0) for k in range(2000)])
-    splits_of(5500)
-    assert spark.read.option("lineSep", "\n").text(path).rdd.getNumPartitions() > 10
-    assert read_table(spark, path, "id int, text string", multiline=True).where("text = concat('line ', id, '\n', 'and one more')").count() == 2000
+    with splits_of(5500):
+        assert spark.read.option("lineSep", "\n").text(path).rdd.getNumPartitions() > 10
+        got = read_table(spark, path, "id int, text string", multiline=True)
+    assert got.where("text = concat('line ', id, '\n', 'and one more')").count() == 2000
 
 
 @pytest.mark.parametrize("multiline", [False, True])
