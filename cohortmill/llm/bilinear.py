@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -196,9 +197,18 @@ class Corpus:
 
 
 def corpus_of(counts: DataFrame, n_texts: int, n_words: int, n_endings: int, n_known: int) -> Corpus:
-    """Only totals, ``n_endings`` sums and the ``n_known`` most frequent words come to the driver."""
-    known = counts.orderBy(F.col("n").desc(), "word").limit(n_known).toArrow().to_pandas()
-    own = known.head(n_words)
+    """Only totals, ``n_endings`` sums, the ``n_words`` most frequent words and up to ``n_known`` others come to the driver.
+
+    These others are all words from a count on that at most ``n_known`` words reach. The count is found from the sizes of classes of
+    counts (eight to a doubling), so no task orders the words.
+    """
+    own = counts.orderBy(F.col("n").desc(), "word").limit(n_words).toArrow().to_pandas()
+    size = F.floor(8 * F.log2("n")).cast("int")
+    classes = counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words")).toArrow().to_pandas().sort_values("size", ascending=False)
+    reached = classes["size"][classes["words"].cumsum() <= n_known]
+    least = int(reached.min()) if len(reached) else 1 << 30
+    known = counts.where(size >= least).toArrow().to_pandas()
+    known = pd.concat([own, known]).drop_duplicates("word")
     per_ending = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).toArrow().to_pandas()
     tokens, distinct = int(per_ending["n"].sum()) + n_texts, int(per_ending["words"].sum()) + (n_texts > 0)
     n, words = np.zeros(n_endings, np.int64), np.zeros(n_endings, np.int64)
@@ -303,7 +313,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", n_words
     are counted over all of them, and the model learns from each of them in one of ``rounds`` passes, in which every task learns from
     its own texts and the mean goes on. ``base_score`` adds up the logarithms of smoothed shares of the words, ``score`` those of
     the model: the chance of the unit after the two before it, times the word's share of its unit. Both go by tens and are of the
-    whole text. The counts of the ``n_known`` most frequent words go to all tasks; texts meet those of all other words in a join.
+    whole text. The counts of up to ``n_known`` of the most frequent words go to all tasks; texts meet those of all other words in a join.
     A NULL or empty text is its end alone; a NULL id counts as empty text and is held out; repeated rows are learnt from again and get
     equal scores. Without rows to learn from, every word is unknown. An empty table gives an empty result. Only the two columns
     named are read.
