@@ -203,6 +203,42 @@ def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+#: CRC-32 of a text, byte by byte from its hexadecimal form, by a table that SQL makes from the polynomial.
+OP11_SQL = r"""
+WITH crc AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS step
+    FROM (SELECT unnest(range(256)) AS i)),
+texts AS (
+    SELECT doc_id, 0 AS side, text FROM documents UNION ALL SELECT item_id, 1, text FROM benchmark),
+told AS (
+    SELECT doc_id, side, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+    FROM texts),
+runs AS (
+    SELECT doc_id, side, unnest(list_concat(w, list_concat(
+        list_transform(range(1, len(w)::BIGINT), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w)::BIGINT - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS run
+    FROM told),
+hexed AS (SELECT run, hex(encode(run)) AS h FROM (SELECT DISTINCT run FROM runs)),
+buckets AS (
+    SELECT run, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                                lambda a, b: xor(a >> 8, step[1 + (xor(a, b) & 255)])), 4294967295) % 10000 AS bucket
+    FROM hexed, crc),
+counts AS (
+    SELECT bucket, count(*) FILTER (WHERE side = 0)::DOUBLE AS s, count(*) FILTER (WHERE side = 1)::DOUBLE AS t FROM runs JOIN buckets USING (run) GROUP BY bucket),
+totals AS (SELECT sum(s) AS big_s, sum(t) AS big_t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (big_s + 10000) / ((s + 1) * (big_t + 10000))))::BIGINT AS gain FROM counts, totals),
+weights AS (
+    SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM runs JOIN buckets USING (run) JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id),
+scored AS (
+    SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+    FROM told d LEFT JOIN weights w ON d.doc_id = w.doc_id WHERE d.side = 0),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank
+FROM scored s LEFT JOIN ranked r ON s.doc_id = r.doc_id
+"""
+
+
 def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return source_divergence(table(spark, folder, "documents"), min_docs=10, top=10)
 
@@ -246,4 +282,4 @@ def op13_language_model(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_benchmark_decontamination, op3_simhash_near_dedup, op4_line_dedup, op5_licence_scan, op6_quality_classifier, op7_toxicity, op8_secret_scan, op9_substring_dedup, op10_quality_rules, op11_importance_resampling, op12_source_divergence, op13_language_model)}
-SQL = {"op1_source_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op12_source_divergence": OP12_SQL}
+SQL = {"op1_source_mixing": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_secret_scan": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op11_importance_resampling": OP11_SQL, "op12_source_divergence": OP12_SQL}
