@@ -3,7 +3,6 @@
 import hashlib
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortmill.llm import bilinear, decontaminate, importance, licences, linededup, mixing, quality, rules, secrets, simhash, substrings, toxicity
