@@ -78,3 +78,21 @@ def test_no_query_plans_a_cross_join(spark, folder):
 def test_median_never_holds_a_group_in_one_buffer(spark, folder):
     text = plan(exact_median(Tables(spark, folder).orders, "o_totalprice", "m", ["o_orderstatus"]))
     assert "percentile" not in text and "collect_" not in text
+
+
+def test_rows_meet_their_quantiles_where_they_are_read(spark, tmp_path):
+    """The sketches exceed what may be broadcast, their quantiles do not; no task gets all rows of a flag."""
+    n = 40_000
+    flag = F.when(F.col("id") % 10 < 2, "R").when(F.col("id") % 10 < 9, "A")
+    price = ((F.col("id") * 7919) % n).cast("double")
+    lines = spark.range(0, n, 1, 4).select(flag.alias("l_returnflag"), price.alias("l_extendedprice"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        df = load()["quantiles_approximate_rank"].run(Tables(spark, str(tmp_path)))
+        got = {(r["l_returnflag"], r["p"]): r["near"] for r in df.collect()}
+        text = plan(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(g, p): g and True for g in ("A", "R", None) for p in (0.25, 0.5, 0.75)}
+    assert "SortMergeJoin" not in text and not re.search(r"hashpartitioning\(l_returnflag#\d+, \d+\)", text)
